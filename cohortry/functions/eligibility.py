@@ -8,6 +8,8 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from cohortry.functions.vocabulary import in_list
+
 
 @dataclass(frozen=True)
 class PlanFilter:
@@ -51,7 +53,7 @@ class PlanFilter:
 
     def _outside(self, column: str, labels: tuple[str, ...]) -> Column:
         wanted = list(dict.fromkeys(self._label(x) for x in labels))
-        return ~self._folded(column).isin(wanted)
+        return ~in_list(f"lower({column})" if self.fold_case else column, wanted)
 
     def _lacks_substring(self, column: str) -> Column:
         return ~self._folded(column).contains(self._label(self.substring))

@@ -118,7 +118,19 @@ class Period:
         """The same wall-clock bounds read in another zone; unchanged for None."""
         return self if zone is None else replace(self, zone=zone)
 
+    def onwards(self) -> Period:
+        """From the start, without an end."""
+        return replace(self, hi=None)
+
+    def so_far(self) -> Period:
+        """Everything up to the end."""
+        return replace(self, lo=None)
+
     def contains(self, column: str) -> Column:
+        if self.hi is None:
+            return self.since(column)
+        if self.lo is None:
+            return self.not_after(column)
         return self.since(column) & self.not_after(column)
 
     def since(self, column: str) -> Column:

@@ -11,6 +11,8 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 from dataclasses import dataclass, replace
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -22,6 +24,12 @@ def case_variants(spellings: tuple[str, ...]) -> list[str]:
     return list(dict.fromkeys(form(s) for s in spellings for form in forms))
 
 
+def in_list(expression: str, labels: list[str]) -> Column:
+    """``expression IN (labels)`` in one call; ``isin`` would make one literal per label."""
+    literals = (label.replace("\\", "\\\\").replace("'", "\\'") for label in labels)
+    return F.expr(f"{expression} IN ({', '.join(f"'{x}'" for x in literals)})")
+
+
 @dataclass(frozen=True)
 class EventClass:
     actions: tuple[str, ...] = ()
@@ -37,24 +45,17 @@ class EventClass:
 
     def _listed(self, column: str, spellings: tuple[str, ...]) -> Column:
         if self.fold_case:
-            return F.lower(F.col(column)).isin([s.lower() for s in spellings])
-        return F.col(column).isin(case_variants(spellings))
-
-    def on_action(self) -> Column:
-        """The action channel alone."""
-        return self._listed("action", self.actions)
-
-    def on_page(self) -> Column:
-        """The page channel alone."""
-        return self._listed("page", self.pages)
+            return in_list(f"lower({column})", [s.lower() for s in spellings])
+        return in_list(column, case_variants(spellings))
 
     def hit(self) -> Column:
         """True when either channel carries a spelling of the class; a NULL page never does."""
-        if not self.pages:
-            return self.on_action()
-        if not self.actions:
-            return self.on_page()
-        return self.on_action() | self.on_page()
+        tests = []
+        if self.actions:
+            tests.append(self._listed("action", self.actions))
+        if self.pages:
+            tests.append(self._listed("page", self.pages))
+        return reduce(or_, tests)
 
 
 # The labels that occur in the activity log.
@@ -120,6 +121,11 @@ MILESTONES: Mapping[str, EventClass] = {
 }
 
 
+def union(*classes: EventClass) -> EventClass:
+    """All spellings of several classes: one list to test, and to push to the reader."""
+    return reduce(or_, classes)
+
+
 def folded(vocab: Mapping[str, EventClass] = VOCABULARY) -> dict[str, EventClass]:
     """The same vocabulary, matched on the lower-cased column."""
     return {name: replace(cls, fold_case=True) for name, cls in vocab.items()}

@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortry.functions.eligibility import SET_C, SET_D, SET_E, SET_F, SET_G, PlanFilter
 from cohortry.functions.period import Period
-from cohortry.functions.vocabulary import MILESTONES, VOCABULARY, EventClass
+from cohortry.functions.vocabulary import MILESTONES, VOCABULARY, EventClass, union
 from cohortry.operators.accounts import cohort_accounts, cohort_of, eligible_accounts
+from cohortry.operators.events import in_period
 from cohortry.operators.profile import (
     HOT_ROWS,
+    Measure,
     any_of,
     ever,
     event_profile,
@@ -39,19 +41,21 @@ def churned_events(
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Churn events of the period with no install strictly later in it, of eligible accounts."""
-    inside = period.contains("created_at")
-    churn, install = vocab["churn"].hit(), vocab["install_after_churn"].hit()
+    churn = vocab["churn"]
     gate = (
         event_profile(
-            activity, ["store_name"], inside & any_of(churn, install),
-            churned=last(churn), installed=last(install), churns=times(churn),
+            activity,
+            ["store_name"],
+            churned=last(churn, period),
+            installed=last(vocab["install_after_churn"], period),
+            churns=times(churn, period),
         )
         .filter(holds_after("churned", "installed"))
         .drop("churned")
         .join(cohort_accounts(accounts, rule, period, None, account_zone), "store_name")
         .withColumnRenamed("store_client_id", "account_id")
     )
-    events = activity.filter(inside & churn).select(
+    events = in_period(activity, period).filter(churn.hit()).select(
         "event_id", "store_name", "action", "page", "created_at"
     )
     return (
@@ -77,20 +81,16 @@ def churn_buckets(
     ``same_month``: new account, ``previous_month``: older account, ``reinstall_unistall``: older
     and re-installed in the period, ``store_closed``: closed and not re-opened at any later time.
     """
-    inside = period.contains("created_at")
-    churn, install = inside & vocab["churn"].hit(), inside & vocab["install_after_churn"].hit()
-    reopened = period.since("created_at") & vocab["reopen"].hit()
-    again = inside & vocab["reinstall"].hit()
+    churn = vocab["churn"].hit()
     profile = event_profile(
         activity,
         ["store_name"],
-        any_of(churn, install, reopened, again),
-        removed=last(churn & vocab["uninstall_action"].on_action()),
-        removed_wide=last(churn & vocab["uninstall_action_wide"].on_action()),
-        closed=last(churn & vocab["closed"].on_action()),
-        installed=last(install),
-        reopened=last(reopened),
-        reinstalled=ever(again),
+        removed=last(vocab["uninstall_action"], period, also=churn),
+        removed_wide=last(vocab["uninstall_action_wide"], period, also=churn),
+        closed=last(vocab["closed"], period, also=churn),
+        installed=last(vocab["install_after_churn"], period),
+        reopened=last(vocab["reopen"], period.onwards()),
+        reinstalled=ever(vocab["reinstall"], period),
     )
     new, previous = F.col("cohort") == "new", F.col("cohort") == "previous"
     left_before = previous & holds_after("removed_wide", "installed")
@@ -116,55 +116,41 @@ def _churned_store_months(
     activity: DataFrame,
     period: Period,
     vocab: Vocabulary,
-    monthly: Mapping[str, Column] | None = None,
-    store_flags: Mapping[str, Column] | None = None,
-    store_last: Mapping[str, Column] | None = None,
-    every_month: bool = False,
+    monthly: Mapping[str, Measure] | None = None,
+    lifted: Mapping[str, Measure] | None = None,
 ) -> DataFrame:
     """One row per month of every store that installed and left in one local month of the period.
 
     ``uninstall_at`` is the store's last uninstall of the period; a strict fresh install falls in
-    its month, and no install comes after it. The other arguments name conditions on log rows:
-    ``monthly`` gives the last time per (store, month), ``store_flags`` whether it ever held for the
-    store and ``store_last`` its last time, over the rows each condition itself admits. A month
-    without any such row is left out unless ``every_month`` asks for all months with an event.
+    its month, and no install comes after it. ``monthly`` adds measures per (store, month) and
+    ``lifted`` measures per store (times or flags, the larger value wins across months).
 
     A period inside one month needs one shuffle on the store. Longer ones group by (store, month)
     and lift store values by a window over those few rows; rows outside the period share one month.
     """
-    monthly, store_flags, store_last = monthly or {}, store_flags or {}, store_last or {}
-    inside = period.contains("created_at")
-    removal = inside & vocab["uninstall"].hit()
-    fresh = inside & vocab["fresh_strict"].hit()
-    install = inside & vocab["install_after_churn"].hit()
-    conditions = [removal, fresh, install, *monthly.values(), *store_flags.values(),
-                  *store_last.values()]
-    if every_month and not period.one_month:
-        conditions.append(inside)
-
-    keys = ["store_name"] if period.one_month else ["store_name", "month"]
-    month = F.when(inside, period.month_of("created_at"))
-    rows = activity if period.one_month else activity.withColumn("month", month)
+    monthly, lifted = monthly or {}, lifted or {}
+    rows, keys = activity, ["store_name"]
+    if not period.one_month:
+        month = F.when(period.contains("created_at"), period.month_of("created_at"))
+        rows = activity.withColumn("month", month)
+        keys = ["store_name", "month"]
     profile = event_profile(
         rows,
         keys,
-        any_of(*conditions),
-        removed=last(removal),
-        installed=last(install),
-        fresh=ever(fresh),
-        **{name: last(c) for name, c in monthly.items()},
-        **{name: ever(c) for name, c in store_flags.items()},
-        **{name: last(c) for name, c in store_last.items()},
-    ).withColumnRenamed("removed", "uninstall_at")
+        uninstall_at=last(vocab["uninstall"], period),
+        installed=last(vocab["install_after_churn"], period),
+        fresh=ever(vocab["fresh_strict"], period),
+        **monthly,
+        **lifted,
+    )
 
     if not period.one_month:
         store = Window.partitionBy("store_name")
-        lifted = {
-            name: F.max(name).over(store)
-            for name in ("uninstall_at", "installed", *store_flags, *store_last)
+        per_store = {
+            name: F.max(name).over(store) for name in ("uninstall_at", "installed", *lifted)
         }
-        lifted["fresh"] = F.max_by("fresh", "uninstall_at").over(store)
-        profile = profile.withColumns(lifted)
+        per_store["fresh"] = F.max_by("fresh", "uninstall_at").over(store)
+        profile = profile.withColumns(per_store)
     survives_removal = holds_after("uninstall_at", "installed") & F.col("fresh")
     selected = profile.filter(survives_removal).drop("installed", "fresh")
     if period.one_month:
@@ -199,18 +185,14 @@ def last_uninstall(
     uninstalls: str = "uninstall_raw",
     vocab: Vocabulary = VOCABULARY,
     account_zone: str | None = None,
-    store_flags: Mapping[str, Column] | None = None,
+    extra: Mapping[str, Measure] | None = None,
 ) -> DataFrame:
     """The simple churn cohort: last uninstall action per account, no test on installs.
 
-    ``store_flags`` adds, per account, whether a condition on its log rows ever held.
+    ``extra`` adds measures per account.
     """
-    store_flags = store_flags or {}
-    removal = period.contains("created_at") & vocab[uninstalls].hit()
-    profile = event_profile(
-        activity, [ACCOUNT_ID], any_of(removal, *store_flags.values()),
-        uninstall_at=last(removal), **{name: ever(c) for name, c in store_flags.items()},
-    )
+    removal = last(vocab[uninstalls], period)
+    profile = event_profile(activity, [ACCOUNT_ID], uninstall_at=removal, **(extra or {}))
     kept = cohort_accounts(accounts, rule, period, cohort, account_zone).drop("store_name")
     return (
         profile.filter("uninstall_at IS NOT NULL")
@@ -237,19 +219,19 @@ def plan_at_churn(
     :func:`last_uninstall`. ``paid_only`` is a paid store that never was on trial.
     """
     facts = {
-        "had_trial": vocab["trial"].hit(),
-        "had_free": vocab["free_user"].hit(),
-        "had_uninstall": vocab["uninstall_only"].on_action(),
-        "had_paid": vocab["paid_uninstall"].on_action(),
+        "had_trial": ever(vocab["trial"]),
+        "had_free": ever(vocab["free_user"]),
+        "had_uninstall": ever(vocab["uninstall_only"]),
+        "had_paid": ever(vocab["paid_uninstall"]),
     }
     if base == "last_uninstall":
         rows = last_uninstall(
             activity, accounts, period, rule or SET_F, vocab=vocab,
-            account_zone=account_zone, store_flags=facts,
+            account_zone=account_zone, extra=facts,
         )
         key = ACCOUNT_ID
     else:
-        stores = _churned_store_months(activity, period, vocab, store_flags=facts)
+        stores = _churned_store_months(activity, period, vocab, lifted=facts)
         kept = cohort_accounts(accounts, rule or SET_C, period, None, account_zone)
         rows = _one_row_per_store(stores, period).join(kept.drop(ACCOUNT_ID), "store_name")
         key = "store_name"
@@ -299,8 +281,7 @@ def creation_month_events(
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Events of the period in the account's own creation month."""
-    inside = period.contains("created_at")
-    rows = activity.filter(inside).withColumn("month", period.month_of("created_at"))
+    rows = in_period(activity, period).withColumn("month", period.month_of("created_at"))
     keys = [ACCOUNT_ID, "month"]
     sizes = rows.groupBy(*keys).agg(F.count("*").alias("events"))
     gate = sizes.join(creation_months(accounts, period, rule, account_zone), keys)
@@ -323,31 +304,25 @@ def milestones_of_churned(
     install; a month without an install never is. ``base='creation_month'`` takes accounts in their
     creation month instead of :func:`churned_new_installs`.
     """
-    inside = period.contains("created_at")
-    removal = inside & vocab["uninstall_bench"].on_action()
-    install = inside & vocab["install_bench"].on_action()
-    reached = {name: inside & cls.hit() for name, cls in milestones.items()}
+    measures = {
+        "last_uninstall": last(vocab["uninstall_bench"], period),
+        "last_install": last(vocab["install_bench"], period),
+        **{name: ever(cls, period) for name, cls in milestones.items()},
+    }
+    if base == "creation_month" or not period.one_month:
+        # A month with any event is listed, also one without an event of these classes.
+        measures["last_event"] = last(None, period)
     if base == "creation_month":
         key = ACCOUNT_ID
-        months = event_profile(
-            activity.withColumn("month", period.month_of("created_at")),
-            [key, "month"],
-            inside,
-            last_uninstall=last(removal),
-            last_install=last(install),
-            **{name: ever(c) for name, c in reached.items()},
-        ).join(creation_months(accounts, period, rule or SET_E, account_zone), [key, "month"])
+        rows = activity.withColumn("month", period.month_of("created_at"))
+        kept = creation_months(accounts, period, rule or SET_E, account_zone)
+        months = event_profile(rows, [key, "month"], **measures).join(kept, [key, "month"])
     else:
         key = "store_name"
-        months = _churned_store_months(
-            activity, period, vocab,
-            monthly={"last_uninstall": removal, "last_install": install, **reached},
-            every_month=True,
-        ).withColumns({name: F.col(name).isNotNull() for name in reached})
-        kept = eligible_accounts(accounts, rule or SET_C).select("store_name")
-        months = months.join(kept, "store_name")
+        kept = eligible_accounts(accounts, rule or SET_C).select(key)
+        months = _churned_store_months(activity, period, vocab, monthly=measures).join(kept, key)
     uninstalled = F.coalesce(F.col("last_uninstall") > F.col("last_install"), F.lit(False))
-    return months.select(key, "month", uninstalled.alias("uninstalled"), *reached)
+    return months.select(key, "month", uninstalled.alias("uninstalled"), *milestones)
 
 
 def milestones_by_month(
@@ -374,24 +349,23 @@ def onboarding_stop_step(
     account_zone: str | None = None,
 ) -> DataFrame:
     """Churned stores created in the period with the onboarding steps they took in it."""
-    inside = period.contains("created_at")
     steps = {
-        "step1": inside & vocab["onb_step1"].hit(),
-        "step2": inside & vocab["onb_step2"].hit(),
-        "step3": inside & vocab["onb_step3"].hit(),
-        "completed": inside & vocab["onb_done"].hit(),
+        "step1": ever(vocab["onb_step1"], period),
+        "step2": ever(vocab["onb_step2"], period),
+        "step3": ever(vocab["onb_step3"], period),
+        "completed": ever(vocab["onb_done"], period),
     }
     if base == "last_uninstall":
         key = ACCOUNT_ID
         rows = last_uninstall(
             activity, accounts, period, rule or SET_G, cohort="new", uninstalls="uninstall_only",
-            vocab=vocab, account_zone=account_zone, store_flags=steps,
+            vocab=vocab, account_zone=account_zone, extra=steps,
         )
     else:
         key = "store_name"
-        removal = {"last_removal": inside & vocab["uninstall_action"].on_action()}
         stores = _churned_store_months(
-            activity, period, vocab, store_flags=steps, store_last=removal
+            activity, period, vocab,
+            lifted={**steps, "last_removal": last(vocab["uninstall_action"], period)},
         )
         kept = cohort_accounts(accounts, rule or SET_C, period, "new", account_zone)
         rows = (
@@ -432,18 +406,18 @@ def churned_unfinished(
     without a display plan again.
     """
     facts = {
-        "finished": any_of(vocab["onb_step3"].hit(), vocab["onb_done"].hit()),
-        "enabled": vocab["app_enabled"].hit(),
+        "finished": ever(union(vocab["onb_step3"], vocab["onb_done"])),
+        "enabled": ever(vocab["app_enabled"]),
     }
     if base == "last_uninstall":
         key = ACCOUNT_ID
         rows = last_uninstall(
             activity, accounts, period, final_rule, cohort="new", uninstalls="uninstall_only",
-            vocab=vocab, account_zone=account_zone, store_flags=facts,
+            vocab=vocab, account_zone=account_zone, extra=facts,
         )
     else:
         key = "store_name"
-        stores = _churned_store_months(activity, period, vocab, store_flags=facts)
+        stores = _churned_store_months(activity, period, vocab, lifted=facts)
         kept = eligible_accounts(eligible_accounts(accounts, rule or SET_C), final_rule).filter(
             cohort_of(period, account_zone) == "new"
         )

@@ -11,6 +11,7 @@ from cohortry.functions.eligibility import SET_A, PlanFilter
 from cohortry.functions.period import Period
 from cohortry.functions.vocabulary import VOCABULARY, EventClass
 from cohortry.operators.accounts import cohort_accounts
+from cohortry.operators.events import in_period
 from cohortry.operators.profile import (
     HOT_ROWS,
     any_of,
@@ -40,13 +41,11 @@ def surviving_installs(
 
     One row per store with the time of that install; churn at the same instant does not count.
     """
-    install, churn = vocab[installs].hit(), vocab["churn"].hit()
     profile = event_profile(
         activity,
         ["store_name"],
-        period.contains("created_at") & any_of(install, churn),
-        installed=last(install),
-        churned=last(churn),
+        installed=last(vocab[installs], period),
+        churned=last(vocab["churn"], period),
     )
     return (
         profile.filter(holds_after("installed", "churned"))
@@ -69,13 +68,12 @@ def _status_profile(activity: DataFrame, period: Period, vocab: Vocabulary) -> D
     return event_profile(
         activity,
         ["store_name"],
-        period.contains("created_at"),
-        installed=last(vocab["install_any"].hit()),
-        reinstalled=last(vocab["reinstall"].hit()),
-        reopened=last(vocab["reopen"].hit()),
-        churned=last(vocab["churn"].hit()),
-        left=last(vocab["churn_action"].hit()),
-        last_event=F.max("created_at"),
+        installed=last(vocab["install_any"], period),
+        reinstalled=last(vocab["reinstall"], period),
+        reopened=last(vocab["reopen"], period),
+        churned=last(vocab["churn"], period),
+        left=last(vocab["churn_action"], period),
+        last_event=last(None, period),
     )
 
 
@@ -169,18 +167,19 @@ def fresh_count_by_month(
     A store counts in each month that has an install not followed by churn in the whole period. The
     window runs over one row per store and month, not over events.
     """
-    install, churn = vocab["install_any"].hit(), vocab["churn"].hit()
-    relevant = period.contains("created_at") & any_of(install, churn)
-    rows = activity.withColumn("month", period.month_of("created_at"))
+    measures = {
+        "installed": last(vocab["install_any"], period),
+        "churned": last(vocab["churn"], period),
+    }
     if period.one_month:
-        monthly = event_profile(
-            rows, ["store_name"], relevant,
-            installed=last(install), churned=last(churn), month=F.min("month"),
+        monthly = event_profile(activity, ["store_name"], **measures).withColumn(
+            "month", period.month_of("installed")
         )
     else:
-        monthly = event_profile(
-            rows, ["store_name", "month"], relevant, installed=last(install), churned=last(churn)
-        ).withColumn("churned", F.max("churned").over(Window.partitionBy("store_name")))
+        rows = activity.withColumn("month", period.month_of("created_at"))
+        monthly = event_profile(rows, ["store_name", "month"], **measures).withColumn(
+            "churned", F.max("churned").over(Window.partitionBy("store_name"))
+        )
     return (
         monthly.filter(holds_after("installed", "churned"))
         .join(cohort_accounts(accounts, rule, period, "new", account_zone), "store_name")
@@ -201,13 +200,11 @@ def installs_to_date(
     account_zone: str | None = None,
 ) -> DataFrame:
     """Stores with an install inside ``window`` that survives to the end of the longer period."""
-    install, churn = vocab[installs].hit(), vocab["churn"].hit()
     profile = event_profile(
         activity,
         ["store_name"],
-        period.contains("created_at") & any_of(install, churn),
-        installed=last(install & window.contains("created_at")),
-        churned=last(churn),
+        installed=last(vocab[installs], period, also=window.contains("created_at")),
+        churned=last(vocab["churn"], period),
     )
     return (
         profile.filter(holds_after("installed", "churned"))
@@ -225,15 +222,12 @@ def new_not_reinstalled(
     account_zone: str | None = None,
 ) -> DataFrame:
     """New stores with a surviving install of which none is a surviving re-install."""
-    install, again = vocab["install_any"].hit(), vocab["reinstall"].hit()
-    churn = vocab["churn"].hit()
     profile = event_profile(
         activity,
         ["store_name"],
-        period.contains("created_at") & any_of(install, churn),
-        installed=last(install),
-        reinstalled=last(again),
-        churned=last(churn),
+        installed=last(vocab["install_any"], period),
+        reinstalled=last(vocab["reinstall"], period),
+        churned=last(vocab["churn"], period),
     )
     return (
         profile.filter(
@@ -258,18 +252,18 @@ def install_multiplicity(
     Stores without churn take their count from the profile. Only stores that churned and came back
     look at their events again, to count those at or after the last churn.
     """
-    install, churn = vocab["install_any"].hit(), vocab["churn"].hit()
-    inside = period.contains("created_at")
+    install = vocab["install_any"]
     profile = event_profile(
         activity,
         ["store_name"],
-        inside & any_of(install, churn),
-        installed=last(install),
-        churned=last(churn),
-        installs=times(install),
+        installed=last(install, period),
+        churned=last(vocab["churn"], period),
+        installs=times(install, period),
     ).filter(holds_after("installed", "churned"))
     came_back = profile.filter("churned IS NOT NULL").select("store_name", "churned", "installs")
-    events = activity.filter(inside & install).select("event_id", "store_name", "created_at")
+    events = in_period(activity, period).filter(install.hit()).select(
+        "event_id", "store_name", "created_at"
+    )
     after_churn = (
         join_events(events, came_back, ["store_name"], "installs", hot_rows)
         .filter("created_at >= churned")
@@ -303,18 +297,14 @@ def new_install_outcomes(
     counts as following). ``charge_approved``: a charge strictly after the last install.
     ``onboarded``: onboarding completed.
     """
-    install, churn = vocab["install_any"].hit(), vocab["churn"].hit()
-    free, charge = vocab["free_plan"].hit(), vocab["charge_approved"].hit()
-    done = vocab["onb_done"].hit()
     profile = event_profile(
         activity,
         ["store_name"],
-        period.contains("created_at") & any_of(install, churn, free, charge, done),
-        installed=last(install),
-        churned=last(churn),
-        free=last(free),
-        charged=last(charge),
-        onboarded=ever(done),
+        installed=last(vocab["install_any"], period),
+        churned=last(vocab["churn"], period),
+        free=last(vocab["free_plan"], period),
+        charged=last(vocab["charge_approved"], period),
+        onboarded=ever(vocab["onb_done"], period),
     )
     return (
         profile.filter(holds_after("installed", "churned"))

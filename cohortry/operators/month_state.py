@@ -8,33 +8,29 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortry.functions.eligibility import SET_B, PlanFilter
 from cohortry.functions.period import Period
-from cohortry.functions.vocabulary import VOCABULARY, EventClass
+from cohortry.functions.vocabulary import VOCABULARY, EventClass, union
 from cohortry.operators.accounts import eligible_accounts, excluded_accounts
-from cohortry.operators.profile import any_of, ever, event_profile, holds_after, last
+from cohortry.operators.profile import Measure, any_of, ever, event_profile, holds_after, last
 
 Vocabulary = Mapping[str, EventClass]
 ACCOUNT_ID = "store_client_id"
 
 
 def _month_ends(
-    activity: DataFrame, period: Period, vocab: Vocabulary, **extra: tuple[Column, Column]
+    activity: DataFrame, period: Period, vocab: Vocabulary, **extra: Measure
 ) -> DataFrame:
-    """Installed (store, month) pairs; ``extra`` adds measures as name=(relevant rows, measure)."""
-    inside = period.contains("created_at")
-    install = inside & any_of(vocab["fresh"].hit(), vocab["reinstall_wide"].hit())
-    removal = inside & vocab["uninstall_only"].hit()
+    """Installed (store, month) pairs of the period, with extra measures."""
     profile = event_profile(
         activity.withColumn("month", period.month_of("created_at")),
         [ACCOUNT_ID, "month"],
-        any_of(install, removal, *(rows for rows, _ in extra.values())),
-        installed=last(install),
-        removed=last(removal),
-        **{name: measure for name, (_, measure) in extra.items()},
+        installed=last(union(vocab["fresh"], vocab["reinstall_wide"]), period),
+        removed=last(vocab["uninstall_only"], period),
+        **extra,
     )
     return profile.filter(holds_after("installed", "removed"))
 
@@ -79,8 +75,8 @@ def onboarding_at_month_end(
     ``onboarded`` tells whether onboarding was completed in that calendar month. An unknown plan is
     not an excluded one.
     """
-    done = period.whole_months().contains("created_at") & vocab["onb_done"].hit()
-    states = _month_ends(activity, period, vocab, onboarded=(done, ever(done)))
+    done = ever(vocab["onb_done"], period.whole_months())
+    states = _month_ends(activity, period, vocab, onboarded=done)
     if before is None:
         excluded = excluded_accounts(accounts, rule).select(ACCOUNT_ID)
         states = states.join(excluded, ACCOUNT_ID, "left_anti")
@@ -105,6 +101,11 @@ def onboarding_by_month(
     )
 
 
+def _scopes(period: Period, scope: str) -> tuple[Period | None, Period | None]:
+    """Where the events that decide the state lie, and those that may follow it."""
+    return (period, period.onwards()) if scope == "period" else (None, None)
+
+
 def converted_after_install(
     activity: DataFrame,
     accounts: DataFrame,
@@ -120,19 +121,15 @@ def converted_after_install(
     accounts created before it. A re-install must come from the re-install page; a fresh install
     counts from any page, but is typed 'fresh' only from its own.
     """
-    inside = period.contains("created_at") if scope == "period" else F.lit(True)
-    since = period.since("created_at") if scope == "period" else F.lit(True)
-    fresh, upgrade = vocab["fresh"].hit(), vocab["upgraded"].hit()
-    again = vocab["reinstall_wide"].hit() & vocab["reinstall_page"].hit()
+    inside, since = _scopes(period, scope)
     profile = event_profile(
         activity,
         [ACCOUNT_ID],
-        any_of(inside & vocab["lifecycle"].hit(), since & upgrade),
-        last_event=last(inside & vocab["lifecycle"].hit()),
-        fresh=last(inside & fresh),
-        fresh_on_page=last(inside & fresh & vocab["fresh_page"].hit()),
-        again=last(inside & again),
-        upgraded=last(since & upgrade),
+        last_event=last(vocab["lifecycle"], inside),
+        fresh=last(vocab["fresh"], inside),
+        fresh_on_page=last(vocab["fresh"], inside, also=vocab["fresh_page"].hit()),
+        again=last(vocab["reinstall_wide"], inside, also=vocab["reinstall_page"].hit()),
+        upgraded=last(vocab["upgraded"], since),
     )
     installed = any_of(*(
         F.coalesce(F.col(c) == F.col("last_event"), F.lit(False)) for c in ("fresh", "again")
@@ -167,22 +164,15 @@ def free_without_upgrade(
     latest free event is the best candidate for both tests, so one time per store is enough. The
     window that carries it across months runs over one row per store and month.
     """
-    inside = period.contains("created_at") if scope == "period" else F.lit(True)
-    since = period.since("created_at") if scope == "period" else F.lit(True)
-    fresh = inside & vocab["fresh"].hit()
-    again = inside & vocab["reinstall_wide"].hit()
-    removal = inside & vocab["uninstall_only"].hit()
-    free = since & vocab["free_or_downgraded"].hit()
-    upgrade = since & vocab["upgraded"].hit()
+    inside, since = _scopes(period, scope)
     months = event_profile(
         activity.withColumn("month", period.month_of("created_at")),
         [ACCOUNT_ID, "month"],
-        any_of(fresh, again, removal, free, upgrade),
-        fresh=last(fresh),
-        again=last(again),
-        removed=last(removal),
-        free=last(free),
-        upgraded=last(upgrade),
+        fresh=last(vocab["fresh"], inside),
+        again=last(vocab["reinstall_wide"], inside),
+        removed=last(vocab["uninstall_only"], inside),
+        free=last(vocab["free_or_downgraded"], since),
+        upgraded=last(vocab["upgraded"], since),
     ).withColumn("free", F.max("free").over(Window.partitionBy(ACCOUNT_ID)))
     kept = eligible_accounts(accounts, rule.keeping_null_plan())
     if scope == "before":

@@ -8,49 +8,87 @@ row per map task. Joins with accounts come after, on one row per key.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
 from functools import reduce
-from operator import or_
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cohortry.functions.period import Period
+from cohortry.functions.vocabulary import EventClass, union
+
 # Keys with more joined rows than this are spread over several tasks. A log of n rows has at most
 # n / HOT_ROWS such keys, which bounds the broadcast list of hot keys.
 HOT_ROWS = 2_000_000
 
 
-def last(condition: Column) -> Column:
-    """Latest event time under a condition."""
-    return F.max(F.when(condition, F.col("created_at")))
+@dataclass(frozen=True, eq=False)
+class Measure:
+    """An aggregate over the events of a class (any event for None) in a scope.
+
+    ``scope`` is a period of the log, None the whole log. ``also`` narrows the class further.
+    """
+
+    aggregate: Callable[[Column], Column]
+    cls: EventClass | None
+    scope: Period | None = None
+    also: Column | None = None
+
+    def column(self, scoped: bool) -> Column:
+        tests = [self.scope.contains("created_at")] if scoped and self.scope else []
+        if self.cls is not None:
+            tests.append(self.cls.hit())
+        if self.also is not None:
+            tests.append(self.also)
+        return self.aggregate(reduce(and_, tests) if tests else F.lit(True))
+
 
+def last(cls: EventClass | None, scope: Period | None = None, also: Column | None = None) -> Measure:
+    """Latest event time."""
+    return Measure(lambda hit: F.max(F.when(hit, F.col("created_at"))), cls, scope, also)
 
-def first(condition: Column) -> Column:
-    """Earliest event time under a condition."""
-    return F.min(F.when(condition, F.col("created_at")))
 
+def first(cls: EventClass | None, scope: Period | None = None, also: Column | None = None) -> Measure:
+    """Earliest event time."""
+    return Measure(lambda hit: F.min(F.when(hit, F.col("created_at"))), cls, scope, also)
 
-def ever(condition: Column) -> Column:
-    """Whether the condition held for any event."""
-    return F.coalesce(F.bool_or(condition), F.lit(False))
 
+def ever(cls: EventClass | None, scope: Period | None = None, also: Column | None = None) -> Measure:
+    """Whether there is such an event."""
+    return Measure(lambda hit: F.coalesce(F.bool_or(hit), F.lit(False)), cls, scope, also)
 
-def times(condition: Column) -> Column:
-    """Number of events under a condition."""
-    return F.count_if(condition)
+
+def times(cls: EventClass | None, scope: Period | None = None, also: Column | None = None) -> Measure:
+    """Number of such events."""
+    return Measure(F.count_if, cls, scope, also)
 
 
 def any_of(*conditions: Column) -> Column:
     return reduce(or_, conditions)
 
 
-def event_profile(
-    activity: DataFrame, keys: list[str], relevant: Column, **measures: Column
-) -> DataFrame:
-    """One row per key over the relevant events, with the named measures."""
-    return (
-        activity.filter(relevant)
-        .groupBy(*keys)
-        .agg(*(measure.alias(name) for name, measure in measures.items()))
+def _rows_of(scope: Period | None, classes: list[EventClass | None]) -> Column:
+    """The rows that measures of one scope look at: one list of labels for all their classes."""
+    tests = [scope.contains("created_at")] if scope else []
+    if None not in classes:
+        tests.append(union(*classes).hit())
+    return reduce(and_, tests) if tests else F.lit(True)
+
+
+def event_profile(activity: DataFrame, keys: list[str], **measures: Measure) -> DataFrame:
+    """One row per key with the named measures.
+
+    Rows no measure looks at are dropped before the aggregation, by one filter per scope.
+    """
+    by_scope: dict[Period | None, list[EventClass | None]] = {}
+    for measure in measures.values():
+        by_scope.setdefault(measure.scope, []).append(measure.cls)
+    relevant = any_of(*(_rows_of(scope, classes) for scope, classes in by_scope.items()))
+    mixed = len(by_scope) > 1
+    return activity.filter(relevant).groupBy(*keys).agg(
+        *(measure.column(scoped=mixed).alias(name) for name, measure in measures.items())
     )
 
 

@@ -12,7 +12,7 @@ from cohortry.functions.eligibility import SET_B, PlanFilter
 from cohortry.functions.period import Period, month_label, period_months
 from cohortry.functions.vocabulary import VOCABULARY, EventClass
 from cohortry.operators.accounts import eligible_accounts
-from cohortry.operators.profile import any_of, ever, event_profile, first
+from cohortry.operators.profile import ever, event_profile, first
 
 Vocabulary = Mapping[str, EventClass]
 
@@ -26,13 +26,12 @@ def active_accounts(
     account_zone: str | None = None,
 ) -> DataFrame:
     """Accounts created before the period that installed at some time and never churned."""
-    install, churn = vocab["install_any"].hit(), vocab["churn"].hit()
     kept = eligible_accounts(accounts, rule).filter(
         period.in_zone(account_zone).before("created_on")
     )
     never_left = event_profile(
-        activity, ["store_name"], any_of(install, churn),
-        installed=ever(install), churned=ever(churn),
+        activity, ["store_name"],
+        installed=ever(vocab["install_any"]), churned=ever(vocab["churn"]),
     ).filter("installed AND NOT churned")
     return kept.join(never_left.select("store_name"), "store_name", "left_semi").select(
         "store_client_id", "store_name", "charge_approve", "status"
@@ -63,10 +62,11 @@ def first_paid(
     Accounts with an uninstall page up to the end of the period are left out. Later events cannot
     change either answer, so the scan stops at the end of the period.
     """
-    paid, left = vocab["pricing_plan"].hit(), vocab["uninstall_page"].hit()
+    so_far = period.so_far()
     profile = event_profile(
-        activity, ["store_name"], period.not_after("created_at") & any_of(paid, left),
-        first_paid_at=first(paid), left=ever(left),
+        activity, ["store_name"],
+        first_paid_at=first(vocab["pricing_plan"], so_far),
+        left=ever(vocab["uninstall_page"], so_far),
     )
     kept = eligible_accounts(accounts, rule).filter(
         period.in_zone(account_zone).before("created_on")

@@ -1,112 +1,97 @@
 """Activity, account and snapshot tables mapped from the sample star schema.
 
 ``events`` and ``customer`` give a dense one-month log, ``orders`` and ``customer`` an 80-month log
-with real ties. Each is a lazy projection; no table is copied.
+with real ties. Each is a lazy projection; no table is copied. A customer's name follows from the
+key, so the log needs no join to carry it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+# The sample's columns that the mapping uses; a fixed schema saves the footer job of inference.
+COLUMNS = {
+    "events": "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING",
+    "orders": "o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING,"
+    " o_orderdate TIMESTAMP_NTZ, o_orderpriority STRING",
+    "customer": "c_custkey BIGINT, c_name STRING, c_mktsegment STRING",
+}
+
+EVENT_ACTION = """CASE event_type
+    WHEN 'signup' THEN CASE event_id % 4
+        WHEN 0 THEN 'fresh_install' WHEN 1 THEN 'Fresh Installs' WHEN 2 THEN 'Re-installs'
+        ELSE 'reinstall' END
+    WHEN 'error' THEN CASE event_id % 5
+        WHEN 0 THEN 'Store closed' WHEN 1 THEN 'Paid uninstalled' ELSE 'uninstall' END
+    WHEN 'view' THEN CASE event_id % 3
+        WHEN 0 THEN 'Free Plan' WHEN 1 THEN 'Free User' ELSE 'During trial' END
+    WHEN 'purchase' THEN CASE event_id % 4
+        WHEN 0 THEN 'Charge Approved' WHEN 1 THEN 'Plan Upgraded' WHEN 2 THEN 'pricing_plan_type-2'
+        ELSE 'pricing_plan_type-3' END
+    WHEN 'click' THEN CASE event_id % 8
+        WHEN 0 THEN 'PC-onboarding-step-1' WHEN 1 THEN 'SPLD-onboarding-step-2'
+        WHEN 2 THEN 'PC-onboarding-step-3' WHEN 3 THEN 'Onboarding completed'
+        WHEN 4 THEN 'App enabled-odd' WHEN 5 THEN 'Checkout Widget Enabled' WHEN 6 THEN 'reopen'
+        ELSE 'Scheduled Order Placed' END
+    END"""
+
+EVENT_PAGE = """CASE
+    WHEN event_id % 89 = 0 THEN NULL WHEN event_id % 97 = 0 THEN 'uninstall' ELSE event_type END"""
+
+ORDER_ACTION = """CASE o_orderpriority
+    WHEN '1-URGENT' THEN 'fresh_install' WHEN '2-HIGH' THEN 're-installs'
+    WHEN '3-MEDIUM' THEN 'uninstall' WHEN '4-NOT SPECIFIED' THEN 'Onboarding completed'
+    ELSE if(o_orderstatus = 'F', 'Free User', 'Plan Upgraded') END"""
+
+ORDER_PAGE = """CASE
+    WHEN o_orderkey % 11 = 0 THEN NULL
+    WHEN o_orderpriority = '1-URGENT' AND o_orderkey % 2 = 0 THEN 'Fresh Installs page'
+    WHEN o_orderpriority = '2-HIGH' AND o_orderkey % 3 != 0 THEN 're-installs'
+    ELSE 'home' END"""
+
+ACCOUNT_EMAIL = """CASE
+    WHEN c_custkey % 13 = 0 THEN NULL
+    WHEN c_custkey % 7 = 0 THEN concat('u', c_custkey, '@internal.example')
+    ELSE concat('u', c_custkey, '@shop.example') END"""
 
 
-def _customer_name(key: str) -> Column:
-    """The customer's name follows from the key, so the log needs no join to carry it."""
-    return F.concat(F.lit("Customer#"), F.lpad(F.col(key).cast("string"), 9, "0"))
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.schema(COLUMNS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _by_remainder(divisor: int, *labels: str) -> Column:
-    """A label chosen by ``event_id % divisor``; the last label also serves larger remainders."""
-    rest = F.col("event_id") % divisor
-    choice = F.when(rest == 0, labels[0])
-    for i, label in enumerate(labels[1:-1], start=1):
-        choice = choice.when(rest == i, label)
-    return choice.otherwise(labels[-1])
+def _named(key: str) -> str:
+    return f"concat('Customer#', lpad(CAST({key} AS STRING), 9, '0')) AS store_name"
 
 
 def activity_e(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kind = F.col("event_type")
-    action = (
-        F.when(kind == "signup", _by_remainder(
-            4, "fresh_install", "Fresh Installs", "Re-installs", "reinstall"))
-        .when(kind == "error", _by_remainder(5, "Store closed", "Paid uninstalled", "uninstall"))
-        .when(kind == "view", _by_remainder(3, "Free Plan", "Free User", "During trial"))
-        .when(kind == "purchase", _by_remainder(
-            4, "Charge Approved", "Plan Upgraded", "pricing_plan_type-2", "pricing_plan_type-3"))
-        .when(kind == "click", _by_remainder(
-            8, "PC-onboarding-step-1", "SPLD-onboarding-step-2", "PC-onboarding-step-3",
-            "Onboarding completed", "App enabled-odd", "Checkout Widget Enabled", "reopen",
-            "Scheduled Order Placed"))
-    )
-    page = (
-        F.when(F.col("event_id") % 89 == 0, F.lit(None).cast("string"))
-        .when(F.col("event_id") % 97 == 0, "uninstall")
-        .otherwise(kind)
-    )
-    return _table(spark, sf_dir, "events").select(
-        "event_id",
-        F.col("user_id").alias("store_client_id"),
-        _customer_name("user_id").alias("store_name"),
-        action.alias("action"),
-        page.alias("page"),
-        F.col("ts").alias("created_at"),
+    return _table(spark, sf_dir, "events").selectExpr(
+        "event_id", "user_id AS store_client_id", _named("user_id"),
+        f"{EVENT_ACTION} AS action", f"{EVENT_PAGE} AS page", "ts AS created_at",
     )
 
 
 def activity_o(spark: SparkSession, sf_dir: str) -> DataFrame:
-    priority = F.col("o_orderpriority")
-    action = (
-        F.when(priority == "1-URGENT", "fresh_install")
-        .when(priority == "2-HIGH", "re-installs")
-        .when(priority == "3-MEDIUM", "uninstall")
-        .when(priority == "4-NOT SPECIFIED", "Onboarding completed")
-        .when(F.col("o_orderstatus") == "F", "Free User")
-        .otherwise("Plan Upgraded")
-    )
-    page = (
-        F.when(F.col("o_orderkey") % 11 == 0, F.lit(None).cast("string"))
-        .when(priority == "1-URGENT", F.when(
-            F.col("o_orderkey") % 2 == 0, "Fresh Installs page").otherwise("home"))
-        .when(priority == "2-HIGH", F.when(
-            F.col("o_orderkey") % 3 == 0, "home").otherwise("re-installs"))
-        .otherwise("home")
-    )
-    return _table(spark, sf_dir, "orders").select(
-        F.col("o_orderkey").alias("event_id"),
-        F.col("o_custkey").alias("store_client_id"),
-        _customer_name("o_custkey").alias("store_name"),
-        action.alias("action"),
-        page.alias("page"),
-        F.col("o_orderdate").alias("created_at"),
+    return _table(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey AS event_id", "o_custkey AS store_client_id", _named("o_custkey"),
+        f"{ORDER_ACTION} AS action", f"{ORDER_PAGE} AS page", "o_orderdate AS created_at",
     )
 
 
 def _accounts(spark: SparkSession, sf_dir: str, log: str, owner: str, moment: str) -> DataFrame:
     """Customers with at least one event; the log is reduced to one row per customer first."""
-    first = (
-        _table(spark, sf_dir, log).groupBy(F.col(owner).alias("c_custkey"))
-        .agg(F.min(moment).alias("first_at"))
-    )
-    key = F.col("c_custkey")
-    age = F.make_dt_interval(days=((key % 3) * 20).cast("int"))
-    email = (
-        F.when(key % 13 == 0, F.lit(None).cast("string"))
-        .when(key % 7 == 0, F.concat(F.lit("u"), key.cast("string"), F.lit("@internal.example")))
-        .otherwise(F.concat(F.lit("u"), key.cast("string"), F.lit("@shop.example")))
+    first = _table(spark, sf_dir, log).groupBy(F.col(owner).alias("c_custkey")).agg(
+        F.min(moment).alias("first_at")
     )
-    return _table(spark, sf_dir, "customer").join(first, "c_custkey").select(
-        key.alias("store_client_id"),
-        F.col("c_name").alias("store_name"),
-        F.col("c_mktsegment").alias("shop_plan"),
-        F.when(key % 10 != 0, F.col("c_mktsegment")).alias("plan_display_name"),
-        (F.col("first_at") - age).alias("created_on"),
-        (key % 3).cast("string").alias("charge_approve"),
-        F.when(key % 5 == 0, "0").otherwise("1").alias("status"),
-        email.alias("email"),
+    return _table(spark, sf_dir, "customer").join(first, "c_custkey").selectExpr(
+        "c_custkey AS store_client_id",
+        "c_name AS store_name",
+        "c_mktsegment AS shop_plan",
+        "if(c_custkey % 10 = 0, NULL, c_mktsegment) AS plan_display_name",
+        "first_at - make_dt_interval(CAST(c_custkey % 3 * 20 AS INT)) AS created_on",
+        "CAST(c_custkey % 3 AS STRING) AS charge_approve",
+        "if(c_custkey % 5 = 0, '0', '1') AS status",
+        f"{ACCOUNT_EMAIL} AS email",
     )
 
 
@@ -120,22 +105,21 @@ def account_o(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def snapshot_o(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Monthly snapshots, one per (month, order status); ids grow with (month, status)."""
-    month = F.trunc(F.col("o_orderdate").cast("date"), "MM")
     per_customer = (
         _table(spark, sf_dir, "orders")
-        .groupBy(month.alias("last_month_date"), F.col("o_orderstatus").alias("app_status"), "o_custkey")
-        .agg(F.max(F.col("o_orderpriority") == "1-URGENT").alias("paid"))
+        .selectExpr(
+            "trunc(CAST(o_orderdate AS DATE), 'MM') AS last_month_date",
+            "o_orderstatus AS app_status", "o_custkey", "o_orderpriority = '1-URGENT' AS urgent",
+        )
+        .groupBy("last_month_date", "app_status", "o_custkey")
+        .agg(F.max("urgent").alias("paid"))
     )
     totals = per_customer.groupBy("last_month_date", "app_status").agg(
         F.count("*").alias("active_users"), F.count_if("paid").alias("paid_users")
     )
-    month_number = F.year("last_month_date") * 12 + F.month("last_month_date")
-    rank = F.when(F.col("app_status") == "F", 0).when(F.col("app_status") == "O", 1).otherwise(2)
-    return totals.select(
-        (month_number * 3 + rank).cast("long").alias("id"),
-        "active_users",
-        (F.col("active_users") - F.col("paid_users")).alias("free_users"),
-        "paid_users",
-        "app_status",
-        "last_month_date",
+    return totals.selectExpr(
+        """CAST((year(last_month_date) * 12 + month(last_month_date)) * 3
+            + CASE app_status WHEN 'F' THEN 0 WHEN 'O' THEN 1 ELSE 2 END AS BIGINT) AS id""",
+        "active_users", "active_users - paid_users AS free_users", "paid_users",
+        "app_status", "last_month_date",
     )

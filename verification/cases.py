@@ -37,7 +37,8 @@ G = SET_G.also(BANNED)
 
 JANUARY = Period.days("2024-01-01", "2024-01-30")
 WEEK = Period.days("2024-01-08", "2024-01-14")
-TO_DATE = Period.days("2024-01-08", "2024-01-31")
+TO_DATE = Period.days("2024-01-20", "2024-01-31")
+WINDOW = Period.days("2024-01-24", "2024-01-29")
 HALF_YEAR = Period.days("1996-03-01", "1996-08-31")
 YEARS = Period.through("1999-12-31")
 SPAN = Period.days("1995-02-01", "2001-07-31")
@@ -195,8 +196,8 @@ def cases() -> dict[str, Case]:
             naive.fresh_count_by_month(HALF_YEAR, A)),
         "installs_to_date": on_e(
             lambda a, c: installs.installs_to_date(
-                a, c, TO_DATE, WEEK, cohort="previous", installs="reinstall", rule=A),
-            naive.installs_to_date(TO_DATE, WEEK, A, "previous", "reinstall")),
+                a, c, TO_DATE, WINDOW, cohort="previous", installs="reinstall", rule=A),
+            naive.installs_to_date(TO_DATE, WINDOW, A, "previous", "reinstall")),
         "new_not_reinstalled": on_e(
             lambda a, c: installs.new_not_reinstalled(a, c, JANUARY, rule=A),
             naive.new_not_reinstalled(JANUARY, A)),
@@ -345,8 +346,8 @@ def cases() -> dict[str, Case]:
             lambda a, c: reports.fresh_by_month(a, c, HALF_YEAR, rule=A),
             _labelled(naive.fresh_count_by_month(HALF_YEAR, A))),
         "report_installs_to_date": on_e(
-            lambda a, c: reports.installs_to_date(a, c, TO_DATE, WEEK, cohort="previous", rule=A),
-            naive.installs_to_date(TO_DATE, WEEK, A, "previous")),
+            lambda a, c: reports.installs_to_date(a, c, TO_DATE, WINDOW, cohort="previous", rule=A),
+            naive.installs_to_date(TO_DATE, WINDOW, A, "previous")),
         "report_status_by_month": on_e(
             lambda a, c: reports.status_by_month(a, c, JANUARY, rule=A),
             _labelled(naive.status_by_month(JANUARY, A))),
