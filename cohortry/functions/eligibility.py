@@ -45,49 +45,39 @@ class PlanFilter:
     def keeping_null_plan(self) -> PlanFilter:
         return replace(self, keep_null_plan=True)
 
-    def _folded(self, column: str) -> Column:
-        return F.lower(F.col(column)) if self.fold_case else F.col(column)
+    def _folded(self, column: str) -> str:
+        return f"lower({column})" if self.fold_case else column
 
     def _label(self, text: str) -> str:
         return text.lower() if self.fold_case else text
 
-    def _outside(self, column: str, labels: tuple[str, ...]) -> Column:
+    def _outside(self, column: str, labels: tuple[str, ...]) -> str:
         wanted = list(dict.fromkeys(self._label(x) for x in labels))
-        return ~in_list(f"lower({column})" if self.fold_case else column, wanted)
+        return "NOT " + in_list(self._folded(column), wanted)
 
-    def _lacks_substring(self, column: str) -> Column:
-        return ~self._folded(column).contains(self._label(self.substring))
+    def _lacks_substring(self, column: str) -> str:
+        return f"NOT contains({self._folded(column)}, '{self._label(self.substring)}')"
+
+    def _rule(self, column: str, labels: tuple[str, ...], keep_null: bool) -> str:
+        tests = [self._outside(column, labels)] if labels else []
+        tests += [self._lacks_substring(column)] if self.substring else []
+        rule = " AND ".join(tests) or "true"
+        return f"({column} IS NULL OR ({rule}))" if keep_null else f"({rule})"
 
     def excluded_plan(self) -> Column:
         """The account is in an excluded plan; NULL for an unknown plan."""
-        return ~self._outside("shop_plan", self.plans)
+        return ~F.expr(self._outside("shop_plan", self.plans))
 
     def accepts(self) -> Column:
         """True for accounts the rule keeps; NULL or false drops the row in a filter."""
-        plan = self._outside("shop_plan", self.plans)
-        if self.substring:
-            plan = plan & self._lacks_substring("shop_plan")
-        if self.keep_null_plan:
-            plan = F.col("shop_plan").isNull() | plan
-        rules = [plan]
-
-        display = []
-        if self.display_plans:
-            display.append(self._outside("plan_display_name", self.display_plans))
-        if self.substring:
-            display.append(self._lacks_substring("plan_display_name"))
-        if display:
-            rule = display[0] if len(display) == 1 else display[0] & display[1]
-            if self.keep_null_display:
-                rule = F.col("plan_display_name").isNull() | rule
-            rules.append(rule)
-
-        rules += [~self._folded("email").endswith(self._label(s)) for s in self.email_suffixes]
-
-        accepted = rules[0]
-        for rule in rules[1:]:
-            accepted = accepted & rule
-        return accepted
+        rules = [
+            self._rule("shop_plan", self.plans, self.keep_null_plan),
+            self._rule("plan_display_name", self.display_plans, self.keep_null_display),
+        ]
+        rules += [
+            f"NOT endswith({self._folded('email')}, '{self._label(s)}')" for s in self.email_suffixes
+        ]
+        return F.expr(" AND ".join(rules))
 
 
 # Plan labels that mark test, staff, partner, paused or closed shops.

@@ -33,25 +33,24 @@ def _day(value: date | str) -> date:
     return date.fromisoformat(value) if isinstance(value, str) else value
 
 
-def ntz(moment: datetime) -> Column:
+def ntz(moment: datetime) -> str:
     """A TIMESTAMP_NTZ literal, independent of the session and driver time zones."""
-    return F.expr(f"TIMESTAMP_NTZ'{moment.isoformat(sep=' ', timespec='microseconds')}'")
+    return f"TIMESTAMP_NTZ'{moment.isoformat(sep=' ', timespec='microseconds')}'"
 
 
-def local_time(column: str | Column, zone: str = DEFAULT_ZONE) -> Column:
-    """A UTC column as local wall-clock time."""
-    column = F.col(column) if isinstance(column, str) else column
+def local_time(column: str, zone: str = DEFAULT_ZONE) -> str:
+    """SQL text: a UTC column as local wall-clock time."""
     shift = _fixed_offset(zone)
     if shift is None:
-        return F.convert_timezone(F.lit("UTC"), F.lit(zone), column)
+        return f"convert_timezone('UTC', '{zone}', {column})"
     if not shift:
         return column
-    return column + F.expr(f"INTERVAL '{int(shift.total_seconds() // 60)}' MINUTE")
+    return f"({column} + INTERVAL '{int(shift.total_seconds() // 60)}' MINUTE)"
 
 
-def local_month(column: str | Column, zone: str = DEFAULT_ZONE) -> Column:
+def local_month(column: str, zone: str = DEFAULT_ZONE) -> Column:
     """First day of the local month of a UTC column."""
-    return F.trunc(local_time(column, zone).cast("date"), "MM")
+    return F.expr(f"trunc(CAST({local_time(column, zone)} AS DATE), 'MM')")
 
 
 def month_label(column: str | Column) -> Column:
@@ -126,29 +125,25 @@ class Period:
         """Everything up to the end."""
         return replace(self, lo=None)
 
-    def contains(self, column: str) -> Column:
-        if self.hi is None:
-            return self.since(column)
-        if self.lo is None:
-            return self.not_after(column)
-        return self.since(column) & self.not_after(column)
-
-    def since(self, column: str) -> Column:
-        """At or after the start."""
+    def sql(self, column: str) -> str:
+        """The period as SQL text on a UTC column."""
+        lo, hi = self.utc_bounds()
+        tests = [f"{column} >= {ntz(lo)}"] if lo else []
+        tests += [f"{column} < {ntz(hi)}"] if hi else []
+        return f"({' AND '.join(tests) or 'true'})"
+
+    def before_sql(self, column: str) -> str:
+        """Before the start, as SQL text."""
         lo, _ = self.utc_bounds()
-        return F.lit(True) if lo is None else F.col(column) >= ntz(lo)
+        return f"({column} < {ntz(lo)})" if lo else "false"
 
-    def not_after(self, column: str) -> Column:
-        """Before the end."""
-        _, hi = self.utc_bounds()
-        return F.lit(True) if hi is None else F.col(column) < ntz(hi)
+    def contains(self, column: str) -> Column:
+        return F.expr(self.sql(column))
 
     def before(self, column: str) -> Column:
-        """Before the start."""
-        lo, _ = self.utc_bounds()
-        return F.lit(False) if lo is None else F.col(column) < ntz(lo)
+        return F.expr(self.before_sql(column))
 
-    def month_of(self, column: str | Column) -> Column:
+    def month_of(self, column: str) -> Column:
         return local_month(column, self.zone)
 
     @property

@@ -5,6 +5,9 @@ The log holds free-text labels. An :class:`EventClass` names the spellings of on
 matched without regard to case: by default every known spelling is listed in its usual case
 variants, so the raw column stays bare and the list reaches the Parquet reader; ``folded()``
 lower-cases the column instead, for logs with arbitrary casing.
+
+Conditions are built as SQL text and parsed once where they are used: a profile combines dozens of
+them, and every Column operation would be a round trip to the JVM.
 """
 
 from __future__ import annotations
@@ -24,10 +27,10 @@ def case_variants(spellings: tuple[str, ...]) -> list[str]:
     return list(dict.fromkeys(form(s) for s in spellings for form in forms))
 
 
-def in_list(expression: str, labels: list[str]) -> Column:
-    """``expression IN (labels)`` in one call; ``isin`` would make one literal per label."""
+def in_list(expression: str, labels: list[str]) -> str:
+    """SQL text ``expression IN (labels)``."""
     literals = (label.replace("\\", "\\\\").replace("'", "\\'") for label in labels)
-    return F.expr(f"{expression} IN ({', '.join(f"'{x}'" for x in literals)})")
+    return f"{expression} IN ({', '.join(f"'{x}'" for x in literals)})"
 
 
 @dataclass(frozen=True)
@@ -43,19 +46,19 @@ class EventClass:
             self.fold_case or other.fold_case,
         )
 
-    def _listed(self, column: str, spellings: tuple[str, ...]) -> Column:
+    def _listed(self, column: str, spellings: tuple[str, ...]) -> str:
         if self.fold_case:
             return in_list(f"lower({column})", [s.lower() for s in spellings])
         return in_list(column, case_variants(spellings))
 
+    def sql(self) -> str:
+        """The test as SQL text: either channel carries a spelling; a NULL page never does."""
+        channels = {"action": self.actions, "page": self.pages}
+        tests = [self._listed(column, labels) for column, labels in channels.items() if labels]
+        return f"({' OR '.join(tests)})"
+
     def hit(self) -> Column:
-        """True when either channel carries a spelling of the class; a NULL page never does."""
-        tests = []
-        if self.actions:
-            tests.append(self._listed("action", self.actions))
-        if self.pages:
-            tests.append(self._listed("page", self.pages))
-        return reduce(or_, tests)
+        return F.expr(self.sql())
 
 
 # The labels that occur in the activity log.

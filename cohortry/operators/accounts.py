@@ -8,9 +8,6 @@ from pyspark.sql import functions as F
 from cohortry.functions.eligibility import PlanFilter
 from cohortry.functions.period import Period
 
-ACCOUNT_COLUMNS = ("store_client_id", "store_name", "cohort")
-
-
 def eligible_accounts(accounts: DataFrame, rule: PlanFilter) -> DataFrame:
     return accounts.filter(rule.accepts())
 
@@ -27,8 +24,9 @@ def cohort_of(period: Period, account_zone: str | None = None) -> Column:
     are); by default they are local, as for events.
     """
     bounds = period.in_zone(account_zone)
-    return F.when(bounds.before("created_on"), "previous").when(
-        bounds.not_after("created_on"), "new"
+    return F.expr(
+        f"CASE WHEN {bounds.before_sql('created_on')} THEN 'previous'"
+        f" WHEN {bounds.so_far().sql('created_on')} THEN 'new' END"
     )
 
 
@@ -40,7 +38,11 @@ def cohort_accounts(
     account_zone: str | None = None,
 ) -> DataFrame:
     """Keys and cohort of the eligible accounts, optionally of one cohort only."""
-    kept = eligible_accounts(accounts, rule).select(
-        "store_client_id", "store_name", cohort_of(period, account_zone).alias("cohort")
-    )
-    return kept if cohort is None else kept.filter(F.col("cohort") == cohort)
+    kept = eligible_accounts(accounts, rule)
+    bounds = period.in_zone(account_zone)
+    if cohort == "new":
+        kept = kept.filter(bounds.contains("created_on"))
+    elif cohort == "previous":
+        kept = kept.filter(bounds.before("created_on"))
+    label = cohort_of(period, account_zone) if cohort is None else F.lit(cohort)
+    return kept.select("store_client_id", "store_name", label.alias("cohort"))

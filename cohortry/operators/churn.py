@@ -60,7 +60,7 @@ def churned_events(
     )
     return (
         join_events(events, gate, ["store_name"], "churns", hot_rows)
-        .filter(F.col("installed").isNull() | (F.col("created_at") >= F.col("installed")))
+        .filter("installed IS NULL OR created_at >= installed")
         .select(
             F.col("account_id").alias("store_client_id"),
             "store_name", "event_id", "action", "page", "created_at", "cohort",
@@ -81,7 +81,7 @@ def churn_buckets(
     ``same_month``: new account, ``previous_month``: older account, ``reinstall_unistall``: older
     and re-installed in the period, ``store_closed``: closed and not re-opened at any later time.
     """
-    churn = vocab["churn"].hit()
+    churn = vocab["churn"].sql()
     profile = event_profile(
         activity,
         ["store_name"],
@@ -102,7 +102,7 @@ def churn_buckets(
     }
     flags = [F.coalesce(c, F.lit(False)).alias(name) for name, c in buckets.items()]
     return (
-        profile.filter(F.coalesce("removed_wide", "closed").isNotNull())
+        profile.filter("removed_wide IS NOT NULL OR closed IS NOT NULL")
         .join(cohort_accounts(accounts, rule, period, None, account_zone), "store_name")
         .select("store_client_id", "store_name", *flags)
         .filter(any_of(*(F.col(name) for name in buckets)))
@@ -251,14 +251,14 @@ def plan_at_churn_by_month(
     activity: DataFrame, accounts: DataFrame, period: Period, **options
 ) -> DataFrame:
     """Six counts per month: trial, free and paid, each for new and older accounts."""
-    new, previous = F.col("cohort") == "new", F.col("cohort") == "previous"
+    new, previous = "cohort = 'new'", "cohort = 'previous'"
     return plan_at_churn(activity, accounts, period, **options).groupBy("month").agg(
-        F.count_if(new & F.col("during_trial")).alias("during_trial_monthly"),
-        F.count_if(previous & F.col("during_trial")).alias("during_trial_overall"),
-        F.count_if(new & F.col("free_plan")).alias("free_plan_monthly"),
-        F.count_if(previous & F.col("free_plan")).alias("free_plan_overall"),
-        F.count_if(new & F.col("paid_plan")).alias("paid_plan_monthly"),
-        F.count_if(previous & F.col("paid_only")).alias("paid_plan_overall"),
+        F.expr(f"count_if({new} AND during_trial) AS during_trial_monthly"),
+        F.expr(f"count_if({previous} AND during_trial) AS during_trial_overall"),
+        F.expr(f"count_if({new} AND free_plan) AS free_plan_monthly"),
+        F.expr(f"count_if({previous} AND free_plan) AS free_plan_overall"),
+        F.expr(f"count_if({new} AND paid_plan) AS paid_plan_monthly"),
+        F.expr(f"count_if({previous} AND paid_only) AS paid_plan_overall"),
     )
 
 
@@ -321,7 +321,7 @@ def milestones_of_churned(
         key = "store_name"
         kept = eligible_accounts(accounts, rule or SET_C).select(key)
         months = _churned_store_months(activity, period, vocab, monthly=measures).join(kept, key)
-    uninstalled = F.coalesce(F.col("last_uninstall") > F.col("last_install"), F.lit(False))
+    uninstalled = F.expr("coalesce(last_uninstall > last_install, false)")
     return months.select(key, "month", uninstalled.alias("uninstalled"), *milestones)
 
 
@@ -335,7 +335,7 @@ def milestones_by_month(
     """Churned stores per month that had reached each milestone."""
     months = milestones_of_churned(activity, accounts, period, milestones=milestones, **options)
     return months.groupBy("month").agg(
-        *(F.count_if(F.col("uninstalled") & F.col(name)).alias(name) for name in milestones)
+        *(F.expr(f"count_if(uninstalled AND {name}) AS {name}") for name in milestones)
     )
 
 

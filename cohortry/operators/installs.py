@@ -14,7 +14,6 @@ from cohortry.operators.accounts import cohort_accounts
 from cohortry.operators.events import in_period
 from cohortry.operators.profile import (
     HOT_ROWS,
-    any_of,
     ever,
     event_profile,
     holds_after,
@@ -79,9 +78,7 @@ def _status_profile(activity: DataFrame, period: Period, vocab: Vocabulary) -> D
 
 def _still_open() -> Column:
     """Re-opened, and no close or uninstall among the events at the store's last instant."""
-    return F.col("reopened").isNotNull() & (
-        F.col("left").isNull() | (F.col("left") < F.col("last_event"))
-    )
+    return F.expr("reopened IS NOT NULL AND (`left` IS NULL OR `left` < last_event)")
 
 
 def reopened_stores(
@@ -127,7 +124,7 @@ def install_status(
     ))
     return (
         _status_profile(activity, period, vocab)
-        .filter(any_of(F.col("installed").isNotNull(), F.col("reopened").isNotNull()))
+        .filter("installed IS NOT NULL OR reopened IS NOT NULL")
         .join(cohort_accounts(accounts, rule, period, None, account_zone), "store_name")
         .select("store_client_id", "store_name", F.inline(statuses))
     )
@@ -203,7 +200,7 @@ def installs_to_date(
     profile = event_profile(
         activity,
         ["store_name"],
-        installed=last(vocab[installs], period, also=window.contains("created_at")),
+        installed=last(vocab[installs], period, also=window.sql("created_at")),
         churned=last(vocab["churn"], period),
     )
     return (
@@ -314,7 +311,7 @@ def new_install_outcomes(
             "store_name",
             F.col("installed").alias("created_at"),
             strictly_after("free", "charged").alias("on_free_plan"),
-            F.coalesce(F.col("charged") > F.col("installed"), F.lit(False)).alias("charge_approved"),
+            F.expr("coalesce(charged > installed, false)").alias("charge_approved"),
             F.col("charged").alias("latest_charge_approved"),
             "onboarded",
         )

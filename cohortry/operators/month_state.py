@@ -15,7 +15,7 @@ from cohortry.functions.eligibility import SET_B, PlanFilter
 from cohortry.functions.period import Period
 from cohortry.functions.vocabulary import VOCABULARY, EventClass, union
 from cohortry.operators.accounts import eligible_accounts, excluded_accounts
-from cohortry.operators.profile import Measure, any_of, ever, event_profile, holds_after, last
+from cohortry.operators.profile import Measure, ever, event_profile, holds_after, last
 
 Vocabulary = Mapping[str, EventClass]
 ACCOUNT_ID = "store_client_id"
@@ -127,24 +127,21 @@ def converted_after_install(
         [ACCOUNT_ID],
         last_event=last(vocab["lifecycle"], inside),
         fresh=last(vocab["fresh"], inside),
-        fresh_on_page=last(vocab["fresh"], inside, also=vocab["fresh_page"].hit()),
-        again=last(vocab["reinstall_wide"], inside, also=vocab["reinstall_page"].hit()),
+        fresh_on_page=last(vocab["fresh"], inside, also=vocab["fresh_page"].sql()),
+        again=last(vocab["reinstall_wide"], inside, also=vocab["reinstall_page"].sql()),
         upgraded=last(vocab["upgraded"], since),
     )
-    installed = any_of(*(
-        F.coalesce(F.col(c) == F.col("last_event"), F.lit(False)) for c in ("fresh", "again")
-    ))
     kept = eligible_accounts(accounts, rule.keeping_null_plan())
     if scope == "before":
         kept = kept.filter(period.in_zone(account_zone).before("created_on"))
     return (
-        profile.filter(installed & (F.col("upgraded") >= F.col("last_event")))
+        profile.filter("greatest(fresh, again) = last_event AND upgraded >= last_event")
         .join(kept.select(ACCOUNT_ID), ACCOUNT_ID, "left_semi")
         .select(
             ACCOUNT_ID,
             F.col("last_event").alias("created_at"),
-            F.coalesce(F.col("fresh_on_page") == F.col("last_event"), F.lit(False)).alias("is_fresh"),
-            F.coalesce(F.col("again") == F.col("last_event"), F.lit(False)).alias("is_reinstall"),
+            F.expr("coalesce(fresh_on_page = last_event, false)").alias("is_fresh"),
+            F.expr("coalesce(again = last_event, false)").alias("is_reinstall"),
         )
     )
 
@@ -180,14 +177,13 @@ def free_without_upgrade(
     return (
         months.withColumn("installed", F.greatest("fresh", "again"))
         .filter(holds_after("installed", "removed"))
-        .filter(F.col("free") >= F.col("installed"))
-        .filter(F.col("upgraded").isNull() | (F.col("free") > F.col("upgraded")))
+        .filter("free >= installed AND (upgraded IS NULL OR free > upgraded)")
         .join(kept.select(ACCOUNT_ID), ACCOUNT_ID, "left_semi")
         .select(
             ACCOUNT_ID,
             "month",
             F.col("installed").alias("created_at"),
-            F.coalesce(F.col("fresh") == F.col("installed"), F.lit(False)).alias("is_fresh"),
-            F.coalesce(F.col("again") == F.col("installed"), F.lit(False)).alias("is_reinstall"),
+            F.expr("coalesce(fresh = installed, false)").alias("is_fresh"),
+            F.expr("coalesce(again = installed, false)").alias("is_reinstall"),
         )
     )

@@ -8,10 +8,9 @@ row per map task. Joins with accounts come after, on one row per key.
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
-from operator import and_, or_
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,57 +23,56 @@ from cohortry.functions.vocabulary import EventClass, union
 HOT_ROWS = 2_000_000
 
 
-@dataclass(frozen=True, eq=False)
+@dataclass(frozen=True)
 class Measure:
     """An aggregate over the events of a class (any event for None) in a scope.
 
-    ``scope`` is a period of the log, None the whole log. ``also`` narrows the class further.
+    ``template`` is the aggregate with ``{hit}`` for the condition. ``scope`` is a period of the
+    log, None the whole log. ``also`` narrows the class further.
     """
 
-    aggregate: Callable[[Column], Column]
+    template: str
     cls: EventClass | None
     scope: Period | None = None
-    also: Column | None = None
+    also: str | None = None
 
     def column(self, scoped: bool) -> Column:
-        tests = [self.scope.contains("created_at")] if scoped and self.scope else []
-        if self.cls is not None:
-            tests.append(self.cls.hit())
-        if self.also is not None:
-            tests.append(self.also)
-        return self.aggregate(reduce(and_, tests) if tests else F.lit(True))
+        tests = [self.scope.sql("created_at")] if scoped and self.scope else []
+        tests += [self.cls.sql()] if self.cls else []
+        tests += [self.also] if self.also else []
+        return F.expr(self.template.format(hit=" AND ".join(tests) or "true"))
 
 
-def last(cls: EventClass | None, scope: Period | None = None, also: Column | None = None) -> Measure:
+def last(cls: EventClass | None, scope: Period | None = None, also: str | None = None) -> Measure:
     """Latest event time."""
-    return Measure(lambda hit: F.max(F.when(hit, F.col("created_at"))), cls, scope, also)
+    return Measure("max(CASE WHEN {hit} THEN created_at END)", cls, scope, also)
 
 
-def first(cls: EventClass | None, scope: Period | None = None, also: Column | None = None) -> Measure:
+def first(cls: EventClass | None, scope: Period | None = None, also: str | None = None) -> Measure:
     """Earliest event time."""
-    return Measure(lambda hit: F.min(F.when(hit, F.col("created_at"))), cls, scope, also)
+    return Measure("min(CASE WHEN {hit} THEN created_at END)", cls, scope, also)
 
 
-def ever(cls: EventClass | None, scope: Period | None = None, also: Column | None = None) -> Measure:
+def ever(cls: EventClass | None, scope: Period | None = None, also: str | None = None) -> Measure:
     """Whether there is such an event."""
-    return Measure(lambda hit: F.coalesce(F.bool_or(hit), F.lit(False)), cls, scope, also)
+    return Measure("coalesce(bool_or({hit}), false)", cls, scope, also)
 
 
-def times(cls: EventClass | None, scope: Period | None = None, also: Column | None = None) -> Measure:
+def times(cls: EventClass | None, scope: Period | None = None, also: str | None = None) -> Measure:
     """Number of such events."""
-    return Measure(F.count_if, cls, scope, also)
+    return Measure("count_if({hit})", cls, scope, also)
 
 
 def any_of(*conditions: Column) -> Column:
     return reduce(or_, conditions)
 
 
-def _rows_of(scope: Period | None, classes: list[EventClass | None]) -> Column:
+def _rows_of(scope: Period | None, classes: list[EventClass | None]) -> str:
     """The rows that measures of one scope look at: one list of labels for all their classes."""
-    tests = [scope.contains("created_at")] if scope else []
+    tests = [scope.sql("created_at")] if scope else []
     if None not in classes:
-        tests.append(union(*classes).hit())
-    return reduce(and_, tests) if tests else F.lit(True)
+        tests.append(union(*classes).sql())
+    return f"({' AND '.join(tests) or 'true'})"
 
 
 def event_profile(activity: DataFrame, keys: list[str], **measures: Measure) -> DataFrame:
@@ -85,7 +83,7 @@ def event_profile(activity: DataFrame, keys: list[str], **measures: Measure) ->
     by_scope: dict[Period | None, list[EventClass | None]] = {}
     for measure in measures.values():
         by_scope.setdefault(measure.scope, []).append(measure.cls)
-    relevant = any_of(*(_rows_of(scope, classes) for scope, classes in by_scope.items()))
+    relevant = " OR ".join(_rows_of(scope, classes) for scope, classes in by_scope.items())
     mixed = len(by_scope) > 1
     return activity.filter(relevant).groupBy(*keys).agg(
         *(measure.column(scoped=mixed).alias(name) for name, measure in measures.items())
@@ -94,12 +92,12 @@ def event_profile(activity: DataFrame, keys: list[str], **measures: Measure) ->
 
 def holds_after(event: str, other: str) -> Column:
     """The event happened, and nothing of the other kind strictly later (a tie holds)."""
-    return F.col(event).isNotNull() & (F.col(other).isNull() | (F.col(event) >= F.col(other)))
+    return F.expr(f"({event} IS NOT NULL AND ({other} IS NULL OR {event} >= {other}))")
 
 
 def strictly_after(event: str, other: str) -> Column:
     """The event happened, and nothing of the other kind at the same time or later."""
-    return F.col(event).isNotNull() & (F.col(other).isNull() | (F.col(event) > F.col(other)))
+    return F.expr(f"({event} IS NOT NULL AND ({other} IS NULL OR {event} > {other}))")
 
 
 def join_events(
@@ -110,9 +108,9 @@ def join_events(
     ``rows`` names the gate's count of log rows per key. Keys above ``hot_rows`` are split over
     ``ceil(rows / hot_rows)`` salts on both sides; all others keep a single salt.
     """
-    fan = F.ceil(F.col(rows) / hot_rows).cast("int")
+    fan = F.expr(f"CAST(ceil({rows} / {hot_rows}) AS INT)")
     hot = gate.filter(F.col(rows) > hot_rows).select(*keys, fan.alias("fan"))
-    salt = F.coalesce(F.pmod(F.xxhash64(*events.columns), F.col("fan")).cast("int"), F.lit(0))
+    salt = F.expr(f"coalesce(CAST(pmod(xxhash64({', '.join(events.columns)}), fan) AS INT), 0)")
     salted = events.join(F.broadcast(hot), keys, "left").withColumn("salt", salt).drop("fan")
     salts = F.sequence(F.lit(0), F.greatest(fan, F.lit(1)) - 1)
     spread = gate.withColumn("salt", F.explode(salts)).drop(rows)

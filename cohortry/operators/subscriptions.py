@@ -40,9 +40,8 @@ def active_accounts(
 
 def active_by_plan(activity: DataFrame, accounts: DataFrame, period: Period, **options) -> DataFrame:
     """One row: active accounts on the free and on the paid plan."""
-    live = F.col("status") == "1"
-    free = live & F.col("charge_approve").isin("0", "2")
-    paid = live & (F.col("charge_approve") == "1")
+    free = F.expr("status = '1' AND charge_approve IN ('0', '2')")
+    paid = F.expr("status = '1' AND charge_approve = '1'")
     return active_accounts(activity, accounts, period, **options).agg(
         F.count_if(free).alias("free_plan_active_merchants"),
         F.count_if(paid).alias("paid_plan_active_merchants"),
@@ -72,7 +71,7 @@ def first_paid(
         period.in_zone(account_zone).before("created_on")
     )
     return (
-        profile.filter(period.since("first_paid_at") & ~F.col("left"))
+        profile.filter(period.contains("first_paid_at")).filter("NOT `left`")
         .join(kept.select("store_client_id", "store_name"), "store_name")
         .select("store_client_id", "store_name", "first_paid_at")
     )

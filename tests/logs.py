@@ -56,7 +56,7 @@ class Log:
             self.duck.execute(f"CREATE VIEW {name} AS SELECT * FROM '{path}'")
 
 
-def random_log(seed: int, stores: int = 250) -> tuple[list[dict], list[dict]]:
+def random_log(seed: int, stores: int = 700) -> tuple[list[dict], list[dict]]:
     """Stores with short random histories: ties, mixed case, page-only churn, NULLs, month edges."""
     rng = random.Random(seed)
     spellings = [
