@@ -31,7 +31,7 @@ def is_(cls: str | EventClass, row: str) -> str:
 
 def local(column: str, p: Period) -> str:
     minutes = int(_fixed_offset(p.zone).total_seconds() // 60)
-    return f"({column} + INTERVAL ({minutes}) MINUTE)"
+    return f"({column} + INTERVAL '{minutes}' MINUTE)"
 
 
 def month(column: str, p: Period) -> str:
@@ -143,7 +143,7 @@ SELECT c.store_client_id, i.store_name, i.event_id, i.created_at
 FROM activity i, account c
 WHERE c.store_name = i.store_name AND {accepted(rule)} AND {of_cohort(cohort, p)}
   AND {is_(installs, 'i')} AND {during('i.created_at', p)}
-  AND NOT EXISTS (FROM activity x
+  AND NOT EXISTS (SELECT 1 FROM activity x
                   WHERE x.store_name = i.store_name AND x.created_at > i.created_at
                     AND {is_('churn', 'x')} AND {during('x.created_at', p)})"""
 
@@ -222,16 +222,16 @@ FROM ({_kept_events(p, 'install_any', 'new', rule)}) GROUP BY 1, 2"""
 
 def multiplicity_totals(p, rule) -> str:
     return f"""
-SELECT count(*) FILTER (install_count = 1) AS single, count(*) FILTER (install_count > 1) AS multiple
+SELECT count(*) FILTER (WHERE install_count = 1) AS single, count(*) FILTER (WHERE install_count > 1) AS multiple
 FROM ({install_multiplicity(p, rule)})"""
 
 
 def free_plan_stores(p, rule) -> str:
     return f"""
 SELECT s.store_client_id, s.store_name FROM ({surviving_installs(p, rule)}) s
-WHERE EXISTS (FROM activity f
+WHERE EXISTS (SELECT 1 FROM activity f
     WHERE f.store_name = s.store_name AND {is_('free_plan', 'f')} AND {during('f.created_at', p)}
-      AND NOT EXISTS (FROM activity g
+      AND NOT EXISTS (SELECT 1 FROM activity g
           WHERE g.store_name = f.store_name AND g.created_at >= f.created_at
             AND {is_('charge_approved', 'g')} AND {during('g.created_at', p)}))"""
 
@@ -247,15 +247,15 @@ GROUP BY ALL HAVING max(g.created_at) > s.created_at"""
 
 def onboarding_of_new(p, rule) -> str:
     return f"""
-SELECT s.*, EXISTS (FROM activity d WHERE d.store_name = s.store_name AND {is_('onb_done', 'd')}
+SELECT s.*, EXISTS (SELECT 1 FROM activity d WHERE d.store_name = s.store_name AND {is_('onb_done', 'd')}
                     AND {during('d.created_at', p)}) AS onboarded
 FROM ({surviving_installs(p, rule)}) s"""
 
 
 def onboarding_of_new_totals(p, rule) -> str:
     return f"""
-SELECT count(*) AS fresh_installs, count(*) FILTER (NOT onboarded) AS onboarding_pending,
-       count(*) FILTER (onboarded) AS onboarding_completed FROM ({onboarding_of_new(p, rule)})"""
+SELECT count(*) AS fresh_installs, count(*) FILTER (WHERE NOT onboarded) AS onboarding_pending,
+       count(*) FILTER (WHERE onboarded) AS onboarding_completed FROM ({onboarding_of_new(p, rule)})"""
 
 
 def conversion_summary(p, rule) -> str:
@@ -269,7 +269,7 @@ SELECT (SELECT count(*) FROM ({free_plan_stores(p, rule)})) AS free_plan_users,
 
 
 def installed_at_month_end(p, before=None) -> str:
-    older = "true" if before is None else f"""EXISTS (FROM account c
+    older = "true" if before is None else f"""EXISTS (SELECT 1 FROM account c
         WHERE c.store_client_id = e.store_client_id AND {ahead_of('c.created_on', before)})"""
     return f"""
 WITH steps AS (
@@ -288,11 +288,11 @@ def onboarding_by_month(p, rule, state, before=None) -> str:
     banned = f"lower(c.shop_plan) IN ({_quoted(rule.plans)})"
     return f"""
 WITH base AS ({installed_at_month_end(p, before)}), judged AS (
-    SELECT b.*, EXISTS (FROM activity d WHERE d.store_client_id = b.store_client_id
+    SELECT b.*, EXISTS (SELECT 1 FROM activity d WHERE d.store_client_id = b.store_client_id
                         AND {is_('onb_done', 'd')} AND {month('d.created_at', p)} = b.month) AS done
-    FROM base b WHERE NOT EXISTS (FROM account c WHERE c.store_client_id = b.store_client_id AND {banned})
+    FROM base b WHERE NOT EXISTS (SELECT 1 FROM account c WHERE c.store_client_id = b.store_client_id AND {banned})
 )
-SELECT month, count(DISTINCT store_client_id) FILTER ({sign} done) AS {name} FROM judged GROUP BY 1"""
+SELECT month, count(DISTINCT store_client_id) FILTER (WHERE {sign} done) AS {name} FROM judged GROUP BY 1"""
 
 
 def converted_after_install(p, rule, scope="period") -> str:
@@ -335,7 +335,7 @@ WITH steps AS (
 SELECT l.store_client_id, l.month, l.created_at, bool_or(l.f) AS is_fresh, bool_or(l.r) AS is_reinstall
 FROM landed l JOIN activity v ON v.store_client_id = l.store_client_id
 WHERE {is_('free_or_downgraded', 'v')} AND v.created_at >= l.created_at
-  AND NOT EXISTS (FROM activity u WHERE u.store_client_id = l.store_client_id
+  AND NOT EXISTS (SELECT 1 FROM activity u WHERE u.store_client_id = l.store_client_id
       AND {is_('upgraded', 'u')} AND u.created_at >= v.created_at AND {month('u.created_at', p)} = l.month)
 GROUP BY 1, 2, 3"""
 
@@ -345,8 +345,8 @@ def free_installs(p, rule, by_type=False, scope="period") -> str:
     if by_type:
         return f"""
 SELECT {label('month')} AS month,
-       count(DISTINCT store_client_id) FILTER (is_fresh) AS fresh_install_with_trial,
-       count(DISTINCT store_client_id) FILTER (is_reinstall) AS reinstall_with_trial
+       count(DISTINCT store_client_id) FILTER (WHERE is_fresh) AS fresh_install_with_trial,
+       count(DISTINCT store_client_id) FILTER (WHERE is_reinstall) AS reinstall_with_trial
 FROM ({body}) GROUP BY 1"""
     return f"SELECT count(DISTINCT store_client_id) AS free_install_count FROM ({body})"
 
@@ -358,14 +358,14 @@ def active_accounts(p, rule) -> str:
     return f"""
 SELECT c.store_client_id, c.store_name, c.charge_approve, c.status FROM account c
 WHERE {accepted(rule)} AND {ahead_of('c.created_on', p)}
-  AND EXISTS (FROM activity i WHERE i.store_name = c.store_name AND {is_('install_any', 'i')})
-  AND NOT EXISTS (FROM activity x WHERE x.store_name = c.store_name AND {is_('churn', 'x')})"""
+  AND EXISTS (SELECT 1 FROM activity i WHERE i.store_name = c.store_name AND {is_('install_any', 'i')})
+  AND NOT EXISTS (SELECT 1 FROM activity x WHERE x.store_name = c.store_name AND {is_('churn', 'x')})"""
 
 
 def active_by_plan(p, rule) -> str:
     return f"""
-SELECT count(*) FILTER (status = '1' AND charge_approve IN ('0', '2')) AS free_plan_active_merchants,
-       count(*) FILTER (status = '1' AND charge_approve = '1') AS paid_plan_active_merchants
+SELECT count(*) FILTER (WHERE status = '1' AND charge_approve IN ('0', '2')) AS free_plan_active_merchants,
+       count(*) FILTER (WHERE status = '1' AND charge_approve = '1') AS paid_plan_active_merchants
 FROM ({active_accounts(p, rule)})"""
 
 
@@ -374,7 +374,7 @@ def first_paid(p, rule) -> str:
 SELECT c.store_client_id, c.store_name, min(a.created_at) AS first_paid_at
 FROM account c JOIN activity a ON a.store_name = c.store_name
 WHERE {is_('pricing_plan', 'a')} AND {accepted(rule)} AND {ahead_of('c.created_on', p)}
-  AND NOT EXISTS (FROM activity x WHERE x.store_name = c.store_name AND {is_('uninstall_page', 'x')}
+  AND NOT EXISTS (SELECT 1 FROM activity x WHERE x.store_name = c.store_name AND {is_('uninstall_page', 'x')}
                   AND {local('x.created_at', p)} < TIMESTAMP '{p.hi}')
 GROUP BY 1, 2 HAVING {during('min(a.created_at)', p)}"""
 
@@ -403,7 +403,7 @@ SELECT c.store_client_id, e.store_name, e.event_id, e.action, e.page, e.created_
             WHEN {of_cohort('new', p)} THEN 'new' END AS cohort
 FROM activity e JOIN account c ON c.store_name = e.store_name
 WHERE {is_('churn', 'e')} AND {during('e.created_at', p)} AND {accepted(rule)}
-  AND NOT EXISTS (FROM activity i WHERE i.store_name = e.store_name AND i.created_at > e.created_at
+  AND NOT EXISTS (SELECT 1 FROM activity i WHERE i.store_name = e.store_name AND i.created_at > e.created_at
                   AND {is_('install_after_churn', 'i')} AND {during('i.created_at', p)})"""
 
 
@@ -414,7 +414,7 @@ def churn_buckets(p, rule) -> str:
 WITH gone AS ({churned_events(p, rule)}), marked AS (
     SELECT g.*, {is_('uninstall_action', 'g')} AND cohort IS NOT DISTINCT FROM 'new' AS b1,
            {is_('uninstall_action_wide', 'g')} AND cohort IS NOT DISTINCT FROM 'previous' AS b2,
-           {is_('closed', 'g')} AND NOT EXISTS (FROM activity o WHERE o.store_name = g.store_name
+           {is_('closed', 'g')} AND NOT EXISTS (SELECT 1 FROM activity o WHERE o.store_name = g.store_name
                AND {is_('reopen', 'o')} AND o.created_at > g.created_at) AS b4
     FROM gone g
 )
@@ -425,7 +425,7 @@ FROM marked GROUP BY 1, 2 HAVING bool_or(b1 OR b2 OR b4)"""
 
 def churn_bucket_totals(p, rule) -> str:
     names = ("same_month", "previous_month", "reinstall_unistall", "store_closed")
-    counts = ", ".join(f"count(*) FILTER ({n}) AS {n}" for n in names)
+    counts = ", ".join(f"count(*) FILTER (WHERE {n}) AS {n}" for n in names)
     return f"SELECT {counts} FROM ({churn_buckets(p, rule)})"
 
 
@@ -438,9 +438,9 @@ WITH gone AS (
 SELECT g.store_name, g.t AS uninstall_at, {month('g.t', p)} AS month
 FROM gone g JOIN account c ON c.store_name = g.store_name
 WHERE {accepted(rule)}
-  AND EXISTS (FROM activity i WHERE i.store_name = g.store_name AND {is_('fresh_strict', 'i')}
+  AND EXISTS (SELECT 1 FROM activity i WHERE i.store_name = g.store_name AND {is_('fresh_strict', 'i')}
               AND {during('i.created_at', p)} AND {month('i.created_at', p)} = {month('g.t', p)})
-  AND NOT EXISTS (FROM activity i WHERE i.store_name = g.store_name AND i.created_at > g.t
+  AND NOT EXISTS (SELECT 1 FROM activity i WHERE i.store_name = g.store_name AND i.created_at > g.t
                   AND {is_('install_after_churn', 'i')} AND {during('i.created_at', p)})"""
 
 
@@ -454,7 +454,7 @@ GROUP BY 1"""
 
 
 def _ever(cls: str, row: str, key: str, more: str = "true") -> str:
-    return f"EXISTS (FROM activity h WHERE h.{key} = {row}.{key} AND {is_(cls, 'h')} AND {more})"
+    return f"EXISTS (SELECT 1 FROM activity h WHERE h.{key} = {row}.{key} AND {is_(cls, 'h')} AND {more})"
 
 
 def plan_at_churn(p, rule, base="new_installs") -> str:
@@ -472,12 +472,12 @@ WITH facts AS (
     FROM ({stores}) b JOIN account c ON c.{key} = b.{key}
 )
 SELECT {label('month')} AS month,
-       count(*) FILTER (n AND trial AND un AND NOT paid) AS during_trial_monthly,
-       count(*) FILTER (o AND trial AND un AND NOT paid) AS during_trial_overall,
-       count(*) FILTER (n AND un AND free) AS free_plan_monthly,
-       count(*) FILTER (o AND un AND free) AS free_plan_overall,
-       count(*) FILTER (n AND paid) AS paid_plan_monthly,
-       count(*) FILTER (o AND paid AND NOT trial) AS paid_plan_overall
+       count(*) FILTER (WHERE n AND trial AND un AND NOT paid) AS during_trial_monthly,
+       count(*) FILTER (WHERE o AND trial AND un AND NOT paid) AS during_trial_overall,
+       count(*) FILTER (WHERE n AND un AND free) AS free_plan_monthly,
+       count(*) FILTER (WHERE o AND un AND free) AS free_plan_overall,
+       count(*) FILTER (WHERE n AND paid) AS paid_plan_monthly,
+       count(*) FILTER (WHERE o AND paid AND NOT trial) AS paid_plan_overall
 FROM facts GROUP BY 1"""
 
 
@@ -498,14 +498,14 @@ def milestones_of_churned(p, rule, base="new_installs") -> str:
     else:
         key, rows = "store_client_id", creation_month_events(p, rule)
     reached = ", ".join(
-        f"count(DISTINCT k) FILTER (gone AND {name}) AS {name}" for name in MILESTONES
+        f"count(DISTINCT k) FILTER (WHERE gone AND {name}) AS {name}" for name in MILESTONES
     )
     flags = ", ".join(f"bool_or({is_(cls, 'r')}) AS {name}" for name, cls in MILESTONES.items())
     return f"""
 WITH per_month AS (
     SELECT r.{key} AS k, r.month, {flags},
-           coalesce(max(r.created_at) FILTER ({is_('uninstall_bench', 'r')})
-                    > max(r.created_at) FILTER ({is_('install_bench', 'r')}), false) AS gone
+           coalesce(max(r.created_at) FILTER (WHERE {is_('uninstall_bench', 'r')})
+                    > max(r.created_at) FILTER (WHERE {is_('install_bench', 'r')}), false) AS gone
     FROM ({rows}) r GROUP BY 1, 2
 )
 SELECT {label('month')} AS month, {reached} FROM per_month GROUP BY 1"""
@@ -527,11 +527,11 @@ WITH facts AS (
     FROM ({stores}) b JOIN account c ON c.{key} = b.{key} WHERE {of_cohort('new', p)}
 )
 SELECT {label(month('t', p))} AS month,
-       count(*) FILTER (NOT s1 AND NOT s2 AND NOT s3) AS onboarding_step_1,
-       count(*) FILTER (s1 AND NOT s2 AND NOT s3 AND NOT s4) AS onboarding_step_2,
-       count(*) FILTER (s2 AND NOT s3 AND NOT s4) AS onboarding_step_3,
-       count(*) FILTER (s3 AND NOT s4) AS onboarding_step_4,
-       count(*) FILTER (s4) AS onboarding_completed
+       count(*) FILTER (WHERE NOT s1 AND NOT s2 AND NOT s3) AS onboarding_step_1,
+       count(*) FILTER (WHERE s1 AND NOT s2 AND NOT s3 AND NOT s4) AS onboarding_step_2,
+       count(*) FILTER (WHERE s2 AND NOT s3 AND NOT s4) AS onboarding_step_3,
+       count(*) FILTER (WHERE s3 AND NOT s4) AS onboarding_step_4,
+       count(*) FILTER (WHERE s4) AS onboarding_completed
 FROM facts WHERE t IS NOT NULL GROUP BY 1"""
 
 
@@ -547,5 +547,5 @@ WITH facts AS (
     FROM ({stores}) b JOIN account c ON c.{key} = b.{key}
     WHERE {of_cohort('new', p)} AND {accepted(final_rule)}
 )
-SELECT {label('month')} AS month, count(*) FILTER (NOT finished) AS without_onboarding,
-       count(*) FILTER (NOT enabled) AS without_app_enabled FROM facts GROUP BY 1"""
+SELECT {label('month')} AS month, count(*) FILTER (WHERE NOT finished) AS without_onboarding,
+       count(*) FILTER (WHERE NOT enabled) AS without_app_enabled FROM facts GROUP BY 1"""
