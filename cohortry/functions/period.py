@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 DEFAULT_ZONE = "+05:30"
+EVENT_TIME = "created_at"
+DAY_COLUMN = "event_date"
 _OFFSET = re.compile(r"([+-])(\d{2}):(\d{2})")
 
 
@@ -132,6 +134,19 @@ class Period:
         tests += [f"{column} < {ntz(hi)}"] if hi else []
         return f"({' AND '.join(tests) or 'true'})"
 
+    def log_sql(self, columns: list[str]) -> str:
+        """The period as SQL text on a log with these columns.
+
+        A log stored by UTC day in ``event_date`` is also bounded on that column, which prunes its
+        directories.
+        """
+        if DAY_COLUMN not in columns:
+            return self.sql(EVENT_TIME)
+        lo, hi = self.utc_bounds()
+        tests = [f"{DAY_COLUMN} >= DATE'{lo.date()}'"] if lo else []
+        tests += [f"{DAY_COLUMN} <= DATE'{hi.date()}'"] if hi else []
+        return " AND ".join([*tests, self.sql(EVENT_TIME)])
+
     def before_sql(self, column: str) -> str:
         """Before the start, as SQL text."""
         lo, _ = self.utc_bounds()

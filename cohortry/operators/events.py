@@ -33,9 +33,9 @@ def install_type(vocab: Mapping[str, EventClass] = VOCABULARY, pages: bool = Tru
     return F.when(fresh, "fresh").when(again, "reinstall")
 
 
-def in_period(frame: DataFrame, period: Period, column: str = "created_at") -> DataFrame:
-    """Rows of a local-time period; the bounds reach the reader as plain comparisons."""
-    return frame.filter(period.contains(column))
+def in_period(activity: DataFrame, period: Period) -> DataFrame:
+    """Events of a local-time period; the bounds reach the reader as plain comparisons."""
+    return activity.filter(period.log_sql(activity.columns))
 
 
 def events_per_month(activity: DataFrame, zone: str = DEFAULT_ZONE) -> DataFrame:

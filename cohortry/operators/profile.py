@@ -67,9 +67,11 @@ def any_of(*conditions: Column) -> Column:
     return reduce(or_, conditions)
 
 
-def _rows_of(scope: Period | None, classes: list[EventClass | None]) -> str:
+def _rows_of(
+    columns: list[str], scope: Period | None, classes: list[EventClass | None]
+) -> str:
     """The rows that measures of one scope look at: one list of labels for all their classes."""
-    tests = [scope.sql("created_at")] if scope else []
+    tests = [scope.log_sql(columns)] if scope else []
     if None not in classes:
         tests.append(union(*classes).sql())
     return f"({' AND '.join(tests) or 'true'})"
@@ -83,7 +85,8 @@ def event_profile(activity: DataFrame, keys: list[str], **measures: Measure) ->
     by_scope: dict[Period | None, list[EventClass | None]] = {}
     for measure in measures.values():
         by_scope.setdefault(measure.scope, []).append(measure.cls)
-    relevant = " OR ".join(_rows_of(scope, classes) for scope, classes in by_scope.items())
+    columns = activity.columns
+    relevant = " OR ".join(_rows_of(columns, *rows) for rows in by_scope.items())
     mixed = len(by_scope) > 1
     return activity.filter(relevant).groupBy(*keys).agg(
         *(measure.column(scoped=mixed).alias(name) for name, measure in measures.items())
