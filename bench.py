@@ -1,6 +1,7 @@
 """Times the reports on the sample data; prints one JSON line.
 
-BENCH_SF_DIR is the data folder, BENCH_CPUS the number of local cores. Each query runs once to warm
+BENCH_SF_DIR is the data folder, BENCH_CPUS the number of local cores, BENCH_ONLY a comma-separated
+choice of queries. Each query runs once to warm
 up; the median of the next three runs counts. ``--naive`` times the events-against-events SQL of the
 same reports on the same session instead, for comparison.
 """
@@ -49,6 +50,9 @@ HEADLINE = [
 ]
 
 
+ONLY = [name for name in os.environ.get("BENCH_ONLY", "").split(",") if name]
+
+
 def session() -> SparkSession:
     spark = (
         SparkSession.builder.master(f"local[{CPUS}]")
@@ -96,7 +100,7 @@ def main() -> None:
         )
     known = cases()
     queries = {}
-    for name in HEADLINE:
+    for name in ONLY or HEADLINE:
         case = known[name]
         try:
             queries[name] = timed(
