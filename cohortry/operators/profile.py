@@ -113,7 +113,8 @@ def join_events(
     """
     fan = F.expr(f"CAST(ceil({rows} / {hot_rows}) AS INT)")
     hot = gate.filter(F.col(rows) > hot_rows).select(*keys, fan.alias("fan"))
-    salt = F.expr(f"coalesce(CAST(pmod(xxhash64({', '.join(events.columns)}), fan) AS INT), 0)")
+    spread_hash = f"CAST(pmod(xxhash64({', '.join(events.columns)}), fan) AS INT)"
+    salt = F.expr(f"CASE WHEN fan IS NULL THEN 0 ELSE {spread_hash} END")
     salted = events.join(F.broadcast(hot), keys, "left").withColumn("salt", salt).drop("fan")
     salts = F.sequence(F.lit(0), F.greatest(fan, F.lit(1)) - 1)
     spread = gate.withColumn("salt", F.explode(salts)).drop(rows)
