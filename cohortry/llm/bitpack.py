@@ -331,7 +331,8 @@ def read_ids(manifest: DataFrame, folder: str) -> DataFrame:
                             [pa.array(index.doc_ids[lo:hi], pa.int64()), pa.array(starts[lo:hi], pa.int64()),
                              pa.array(ids, pa.binary())], names=["doc_id", "start", "ids"])
 
-    spread = shards.repartition(F.col("shard"))
+    # A number of its own: left to itself, Spark would read all these few rows in one task.
+    spread = shards.repartition(max(1, manifest.count()), "shard")
     return spread.mapInArrow(read, ROWS)
 
 
