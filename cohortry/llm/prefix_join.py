@@ -41,6 +41,8 @@ TABLE_BITS = 18
 HOT_ROWS = 50_000
 # Bits of a signature.
 SIGNATURE = 1024
+# Bits of the table that tells which documents' sets are needed.
+FILTER_BITS = 26
 # Words and groups that a task remembers.
 REMEMBERED = 1_000_000
 # Pairing everything that is still apart is in order up to so many pairs per posting.
@@ -213,8 +215,31 @@ def set_classes(profile: DataFrame) -> DataFrame:
         F.min("doc_id").alias("sid"), *(F.min(b).alias(b) for b in BIT_COLUMNS))
 
 
+def likely_member(ids: DataFrame, column: str):
+    """A column function: False only for ids that are not in the frame.
+
+    A bit table of fixed size (8 MB), filled by an aggregation of at most a million words; when more
+    ids come than it can tell apart, it lets more rows through and loses none.
+    """
+    slot = F.pmod(F.xxhash64(column), F.lit(1 << FILTER_BITS))
+    words = ids.select(F.shiftright(slot, 6).alias("word"), F.pmod(slot, F.lit(64)).cast("int").alias("bit"))
+    found = words.groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits")).toPandas()
+    table = np.zeros(1 << (FILTER_BITS - 6), dtype=np.int64)
+    table[found["word"].to_numpy(dtype=np.int64)] = found["bits"].to_numpy(dtype=np.int64)
+    shared = ids.sparkSession.sparkContext.broadcast(table)
+
+    @F.arrow_udf("boolean")
+    def test(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        bits = shared.value
+        for slots in batches:
+            at = slots.to_numpy(zero_copy_only=False)
+            yield pa.array((bits[at >> 6] >> (at & 63)) & 1 == 1, pa.bool_())
+
+    return lambda name: test(F.pmod(F.xxhash64(name), F.lit(1 << FILTER_BITS)))
+
+
 def sets_of(docs: DataFrame, classes: DataFrame, rule: Similarity, text: str | Column = "text") -> DataFrame:
-    """``set_key`` and the sorted set of the given classes, from one document each."""
+    """``set_key`` and sorted set of at least the given classes, from their smallest document ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -223,15 +248,12 @@ def sets_of(docs: DataFrame, classes: DataFrame, rule: Similarity, text: str | C
             sets = [shingle_set(t, rule.words).tobytes() for t in batch.column(0).to_pylist()]
             keys = [xxhash.xxh3_128_digest(s) for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.binary()), pa.array(sets, pa.large_binary()).cast(pa.binary())],
-                names=["set_key", "shingles"])
-
-    wanted = classes.select("sid").distinct()
-    rows = docs.select("doc_id", whole(text).alias("t")).join(
-        wanted, F.col("doc_id").eqNullSafe(F.col("sid")), "left_semi")
-    found = rows.select("t").mapInArrow(run, "set_key binary, shingles binary")
-    # Documents that share an id, or NULL ids, may bring in other sets and repeats.
-    return found.join(classes.select("set_key"), "set_key", "left_semi").groupBy("set_key").agg(
+                [pa.array(keys, pa.binary()), pa.array(sets, pa.binary())], names=["set_key", "shingles"])
+
+    wanted = likely_member(classes.select("sid"), "sid")
+    rows = docs.select("doc_id", whole(text).alias("t")).filter(wanted("doc_id"))
+    # Documents that share an id bring in other sets and repeats.
+    return rows.select("t").mapInArrow(run, "set_key binary, shingles binary").groupBy("set_key").agg(
         F.min("shingles").alias("shingles"))
 
 
@@ -308,8 +330,15 @@ def linked(docs: DataFrame, rule: Similarity = Similarity(), text: str = "text")
     own = met.join(crowded, F.col("gid") == F.col("g")).select(F.col("set_key").alias("a"), F.col("leader").alias("b"))
     pairs = star_of_groups(postings, groups, rule).unionByName(own)
     pairs = stored(promising(pairs, met, rule), folder, "pairs-1")
-    sets = stored(sets_of(docs, met, rule, text), folder, "sets")
-    links = stored(verified(pairs, sets, rule), folder, "links-1")
+
+    def checked(pairs: DataFrame, turn: int) -> DataFrame:
+        """The pairs that link, by the whole sets of the classes in them."""
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("set_key")).distinct()
+        needed = met.join(ends, "set_key", "left_semi").select("sid")
+        sets = stored(sets_of(docs, needed, rule, text), folder, f"sets-{turn}")
+        return stored(verified(pairs, sets, rule), folder, f"links-{turn}")
+
+    links = checked(pairs, 1)
     label = components(links, folder, "labels-1")
 
     # Every class under each of its shingles, and under its group if that holds others.
@@ -343,8 +372,7 @@ def linked(docs: DataFrame, rule: Similarity = Similarity(), text: str = "text")
             pairs = split.join(centre, "h").filter("label != c.label").select(
                 F.col("set_key").alias("a"), F.col("c.set_key").alias("b"))
             pairs = promising(pairs, met, rule)
-        found = stored(verified(stored(pairs, folder, f"pairs-{turn}"), sets, rule), folder, f"links-{turn}")
-        links = links.unionByName(found)
+        links = links.unionByName(checked(stored(pairs, folder, f"pairs-{turn}"), turn))
         label = components(links, folder, f"labels-{turn}")
         if last:
             label = _named(label)
