@@ -44,7 +44,7 @@ SIGNATURE = 1024
 # Bits of the table that tells which documents' sets are needed.
 FILTER_BITS = 26
 # Words and groups that a task remembers.
-REMEMBERED = 1_000_000
+REMEMBERED = 200_000
 # Pairing everything that is still apart is in order up to so many pairs per posting.
 PAIRS_PER_POSTING = 4
 MOST_STAR_ROUNDS = 6
