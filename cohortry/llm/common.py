@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 # Python workers get texts in batches of at most this many rows and bytes.
 BATCH_ROWS = "1000"
-BATCH_BYTES = "16m"
+BATCH_BYTES = "4m"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -76,3 +76,9 @@ def stored(frame: DataFrame, folder: str, name: str) -> DataFrame:
     path = f"{folder}/{name}"
     frame.write.mode("overwrite").parquet(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets go of finished steps: once the driver's JVM has collected its garbage, Spark deletes
+    their shuffle files on all executors. For operators of several large steps."""
+    spark.sparkContext._jvm.System.gc()

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortry.llm.common import prepare, shared_folder, stored, whole
+from cohortry.llm.common import prepare, release, shared_folder, stored, whole
 from cohortry.llm.components import components
 
 # Frequency table: 2^18 counters, a fixed 2 MB.
@@ -42,7 +42,7 @@ HOT_ROWS = 50_000
 # Bits of a signature.
 SIGNATURE = 1024
 # Bits of the table that tells which documents' sets are needed.
-FILTER_BITS = 26
+FILTER_BITS = 24
 # Words and groups that a task remembers.
 REMEMBERED = 200_000
 # Pairing everything that is still apart is in order up to so many pairs per posting.
@@ -215,27 +215,22 @@ def set_classes(profile: DataFrame) -> DataFrame:
         F.min("doc_id").alias("sid"), *(F.min(b).alias(b) for b in BIT_COLUMNS))
 
 
-def likely_member(ids: DataFrame, column: str):
-    """A column function: False only for ids that are not in the frame.
+def likely_members(rows: DataFrame, key: str, ids: DataFrame, column: str) -> DataFrame:
+    """The rows whose ``key`` is among the ids, and few others.
 
-    A bit table of fixed size (8 MB), filled by an aggregation of at most a million words; when more
-    ids come than it can tell apart, it lets more rows through and loses none.
+    The ids fill a bit table of fixed size, kept as words of 64 bits: at most 2^18 rows of two
+    numbers, which is what is broadcast. When more ids come than the table can tell apart it lets
+    more rows through; it never loses one.
     """
-    slot = F.pmod(F.xxhash64(column), F.lit(1 << FILTER_BITS))
-    words = ids.select(F.shiftright(slot, 6).alias("word"), F.pmod(slot, F.lit(64)).cast("int").alias("bit"))
-    found = words.groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits")).toPandas()
-    table = np.zeros(1 << (FILTER_BITS - 6), dtype=np.int64)
-    table[found["word"].to_numpy(dtype=np.int64)] = found["bits"].to_numpy(dtype=np.int64)
-    shared = ids.sparkSession.sparkContext.broadcast(table)
+    def slot(name: str) -> Column:
+        return F.pmod(F.xxhash64(name), F.lit(1 << FILTER_BITS))
 
-    @F.arrow_udf("boolean")
-    def test(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        bits = shared.value
-        for slots in batches:
-            at = slots.to_numpy(zero_copy_only=False)
-            yield pa.array((bits[at >> 6] >> (at & 63)) & 1 == 1, pa.bool_())
-
-    return lambda name: test(F.pmod(F.xxhash64(name), F.lit(1 << FILTER_BITS)))
+    words = ids.select(slot(column).alias("slot")).selectExpr(
+        "shiftright(slot, 6) AS word", "shiftleft(1L, CAST(slot % 64 AS INT)) AS bit"
+    ).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    marked = rows.withColumn("slot", slot(key)).withColumn("word", F.expr("shiftright(slot, 6)"))
+    return marked.join(F.broadcast(words), "word").filter(
+        "(shiftright(bits, CAST(slot % 64 AS INT)) & 1L) = 1L").drop("slot", "word", "bits")
 
 
 def sets_of(docs: DataFrame, classes: DataFrame, rule: Similarity, text: str | Column = "text") -> DataFrame:
@@ -244,17 +239,23 @@ def sets_of(docs: DataFrame, classes: DataFrame, rule: Similarity, text: str | C
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
+        given: set[bytes] = set()  # repeated rows: a task sends a set once
         for batch in batches:
-            sets = [shingle_set(t, rule.words).tobytes() for t in batch.column(0).to_pylist()]
-            keys = [xxhash.xxh3_128_digest(s) for s in sets]
+            sets, keys = [], []
+            for t in batch.column(0).to_pylist():
+                found = shingle_set(t, rule.words).tobytes()
+                key = xxhash.xxh3_128_digest(found)
+                if key not in given:
+                    if len(given) > REMEMBERED:
+                        given.clear()
+                    given.add(key)
+                    sets.append(found)
+                    keys.append(key)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(keys, pa.binary()), pa.array(sets, pa.binary())], names=["set_key", "shingles"])
 
-    wanted = likely_member(classes.select("sid"), "sid")
-    rows = docs.select("doc_id", whole(text).alias("t")).filter(wanted("doc_id"))
-    # Documents that share an id bring in other sets and repeats.
-    return rows.select("t").mapInArrow(run, "set_key binary, shingles binary").groupBy("set_key").agg(
-        F.min("shingles").alias("shingles"))
+    rows = likely_members(docs.select("doc_id", whole(text).alias("t")), "doc_id", classes, "sid")
+    return rows.select("t").mapInArrow(run, "set_key binary, shingles binary")
 
 
 def could_link(rule: Similarity, left: str = "l", right: str = "r") -> Column:
@@ -320,6 +321,7 @@ def linked(docs: DataFrame, rule: Similarity = Similarity(), text: str = "text")
     profile = stored(profiles(docs, rule, text), folder, "profiles")
     classes = stored(set_classes(profile), folder, "classes")
     postings = stored(shared_postings(profile), folder, "postings")
+    release(spark)
     groups = classes.groupBy(F.col("gid").alias("g")).agg(
         F.min("set_key").alias("leader"), F.min("n").alias("n"), F.count("*").alias("members"))
     crowded = groups.filter("members > 1").select("g", "leader")
@@ -336,7 +338,9 @@ def linked(docs: DataFrame, rule: Similarity = Similarity(), text: str = "text")
         ends = pairs.select(F.explode(F.array("a", "b")).alias("set_key")).distinct()
         needed = met.join(ends, "set_key", "left_semi").select("sid")
         sets = stored(sets_of(docs, needed, rule, text), folder, f"sets-{turn}")
-        return stored(verified(pairs, sets, rule), folder, f"links-{turn}")
+        found = stored(verified(pairs, sets, rule), folder, f"links-{turn}")
+        release(spark)
+        return found
 
     links = checked(pairs, 1)
     label = components(links, folder, "labels-1")
