@@ -1,18 +1,19 @@
 """Near duplicates by a grouped prefix join on word shingles (operator 6).
 
 Two documents link when the Jaccard similarity of their sets of distinct 5-word shingles is 0.8 or
-more. With all shingles in one global order, rare ones first, sets that similar share a shingle among
-the first ``n - ceil(0.8 n) + 1`` of each: the prefix.
+more. With all shingles in one global order, rare ones first, sets that similar share at least k shingles
+among the first ``n - ceil(0.8 n) + k`` of each: the prefix. Here k is 4, and 1 for sets below 20.
 
 1. A counting pass over all documents fills a table of fixed size with the document frequencies of
    hashed shingles; it orders the shingles.
 2. Documents with equal sets become one class; classes with identical prefix and size one group.
-3. Groups that share a prefix shingle are paired: each with one centre per shingle, not with each
-   other. Group pairs are filtered by size; then they expand to their classes, pairs whose bit
-   signatures already differ too much go, and the rest is verified on whole sets.
+3. Groups that share a prefix shingle are paired: each with one centre of like size per shingle, not
+   with each other. Group pairs are filtered by size; then they expand to their classes, pairs whose
+   bit signatures already differ too much go, and the rest is verified on whole sets.
 4. Links found so far form components. Classes that share a shingle and are still apart are paired
-   with further centres, and in the end with each other, until every pair that could link has been
-   verified or lies within one component: no link between components is lost.
+   with further centres, and in the end with each other: all pairs that share k prefix shingles and
+   could link by size and signature are verified or lie within one component, so no link between
+   components is lost.
 
 A shingle of very many documents is spread over several tasks by a salt known from the counts.
 
@@ -40,7 +41,7 @@ TABLE_BITS = 18
 # Rows of one shingle that go to one task.
 HOT_ROWS = 50_000
 # Bits of a signature.
-SIGNATURE = 1024
+SIGNATURE = 512
 # Bits of the table that tells which documents' sets are needed.
 FILTER_BITS = 24
 # Words and groups that a task remembers.
@@ -57,9 +58,20 @@ class Similarity:
     words: int = 5
     percent: int = 80
 
+    def meets(self, n: int) -> int:
+        """Prefix shingles that a set of n shares with any set it links with, at least."""
+        return 4 if n >= 20 else 1
+
     def prefix(self, n: int) -> int:
-        """Shingles of a set of n that any set it links with must meet."""
-        return n - -(-n * self.percent // 100) + 1
+        """Length of the prefix of a set of n."""
+        return min(n, n - -(-n * self.percent // 100) + self.meets(n))
+
+    def meets_sql(self, n: str) -> str:
+        return f"if({n} >= 20, 4, 1)"
+
+    def band_sql(self, n: str) -> str:
+        """Number of the size band; sets that link lie in the same or in neighbouring bands."""
+        return f"CAST(floor(ln({n}) / ln({100 / self.percent})) AS INT)"
 
 
 class _Hashes(dict):
@@ -195,18 +207,21 @@ def profiles(docs: DataFrame, rule: Similarity, text: str | Column = "text") ->
     return docs.select("doc_id", F.xxhash64(whole(text)).alias("tie"), whole(text).alias("t")).mapInArrow(run, PROFILE)
 
 
-def shared_postings(profile: DataFrame) -> DataFrame:
+def shared_postings(profile: DataFrame, rule: Similarity) -> DataFrame:
     """(shingle ``h``, group ``gid``, centre ``c``, ``fan``) of prefix shingles that several groups may share.
 
-    The centre is the smallest group of the shingle, or of its salt.
+    The centre is the smallest group of like size with the shingle, or with its salt.
     """
     postings = profile.filter("prefix IS NOT NULL").select(
-        "gid", F.explode(F.arrays_zip("prefix", "fan")).alias("p")).select(
-        F.col("p.prefix").alias("h"), "gid", F.col("p.fan").alias("fan"),
+        "gid", "n", F.explode(F.arrays_zip("prefix", "fan")).alias("p")).select(
+        F.col("p.prefix").alias("h"), "gid", "n", F.col("p.fan").alias("fan"),
         F.when(F.col("p.fan") > 1, F.pmod("gid", F.col("p.fan"))).otherwise(F.lit(0)).alias("salt"))
     here = Window.partitionBy("h", "salt")
-    return postings.select("h", "gid", "fan", F.min("gid").over(here).alias("c"), F.max("gid").over(here).alias("d")
-                           ).filter("c != d OR fan > 1").drop("d")
+    shared = postings.select("*", F.min("gid").over(here).alias("least"), F.max("gid").over(here).alias("most")
+                             ).filter("least != most OR fan > 1")
+    alike = Window.partitionBy("h", "salt", "band")
+    return shared.withColumn("band", F.expr(rule.band_sql("n"))).select(
+        "h", "gid", "n", "fan", F.min("gid").over(alike).alias("c"))
 
 
 def set_classes(profile: DataFrame) -> DataFrame:
@@ -297,18 +312,45 @@ def verified(pairs: DataFrame, sets: DataFrame, rule: Similarity) -> DataFrame:
 
 
 def star_of_groups(postings: DataFrame, groups: DataFrame, rule: Similarity) -> DataFrame:
-    """Pairs of group leaders: each group with its shingles' centres, filtered by size."""
-    hot = postings.filter("fan > 1")
-    tops = hot.groupBy("h").agg(F.min("gid").alias("top"))
-    pairs = postings.select("gid", "c").unionByName(
-        hot.select("h", "c").distinct().join(tops, "h").select(F.col("c").alias("gid"), F.col("top").alias("c")))
-    pairs = pairs.filter("gid != c").distinct()
+    """Pairs of group leaders: each group with the centres of its shingles, filtered by size.
+
+    A centre that serves one shingle of a larger group only is left out: this step need not find all.
+    """
+    hot = postings.filter("fan > 1").withColumn("band", F.expr(rule.band_sql("n")))
+    tops = hot.groupBy("h", "band").agg(F.min("gid").alias("top"))
+    pairs = postings.select("gid", "c", "n").unionByName(
+        hot.select("h", "band", "c", "n").distinct().join(tops, ["h", "band"]).select(
+            F.col("c").alias("gid"), F.col("top").alias("c"), "n"))
+    pairs = pairs.filter("gid != c").groupBy("gid", "c").agg(F.count("*").alias("k"), F.min("n").alias("n")).filter(
+        "k > 1 OR n < 20").select("gid", "c")
     one, two = groups.alias("l"), groups.alias("r")
     return pairs.join(one, F.col("gid") == F.col("l.g")).join(two, F.col("c") == F.col("r.g")).filter(
         100 * F.least("l.n", "r.n") >= rule.percent * F.greatest("l.n", "r.n")
     ).select(F.col("l.leader").alias("a"), F.col("r.leader").alias("b"))
 
 
+def still_apart(split: DataFrame, classes: DataFrame, rule: Similarity) -> DataFrame:
+    """All pairs (a, b) of classes of different labels that share enough shingles and could link.
+
+    ``split`` has a row per shingle and class, with a ``label`` where that is not the class itself.
+    Shingles that have one label only in a band and its neighbours leave before the signatures come.
+    """
+    light = classes.select("set_key", "n", *BIT_COLUMNS)
+    sized = split.join(light.select("set_key", "n"), "set_key").withColumn("band", F.expr(rule.band_sql("n")))
+    name = F.coalesce("label", "set_key")
+    near = sized.groupBy("h", "band").agg(F.min(name).alias("low"), F.max(name).alias("high")).select(
+        "h", "low", "high", F.explode(F.expr("array(band - 1, band, band + 1)")).alias("band"))
+    near = near.groupBy("h", "band").agg(F.min("low").alias("low"), F.max("high").alias("high")).filter("low != high")
+    full = sized.join(near, ["h", "band"], "left_semi").drop("band", "n").join(light, "set_key")
+    one, two = full.alias("l"), full.alias("r")
+    different = F.coalesce("l.label", "l.set_key") != F.coalesce("r.label", "r.set_key")
+    met = one.join(two, (F.col("l.h") == F.col("r.h")) & (F.col("l.set_key") < F.col("r.set_key"))
+                   & different & could_link(rule))
+    return met.groupBy(F.col("l.set_key").alias("a"), F.col("r.set_key").alias("b")).agg(
+        F.count("*").alias("k"), F.min(F.least("l.n", "r.n")).alias("n")
+    ).filter(f"k >= {rule.meets_sql('n')}").select("a", "b")
+
+
 def _named(component: DataFrame) -> DataFrame:
     return component.select(F.col("a").alias("set_key"), F.col("b").alias("label"))
 
@@ -320,7 +362,7 @@ def linked(docs: DataFrame, rule: Similarity = Similarity(), text: str = "text")
     folder = shared_folder(spark)
     profile = stored(profiles(docs, rule, text), folder, "profiles")
     classes = stored(set_classes(profile), folder, "classes")
-    postings = stored(shared_postings(profile), folder, "postings")
+    postings = stored(shared_postings(profile, rule), folder, "postings")
     release(spark)
     groups = classes.groupBy(F.col("gid").alias("g")).agg(
         F.min("set_key").alias("leader"), F.min("n").alias("n"), F.count("*").alias("members"))
@@ -354,26 +396,22 @@ def linked(docs: DataFrame, rule: Similarity = Similarity(), text: str = "text")
     while True:
         turn += 1
         label = _named(label)
-        named = under.join(label, "set_key", "left").withColumn("label", F.coalesce("label", "set_key"))
-        per = named.groupBy("h", "label").agg(F.count("*").alias("k")).groupBy("h").agg(
+        named = under.join(label, "set_key", "left")
+        name = F.coalesce("label", "set_key")
+        per = named.groupBy("h", name.alias("name")).agg(F.count("*").alias("k")).groupBy("h").agg(
             F.sum("k").alias("rows"), F.sum(F.col("k") * F.col("k")).alias("squares"), F.count("*").alias("labels"))
         apart = per.filter("labels > 1")
         left, rows = apart.agg(F.expr("sum((rows * rows - squares) / 2)"), F.sum("rows")).first()
         if not rows:
             break
         last = left <= PAIRS_PER_POSTING * rows or turn > MOST_STAR_ROUNDS
-        split = stored(named.join(apart.select("h"), "h", "left_semi"), folder, f"apart-{turn}")
+        split = named.join(apart.select("h"), "h", "left_semi")
         if last:
-            light = met.select("set_key", "n", *BIT_COLUMNS)
-            full = split.join(light, "set_key")
-            one, two = full.alias("l"), full.alias("r")
-            pairs = one.join(two, (F.col("l.h") == F.col("r.h")) & (F.col("l.set_key") < F.col("r.set_key"))
-                             & (F.col("l.label") != F.col("r.label")) & could_link(rule))
-            pairs = pairs.select(F.col("l.set_key").alias("a"), F.col("r.set_key").alias("b")).distinct()
+            pairs = still_apart(split, met, rule)
         else:
             centre = split.groupBy("h").agg(
-                F.min_by(F.struct("set_key", "label"), F.xxhash64("set_key", F.lit(turn))).alias("c"))
-            pairs = split.join(centre, "h").filter("label != c.label").select(
+                F.min_by(F.struct("set_key", name.alias("name")), F.xxhash64("set_key", F.lit(turn))).alias("c"))
+            pairs = split.join(centre, "h").filter(name != F.col("c.name")).select(
                 F.col("set_key").alias("a"), F.col("c.set_key").alias("b"))
             pairs = promising(pairs, met, rule)
         links = links.unionByName(checked(stored(pairs, folder, f"pairs-{turn}"), turn))
