@@ -48,6 +48,8 @@ FILTER_BITS = 24
 REMEMBERED = 200_000
 # Pairing everything that is still apart is in order up to so many pairs per posting.
 PAIRS_PER_POSTING = 4
+# A round of centres is worth another one if it finds a link for so many postings still apart.
+LINKS_WORTH = 50
 MOST_STAR_ROUNDS = 6
 
 
@@ -392,7 +394,7 @@ def linked(docs: DataFrame, rule: Similarity = Similarity(), text: str = "text")
         postings.select("h", "gid").distinct().join(met.select("gid", "set_key"), "gid").select("h", "set_key")
         .unionByName(met.join(crowded, F.col("gid") == F.col("g")).select(F.col("gid").alias("h"), "set_key")),
         folder, "under")
-    turn = 1
+    turn, fresh = 1, None
     while True:
         turn += 1
         label = _named(label)
@@ -404,7 +406,9 @@ def linked(docs: DataFrame, rule: Similarity = Similarity(), text: str = "text")
         left, rows = apart.agg(F.expr("sum((rows * rows - squares) / 2)"), F.sum("rows")).first()
         if not rows:
             break
-        last = left <= PAIRS_PER_POSTING * rows or turn > MOST_STAR_ROUNDS
+        # Centres help as long as they find links; what stays apart then is mostly unlike.
+        idle = fresh is not None and fresh * LINKS_WORTH < rows
+        last = left <= PAIRS_PER_POSTING * rows or idle or turn > MOST_STAR_ROUNDS
         split = named.join(apart.select("h"), "h", "left_semi")
         if last:
             pairs = still_apart(split, met, rule)
@@ -414,7 +418,9 @@ def linked(docs: DataFrame, rule: Similarity = Similarity(), text: str = "text")
             pairs = split.join(centre, "h").filter(name != F.col("c.name")).select(
                 F.col("set_key").alias("a"), F.col("c.set_key").alias("b"))
             pairs = promising(pairs, met, rule)
-        links = links.unionByName(checked(stored(pairs, folder, f"pairs-{turn}"), turn))
+        found = checked(stored(pairs, folder, f"pairs-{turn}"), turn)
+        fresh = found.count()
+        links = links.unionByName(found)
         label = components(links, folder, f"labels-{turn}")
         if last:
             label = _named(label)
