@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 DEFAULT_ZONE = "+05:30"
 EVENT_TIME = "created_at"
-DAY_COLUMN = "event_date"
+# Metadata of a log column that holds the UTC day of the event time.
+DAY_MARK = "utc_day_of"
 _OFFSET = re.compile(r"([+-])(\d{2}):(\d{2})")
 
 
@@ -60,6 +61,14 @@ def month_label(column: str | Column) -> Column:
     return F.date_format(column, "yyyy-MM")
 
 
+def stored_by_day(log: DataFrame, day_column: str) -> DataFrame:
+    """The log, with the statement that a column is the UTC day of the event time in every row.
+
+    Period filters then bound that column too. A column that merely has such a name is left alone.
+    """
+    return log.withMetadata(day_column, {DAY_MARK: EVENT_TIME})
+
+
 @dataclass(frozen=True)
 class Period:
     """Local range [lo, hi); a missing bound is open."""
@@ -134,17 +143,18 @@ class Period:
         tests += [f"{column} < {ntz(hi)}"] if hi else []
         return f"({' AND '.join(tests) or 'true'})"
 
-    def log_sql(self, columns: list[str]) -> str:
-        """The period as SQL text on a log with these columns.
+    def log_sql(self, log: DataFrame) -> str:
+        """The period as SQL text on a log.
 
-        A log stored by UTC day in ``event_date`` is also bounded on that column, which prunes its
+        A log that :func:`stored_by_day` has marked is also bounded on its day column, which prunes
         directories.
         """
-        if DAY_COLUMN not in columns:
-            return self.sql(EVENT_TIME)
         lo, hi = self.utc_bounds()
-        tests = [f"{DAY_COLUMN} >= DATE'{lo.date()}'"] if lo else []
-        tests += [f"{DAY_COLUMN} <= DATE'{hi.date()}'"] if hi else []
+        tests = []
+        for field in log.schema.fields:
+            if field.metadata.get(DAY_MARK) == EVENT_TIME:
+                tests += [f"`{field.name}` >= DATE'{lo.date()}'"] if lo else []
+                tests += [f"`{field.name}` <= DATE'{hi.date()}'"] if hi else []
         return " AND ".join([*tests, self.sql(EVENT_TIME)])
 
     def before_sql(self, column: str) -> str:
@@ -163,6 +173,8 @@ class Period:
 
     @property
     def last_day(self) -> date:
+        if self.hi is None:
+            raise ValueError("a period without an end has no last day")
         return (self.hi - timedelta(microseconds=1)).date()
 
     @property
@@ -192,7 +204,9 @@ def month_spine(bounds: DataFrame, first: str = "first", last: str = "last") ->
 
 
 def period_months(spark: SparkSession, period: Period) -> DataFrame:
-    """The month spine of a closed period."""
+    """The month spine of a closed period; ValueError for an open one."""
+    if period.lo is None or period.hi is None:
+        raise ValueError("the months of an open period cannot be listed")
     bounds = spark.range(1).select(
         F.lit(period.lo.date()).alias("first"), F.lit(period.last_day).alias("last")
     )

@@ -2,9 +2,10 @@
 
 The log holds free-text labels. An :class:`EventClass` names the spellings of one meaning, on the
 ``action`` channel, the ``page`` channel or both, and turns them into a filter column. Labels are
-matched without regard to case: by default every known spelling is listed in its usual case
-variants, so the raw column stays bare and the list reaches the Parquet reader; ``folded()``
-lower-cases the column instead, for logs with arbitrary casing.
+matched without regard to case: the column is lower-cased and compared with lower-cased labels.
+``listed()`` gives up that for logs known to be normalised: every spelling is listed in its usual
+case variants, the raw column stays bare and the list reaches the Parquet reader, and labels in any
+other casing are not found.
 
 Conditions are built as SQL text and parsed once where they are used: a profile combines dozens of
 them, and every Column operation would be a round trip to the JVM.
@@ -37,7 +38,7 @@ def in_list(expression: str, labels: list[str]) -> str:
 class EventClass:
     actions: tuple[str, ...] = ()
     pages: tuple[str, ...] = ()
-    fold_case: bool = False
+    fold_case: bool = True
 
     def __or__(self, other: EventClass) -> EventClass:
         return EventClass(
@@ -46,15 +47,19 @@ class EventClass:
             self.fold_case or other.fold_case,
         )
 
-    def _listed(self, column: str, spellings: tuple[str, ...]) -> str:
+    def _listed(self, column: str, spellings: tuple[str, ...], lowered: bool) -> str:
         if self.fold_case:
-            return in_list(f"lower({column})", [s.lower() for s in spellings])
+            value = column if lowered else f"lower({column})"
+            return in_list(value, list(dict.fromkeys(s.lower() for s in spellings)))
         return in_list(column, case_variants(spellings))
 
-    def sql(self) -> str:
-        """The test as SQL text: either channel carries a spelling; a NULL page never does."""
+    def sql(self, lowered: bool = False) -> str:
+        """The test as SQL text: either channel carries a spelling; a NULL page never does.
+
+        ``lowered`` says that both columns are in lower case already.
+        """
         channels = {"action": self.actions, "page": self.pages}
-        tests = [self._listed(column, labels) for column, labels in channels.items() if labels]
+        tests = [self._listed(column, labels, lowered) for column, labels in channels.items() if labels]
         return f"({' OR '.join(tests)})"
 
     def hit(self) -> Column:
@@ -130,5 +135,10 @@ def union(*classes: EventClass) -> EventClass:
 
 
 def folded(vocab: Mapping[str, EventClass] = VOCABULARY) -> dict[str, EventClass]:
-    """The same vocabulary, matched on the lower-cased column."""
+    """The same vocabulary, matched on the lower-cased column, as is the default."""
     return {name: replace(cls, fold_case=True) for name, cls in vocab.items()}
+
+
+def listed(vocab: Mapping[str, EventClass] = VOCABULARY) -> dict[str, EventClass]:
+    """The same vocabulary for logs whose labels come in the usual case variants only."""
+    return {name: replace(cls, fold_case=False) for name, cls in vocab.items()}

@@ -42,24 +42,21 @@ def churned_events(
 ) -> DataFrame:
     """Churn events of the period with no install strictly later in it, of eligible accounts."""
     churn = vocab["churn"]
-    gate = (
-        event_profile(
-            activity,
-            ["store_name"],
-            churned=last(churn, period),
-            installed=last(vocab["install_after_churn"], period),
-            churns=times(churn, period),
-        )
-        .filter(holds_after("churned", "installed"))
-        .drop("churned")
-        .join(cohort_accounts(accounts, rule, period, None, account_zone), "store_name")
-        .withColumnRenamed("store_client_id", "account_id")
-    )
+    profile = event_profile(
+        activity,
+        ["store_name"],
+        churned=last(churn, period),
+        installed=last(vocab["install_after_churn"], period),
+        churns=times(churn, period),
+    ).filter(holds_after("churned", "installed")).drop("churned")
+    gate = profile.join(
+        cohort_accounts(accounts, rule, period, None, account_zone), "store_name"
+    ).withColumnRenamed("store_client_id", "account_id")
     events = in_period(activity, period).filter(churn.hit()).select(
         "event_id", "store_name", "action", "page", "created_at"
     )
     return (
-        join_events(events, gate, ["store_name"], "churns", hot_rows)
+        join_events(events, gate, ["store_name"], "churns", hot_rows, profile)
         .filter("installed IS NULL OR created_at >= installed")
         .select(
             F.col("account_id").alias("store_client_id"),

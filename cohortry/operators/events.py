@@ -35,15 +35,15 @@ def install_type(vocab: Mapping[str, EventClass] = VOCABULARY, pages: bool = Tru
 
 def in_period(activity: DataFrame, period: Period) -> DataFrame:
     """Events of a local-time period; the bounds reach the reader as plain comparisons."""
-    return activity.filter(period.log_sql(activity.columns))
+    return activity.filter(period.log_sql(activity))
 
 
 def events_per_month(activity: DataFrame, zone: str = DEFAULT_ZONE) -> DataFrame:
-    """Per local month: events and distinct active stores."""
+    """Per local month: events and distinct active stores; events without a store name no store."""
     per_store = (
         activity.groupBy(local_month("created_at", zone).alias("month"), "store_name")
         .agg(F.count("*").alias("events"))
     )
     return per_store.groupBy("month").agg(
-        F.sum("events").alias("events"), F.count("*").alias("active_stores")
+        F.sum("events").alias("events"), F.count("store_name").alias("active_stores")
     )

@@ -21,6 +21,7 @@ from cohortry.functions.vocabulary import EventClass, union
 # Keys with more joined rows than this are spread over several tasks. A log of n rows has at most
 # n / HOT_ROWS such keys, which bounds the broadcast list of hot keys.
 HOT_ROWS = 2_000_000
+STORE_KEYS = ("store_client_id", "store_name")
 
 
 @dataclass(frozen=True)
@@ -36,9 +37,9 @@ class Measure:
     scope: Period | None = None
     also: str | None = None
 
-    def column(self, scoped: bool) -> Column:
+    def column(self, scoped: bool, lowered: bool) -> Column:
         tests = [self.scope.sql("created_at")] if scoped and self.scope else []
-        tests += [self.cls.sql()] if self.cls else []
+        tests += [self.cls.sql(lowered)] if self.cls else []
         tests += [self.also] if self.also else []
         return F.expr(self.template.format(hit=" AND ".join(tests) or "true"))
 
@@ -67,11 +68,9 @@ def any_of(*conditions: Column) -> Column:
     return reduce(or_, conditions)
 
 
-def _rows_of(
-    columns: list[str], scope: Period | None, classes: list[EventClass | None]
-) -> str:
+def _rows_of(log: DataFrame, scope: Period | None, classes: list[EventClass | None]) -> str:
     """The rows that measures of one scope look at: one list of labels for all their classes."""
-    tests = [scope.log_sql(columns)] if scope else []
+    tests = [scope.log_sql(log)] if scope else []
     if None not in classes:
         tests.append(union(*classes).sql())
     return f"({' AND '.join(tests) or 'true'})"
@@ -80,16 +79,22 @@ def _rows_of(
 def event_profile(activity: DataFrame, keys: list[str], **measures: Measure) -> DataFrame:
     """One row per key with the named measures.
 
-    Rows no measure looks at are dropped before the aggregation, by one filter per scope.
+    Rows no measure looks at are dropped before the aggregation, by one filter per scope; so are
+    rows without a store, which are no store's events. Labels are lower-cased once per row.
     """
     by_scope: dict[Period | None, list[EventClass | None]] = {}
     for measure in measures.values():
         by_scope.setdefault(measure.scope, []).append(measure.cls)
-    columns = activity.columns
-    relevant = " OR ".join(_rows_of(columns, *rows) for rows in by_scope.items())
+    relevant = " OR ".join(_rows_of(activity, *rows) for rows in by_scope.items())
+    known = " AND ".join(f"{key} IS NOT NULL" for key in keys if key in STORE_KEYS)
+    rows = activity.filter(f"({relevant}) AND {known or 'true'}")
+    classes = [measure.cls for measure in measures.values() if measure.cls]
+    lowered = bool(classes) and all(cls.fold_case for cls in classes)
+    if lowered:
+        rows = rows.withColumns({"action": F.lower("action"), "page": F.lower("page")})
     mixed = len(by_scope) > 1
-    return activity.filter(relevant).groupBy(*keys).agg(
-        *(measure.column(scoped=mixed).alias(name) for name, measure in measures.items())
+    return rows.groupBy(*keys).agg(
+        *(measure.column(mixed, lowered).alias(name) for name, measure in measures.items())
     )
 
 
@@ -104,18 +109,25 @@ def strictly_after(event: str, other: str) -> Column:
 
 
 def join_events(
-    events: DataFrame, gate: DataFrame, keys: list[str], rows: str, hot_rows: int = HOT_ROWS
+    events: DataFrame,
+    gate: DataFrame,
+    keys: list[str],
+    rows: str,
+    hot_rows: int = HOT_ROWS,
+    counts: DataFrame | None = None,
 ) -> DataFrame:
     """Inner join of log rows with a frame of one row per key, safe for hot keys.
 
     ``rows`` names the gate's count of log rows per key. Keys above ``hot_rows`` are split over
-    ``ceil(rows / hot_rows)`` salts on both sides; all others keep a single salt.
+    ``ceil(rows / hot_rows)`` salts on both sides; all others keep a single salt. ``counts`` may name
+    a cheaper frame with the counts of at least the gate's keys, to find the hot ones in. Spark
+    broadcasts the list of hot keys by its measured size, or shuffles it.
     """
     fan = F.expr(f"CAST(ceil({rows} / {hot_rows}) AS INT)")
-    hot = gate.filter(F.col(rows) > hot_rows).select(*keys, fan.alias("fan"))
+    hot = (gate if counts is None else counts).filter(F.col(rows) > hot_rows).select(*keys, fan.alias("fan"))
     spread_hash = f"CAST(pmod(xxhash64({', '.join(events.columns)}), fan) AS INT)"
     salt = F.expr(f"CASE WHEN fan IS NULL THEN 0 ELSE {spread_hash} END")
-    salted = events.join(F.broadcast(hot), keys, "left").withColumn("salt", salt).drop("fan")
+    salted = events.join(hot, keys, "left").withColumn("salt", salt).drop("fan")
     salts = F.sequence(F.lit(0), F.greatest(fan, F.lit(1)) - 1)
     spread = gate.withColumn("salt", F.explode(salts)).drop(rows)
     return salted.join(spread, [*keys, "salt"]).drop("salt")

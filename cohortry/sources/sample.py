@@ -20,7 +20,7 @@ COLUMNS = {
 
 EVENT_ACTION = """CASE event_type
     WHEN 'signup' THEN CASE event_id % 4
-        WHEN 0 THEN 'fresh_install' WHEN 1 THEN 'Fresh Installs' WHEN 2 THEN 'Re-installs'
+        WHEN 0 THEN 'fresh_install' WHEN 1 THEN 'Fresh Installs' WHEN 2 THEN 're-Installs'
         ELSE 'reinstall' END
     WHEN 'error' THEN CASE event_id % 5
         WHEN 0 THEN 'Store closed' WHEN 1 THEN 'Paid uninstalled' ELSE 'uninstall' END
@@ -32,7 +32,7 @@ EVENT_ACTION = """CASE event_type
     WHEN 'click' THEN CASE event_id % 8
         WHEN 0 THEN 'PC-onboarding-step-1' WHEN 1 THEN 'SPLD-onboarding-step-2'
         WHEN 2 THEN 'PC-onboarding-step-3' WHEN 3 THEN 'Onboarding completed'
-        WHEN 4 THEN 'App enabled-odd' WHEN 5 THEN 'Checkout Widget Enabled' WHEN 6 THEN 'reopen'
+        WHEN 4 THEN 'App enabled-odd' WHEN 5 THEN 'Checkout Widget Enabled' WHEN 6 THEN 'Store Re-opened'
         ELSE 'Scheduled Order Placed' END
     END"""
 

@@ -62,6 +62,7 @@ def random_log(seed: int, stores: int = 700) -> tuple[list[dict], list[dict]]:
     spellings = [
         s for cls in [*VOCABULARY.values(), *MILESTONES.values()] for s in case_variants(cls.actions)
     ] + ["something else"]
+    spellings += ["".join(rng.choice((c.lower(), c.upper())) for c in s) for s in spellings]
     frequent = ["fresh_install", "Re-installs", "uninstall", "Store closed", "reopen",
                 "Paid uninstalled", "Free Plan", "Charge Approved", "Free User", "Plan Upgraded",
                 "During trial", "Onboarding completed"]

@@ -3,11 +3,12 @@
 from datetime import date, datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from cohortry.functions.eligibility import SET_A, SET_C, SET_D
-from cohortry.functions.period import Period
+from cohortry.functions.period import Period, period_months
 from cohortry.operators import accounts as acc_ops
-from cohortry.operators import churn, installs, month_state, subscriptions
+from cohortry.operators import churn, events, installs, month_state, subscriptions
 from cohortry.plans import reports
 from cohortry.sources.tables import BadTable, checked_accounts
 from tests.logs import NEW, OLD, Log, account, event
@@ -162,13 +163,43 @@ def test_labels_match_in_any_usual_case(log):
     assert stores(installs.surviving_installs(one.activity, one.accounts, FEBRUARY)) == [1, 2]
 
 
-def test_folded_vocabulary_matches_any_case(log):
-    from cohortry import folded
+def test_labels_match_in_any_case(log):
+    from cohortry import listed
 
     one = log([event(1, "fReSh_iNsTaLl", T)])
     plain = installs.surviving_installs(one.activity, one.accounts, FEBRUARY)
-    any_case = installs.surviving_installs(one.activity, one.accounts, FEBRUARY, vocab=folded())
-    assert (stores(plain), stores(any_case)) == ([], [1])
+    usual = installs.surviving_installs(one.activity, one.accounts, FEBRUARY, vocab=listed())
+    assert (stores(plain), stores(usual)) == ([1], [])
+
+
+def test_store_re_opened_in_another_casing_counts(log):
+    one = log([event(1, "Store Closed", T), event(1, "Store Re-opened", LATER)])
+    found = reports.churn_buckets(one.activity, one.accounts, FEBRUARY).first()
+    assert found.store_closed == 0
+
+
+def test_events_without_a_store_are_no_store(log, spark):
+    one = log([event(1, "fresh_install", T)])
+    nameless = one.activity.withColumns({
+        "store_client_id": F.lit(None).cast("long"), "store_name": F.lit(None).cast("string")})
+    both = one.activity.unionByName(nameless)
+    at_end = month_state.installed_at_month_end(both, FEBRUARY).collect()
+    assert [r.store_client_id for r in at_end] == [1]
+    month = events.events_per_month(both).first()
+    assert (month["events"], month["active_stores"]) == (2, 1)
+
+
+def test_a_column_that_is_merely_called_event_date_bounds_nothing(log):
+    one = log([event(1, "fresh_install", T)])
+    odd = one.activity.withColumn("event_date", F.lit(None).cast("date"))
+    assert stores(installs.surviving_installs(odd, one.accounts, FEBRUARY)) == [1]
+
+
+def test_open_periods_have_no_months(spark):
+    with pytest.raises(ValueError, match="open"):
+        period_months(spark, FEBRUARY.onwards())
+    with pytest.raises(ValueError, match="last day"):
+        FEBRUARY.onwards().last_day  # noqa: B018
 
 
 def test_duplicate_account_keys_are_refused(spark, tmp_path):

@@ -5,7 +5,7 @@ from datetime import datetime
 
 import pytest
 
-from cohortry.functions.period import Period
+from cohortry.functions.period import Period, stored_by_day
 from cohortry.operators import events, installs
 from tests.logs import NEW, Log, account, event
 from tests.operator_pairs import pairs
@@ -120,7 +120,7 @@ def test_day_partitions_are_pruned(spark, log, tmp_path):
     path = str(tmp_path / "by_day")
     days = log.activity.withColumn("event_date", F.to_date("created_at"))
     days.write.partitionBy("event_date").parquet(path)
-    stored = spark.read.parquet(path)
+    stored = stored_by_day(spark.read.parquet(path), "event_date")
     for frame in (
         installs.surviving_installs(stored, log.accounts, FEBRUARY),
         installs.install_multiplicity(stored, log.accounts, FEBRUARY),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
-from datetime import date
+from datetime import date, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,6 +39,7 @@ JANUARY = Period.days("2024-01-01", "2024-01-30")
 WEEK = Period.days("2024-01-08", "2024-01-14")
 TO_DATE = Period.days("2024-01-20", "2024-01-31")
 WINDOW = Period.days("2024-01-24", "2024-01-29")
+UNTIL = Period.until("2024-01-20", datetime(2024, 1, 30, 17, 45))
 HALF_YEAR = Period.days("1996-03-01", "1996-08-31")
 YEARS = Period.through("1999-12-31")
 SPAN = Period.days("1995-02-01", "2001-07-31")
@@ -62,7 +63,7 @@ account AS (
 
 SAMPLE_E = """WITH activity AS (
     SELECT event_id, user_id AS store_client_id, c_name AS store_name, CASE event_type
-        WHEN 'signup' THEN ['fresh_install', 'Fresh Installs', 'Re-installs', 'reinstall'][event_id % 4 + 1]
+        WHEN 'signup' THEN ['fresh_install', 'Fresh Installs', 're-Installs', 'reinstall'][event_id % 4 + 1]
         WHEN 'error' THEN ['Store closed', 'Paid uninstalled', 'uninstall', 'uninstall',
                            'uninstall'][event_id % 5 + 1]
         WHEN 'view' THEN ['Free Plan', 'Free User', 'During trial'][event_id % 3 + 1]
@@ -70,7 +71,7 @@ SAMPLE_E = """WITH activity AS (
                               'pricing_plan_type-3'][event_id % 4 + 1]
         WHEN 'click' THEN ['PC-onboarding-step-1', 'SPLD-onboarding-step-2', 'PC-onboarding-step-3',
                            'Onboarding completed', 'App enabled-odd', 'Checkout Widget Enabled',
-                           'reopen', 'Scheduled Order Placed'][event_id % 8 + 1] END AS action,
+                           'Store Re-opened', 'Scheduled Order Placed'][event_id % 8 + 1] END AS action,
         CASE WHEN event_id % 89 = 0 THEN NULL WHEN event_id % 97 = 0 THEN 'uninstall'
              ELSE event_type END AS page,
         ts AS created_at
@@ -320,6 +321,24 @@ def cases() -> dict[str, Case]:
         "report_install_status_rows": on_e(
             lambda a, c: reports.install_status_rows(a, c, JANUARY, "reinstall", rule=A),
             f"SELECT store_name, created_at FROM ({naive.surviving_reinstalls(JANUARY, A)})"),
+        "report_install_status_fresh": on_e(
+            lambda a, c: reports.install_status_rows(a, c, JANUARY, "fresh", rule=A),
+            f"SELECT store_name, created_at FROM ({naive.surviving_installs(JANUARY, A)})"),
+        "report_install_status_reopen": on_e(
+            lambda a, c: reports.install_status_rows(a, c, JANUARY, "reopen", rule=A),
+            f"SELECT store_name, created_at FROM ({naive.reopened_stores(JANUARY, A)})"),
+        "installs_until": on_e(
+            lambda a, c: installs.installs_to_date(
+                a, c, UNTIL, WINDOW, cohort="previous", installs="reinstall", rule=A),
+            naive.installs_to_date(UNTIL, WINDOW, A, "previous", "reinstall")),
+        "report_churn_bucket_closed": on_e(
+            lambda a, c: reports.churn_bucket_rows(a, c, JANUARY, "store_closed", rule=D),
+            f"SELECT store_client_id, store_name FROM ({naive.churn_buckets(JANUARY, D)}) "
+            "WHERE store_closed"),
+        "report_churn_bucket_reinstalled": on_e(
+            lambda a, c: reports.churn_bucket_rows(a, c, JANUARY, "reinstall_unistall", rule=D),
+            f"SELECT store_client_id, store_name FROM ({naive.churn_buckets(JANUARY, D)}) "
+            "WHERE reinstall_unistall"),
         "report_onboarding_of_new": on_e(
             lambda a, c: reports.onboarding_of_new(a, c, JANUARY, rule=A),
             naive.onboarding_of_new_totals(JANUARY, A)),
