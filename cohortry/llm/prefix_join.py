@@ -218,14 +218,23 @@ def shared_postings(profile: DataFrame, rule: Similarity) -> DataFrame:
         "gid", "n", F.explode(F.arrays_zip("prefix", "fan")).alias("p")).select(
         F.col("p.prefix").alias("h"), "gid", "n", F.col("p.fan").alias("fan"),
         F.when(F.col("p.fan") > 1, F.pmod("gid", F.col("p.fan"))).otherwise(F.lit(0)).alias("salt"))
-    here = Window.partitionBy("h", "salt")
-    shared = postings.select("*", F.min("gid").over(here).alias("least"), F.max("gid").over(here).alias("most")
-                             ).filter("least != most OR fan > 1")
+    # A partner of like size exists only if the next smaller or larger set is one.
+    by_size = Window.partitionBy("h", "salt").orderBy("n")
+    near = postings.select("*", F.lag("n").over(by_size).alias("below"), F.lead("n").over(by_size).alias("above"))
+    near = near.filter(f"100 * below >= {rule.percent} * n OR 100 * n >= {rule.percent} * above OR fan > 1")
     alike = Window.partitionBy("h", "salt", "band")
-    return shared.withColumn("band", F.expr(rule.band_sql("n"))).select(
+    return near.withColumn("band", F.expr(rule.band_sql("n"))).select(
         "h", "gid", "n", "fan", F.min("gid").over(alike).alias("c"))
 
 
+def enough(postings: DataFrame, rule: Similarity) -> DataFrame:
+    """The postings of groups that share as many shingles as a link takes with any partner's size."""
+    # The smallest partner of a set of n has percent / 100 * n shingles.
+    least = rule.meets_sql(f"{rule.percent} * n / 100")
+    groups = postings.groupBy("gid").agg(F.count("*").alias("k"), F.min("n").alias("n")).filter(f"k >= {least}")
+    return postings.join(groups.select("gid"), "gid", "left_semi")
+
+
 def set_classes(profile: DataFrame) -> DataFrame:
     """One row per distinct set: key, size, group, smallest document id, signature."""
     return profile.filter("n > 0").groupBy("set_key", "n", "gid").agg(
@@ -364,7 +373,8 @@ def linked(docs: DataFrame, rule: Similarity = Similarity(), text: str = "text")
     folder = shared_folder(spark)
     profile = stored(profiles(docs, rule, text), folder, "profiles")
     classes = stored(set_classes(profile), folder, "classes")
-    postings = stored(shared_postings(profile, rule), folder, "postings")
+    postings = stored(shared_postings(profile, rule), folder, "shared")
+    postings = stored(enough(postings, rule), folder, "postings")
     release(spark)
     groups = classes.groupBy(F.col("gid").alias("g")).agg(
         F.min("set_key").alias("leader"), F.min("n").alias("n"), F.count("*").alias("members"))
