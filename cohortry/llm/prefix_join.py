@@ -46,8 +46,9 @@ SIGNATURE = 512
 FILTER_BITS = 24
 # Words and groups that a task remembers.
 REMEMBERED = 200_000
-# Pairing everything that is still apart is in order up to so many pairs per posting.
-PAIRS_PER_POSTING = 4
+# Pairing everything that is still apart is in order up to so many pairs per posting: a pair costs a
+# look at two signatures where the postings meet, a round of centres two more shuffles of the postings.
+PAIRS_PER_POSTING = 64
 # A round of centres is worth another one if it finds a link for so many postings still apart.
 LINKS_WORTH = 50
 MOST_STAR_ROUNDS = 6
@@ -118,6 +119,20 @@ def signature(shingles: np.ndarray) -> bytes:
     return np.packbits(np.bincount(place, minlength=SIGNATURE).astype(np.uint8) & 1).tobytes()
 
 
+def wide_signature(shingles: np.ndarray) -> bytes:
+    """The same with one to two places for each element, so that it also tells long sets apart."""
+    places = 1 << max(6, (len(shingles) - 1).bit_length())
+    place = (shingles % np.uint64(places)).astype(np.int64)
+    return np.packbits(np.bincount(place, minlength=places).astype(np.uint8) & 1).tobytes()
+
+
+def bits_apart(left: bytes, right: bytes) -> int:
+    """Bits in which two wide signatures differ; the longer one is folded to the length of the other."""
+    one, two = sorted((np.frombuffer(x, dtype=np.uint8) for x in (left, right)), key=len)
+    folded = np.bitwise_xor.reduce(two.reshape(-1, len(one)), axis=0)
+    return int(np.unpackbits(one ^ folded).sum())
+
+
 def _slot(shingles: np.ndarray) -> np.ndarray:
     return (shingles >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
 
@@ -260,16 +275,18 @@ def likely_members(rows: DataFrame, key: str, ids: DataFrame, column: str) -> Da
 
 
 def sets_of(docs: DataFrame, classes: DataFrame, rule: Similarity, text: str | Column = "text") -> DataFrame:
-    """``set_key`` and sorted set of at least the given classes, from their smallest document ids."""
+    """``set_key``, size, wide signature and sorted set of at least the given classes, from their
+    smallest document ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         given: set[bytes] = set()  # repeated rows: a task sends a set once
         for batch in batches:
-            sets, keys = [], []
+            sets, keys, sizes, wide = [], [], [], []
             for t in batch.column(0).to_pylist():
-                found = shingle_set(t, rule.words).tobytes()
+                shingles = shingle_set(t, rule.words)
+                found = shingles.tobytes()
                 key = xxhash.xxh3_128_digest(found)
                 if key not in given:
                     if len(given) > REMEMBERED:
@@ -277,11 +294,15 @@ def sets_of(docs: DataFrame, classes: DataFrame, rule: Similarity, text: str | C
                     given.add(key)
                     sets.append(found)
                     keys.append(key)
+                    sizes.append(len(shingles))
+                    wide.append(wide_signature(shingles))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.binary()), pa.array(sets, pa.binary())], names=["set_key", "shingles"])
+                [pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(wide, pa.binary()),
+                 pa.array(sets, pa.binary())], names=["set_key", "n", "wide", "shingles"])
 
     rows = likely_members(docs.select("doc_id", whole(text).alias("t")), "doc_id", classes, "sid")
-    return rows.select("t").mapInArrow(run, "set_key binary, shingles binary")
+    return rows.select("t").mapInArrow(
+        run, "set_key binary, n bigint, wide binary, shingles binary")
 
 
 def could_link(rule: Similarity, left: str = "l", right: str = "r") -> Column:
@@ -303,8 +324,25 @@ def promising(pairs: DataFrame, classes: DataFrame, rule: Similarity) -> DataFra
     )
 
 
+def likely(pairs: DataFrame, sets: DataFrame, rule: Similarity) -> DataFrame:
+    """The pairs that their wide signatures do not rule out, an eighth of a byte or two for a shingle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y, total = (batch.column(i).to_pylist() for i in (2, 3, 4))
+            keep = [(100 + rule.percent) * bits_apart(left, right) <= (100 - rule.percent) * n
+                    for left, right, n in zip(x, y, total, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(
+                pa.array(keep, pa.bool_()))
+
+    left = sets.select(F.col("set_key").alias("a"), F.col("n").alias("na"), F.col("wide").alias("x"))
+    right = sets.select(F.col("set_key").alias("b"), F.col("n").alias("nb"), F.col("wide").alias("y"))
+    both = pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y", F.expr("na + nb").alias("total"))
+    return both.mapInArrow(run, "a binary, b binary")
+
+
 def verified(pairs: DataFrame, sets: DataFrame, rule: Similarity) -> DataFrame:
-    """The pairs whose whole sets link."""
+    """The pairs whose whole sets link. Only sets in a pair are shuffled, and few others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -316,6 +354,8 @@ def verified(pairs: DataFrame, sets: DataFrame, rule: Similarity) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(
                 pa.array(keep, pa.bool_()))
 
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("set_key"))
+    sets = likely_members(sets.select("set_key", "shingles"), "set_key", ends, "set_key")
     left = sets.select(F.col("set_key").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("set_key").alias("b"), F.col("shingles").alias("y"))
     both = pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y")
@@ -340,25 +380,36 @@ def star_of_groups(postings: DataFrame, groups: DataFrame, rule: Similarity) ->
     ).select(F.col("l.leader").alias("a"), F.col("r.leader").alias("b"))
 
 
-def still_apart(split: DataFrame, classes: DataFrame, rule: Similarity) -> DataFrame:
-    """All pairs (a, b) of classes of different labels that share enough shingles and could link.
+def labelled(under: DataFrame, label: DataFrame, rule: Similarity) -> DataFrame:
+    """``under`` with each class's label as ``name``, its own key where it has none, and its size band."""
+    return under.join(label, "set_key", "left").select(
+        *under.columns, F.coalesce("label", "set_key").alias("name"), F.expr(rule.band_sql("n")).alias("band"))
+
+
+def apart(named: DataFrame, rule: Similarity) -> DataFrame:
+    """The rows that a link between different labels could still need, and few others.
 
-    ``split`` has a row per shingle and class, with a ``label`` where that is not the class itself.
-    Shingles that have one label only in a band and its neighbours leave before the signatures come.
+    A row is needed if its shingle has another label in a like size band. Labels only merge, so rows
+    that leave are not needed later either.
     """
-    light = classes.select("set_key", "n", *BIT_COLUMNS)
-    sized = split.join(light.select("set_key", "n"), "set_key").withColumn("band", F.expr(rule.band_sql("n")))
-    name = F.coalesce("label", "set_key")
-    near = sized.groupBy("h", "band").agg(F.min(name).alias("low"), F.max(name).alias("high")).select(
-        "h", "low", "high", F.explode(F.expr("array(band - 1, band, band + 1)")).alias("band"))
-    near = near.groupBy("h", "band").agg(F.min("low").alias("low"), F.max("high").alias("high")).filter("low != high")
-    full = sized.join(near, ["h", "band"], "left_semi").drop("band", "n").join(light, "set_key")
+    known = named.withColumn("spot", F.xxhash64("h", "band"))
+    mark = F.xxhash64("name")
+    sides = named.groupBy("h", "band").agg(F.min(mark).alias("low"), F.max(mark).alias("high"))
+    like = Window.partitionBy("h").orderBy("band").rangeBetween(-1, 1)  # a row per band
+    mixed = sides.select("h", "band", F.min("low").over(like).alias("low"), F.max("high").over(like).alias("high"))
+    mixed = mixed.filter("low != high").select(F.xxhash64("h", "band").alias("spot"))
+    return likely_members(known, "spot", mixed, "spot").drop("spot")
+
+
+def still_apart(split: DataFrame, classes: DataFrame, rule: Similarity) -> DataFrame:
+    """All pairs (a, b) of classes of different names that share enough shingles and could link."""
+    light = classes.select("set_key", *BIT_COLUMNS)
+    full = split.select("h", "w", "n", "set_key", "name").join(light, "set_key")
     one, two = full.alias("l"), full.alias("r")
-    different = F.coalesce("l.label", "l.set_key") != F.coalesce("r.label", "r.set_key")
     met = one.join(two, (F.col("l.h") == F.col("r.h")) & (F.col("l.set_key") < F.col("r.set_key"))
-                   & different & could_link(rule))
+                   & (F.col("l.name") != F.col("r.name")) & could_link(rule))
     return met.groupBy(F.col("l.set_key").alias("a"), F.col("r.set_key").alias("b")).agg(
-        F.count("*").alias("k"), F.min(F.least("l.n", "r.n")).alias("n")
+        F.sum("l.w").alias("k"), F.min(F.least("l.n", "r.n")).alias("n")
     ).filter(f"k >= {rule.meets_sql('n')}").select("a", "b")
 
 
@@ -392,40 +443,42 @@ def linked(docs: DataFrame, rule: Similarity = Similarity(), text: str = "text")
         ends = pairs.select(F.explode(F.array("a", "b")).alias("set_key")).distinct()
         needed = met.join(ends, "set_key", "left_semi").select("sid")
         sets = stored(sets_of(docs, needed, rule, text), folder, f"sets-{turn}")
-        found = stored(verified(pairs, sets, rule), folder, f"links-{turn}")
+        near = stored(likely(pairs, sets, rule), folder, f"likely-{turn}")
+        found = stored(verified(near, sets, rule), folder, f"links-{turn}")
         release(spark)
         return found
 
     links = checked(pairs, 1)
     label = components(links, folder, "labels-1")
 
-    # Every class under each of its shingles, and under its group if that holds others.
+    # Every class under each of its shingles, and under its group if that holds others: those share
+    # their whole prefix, which weighs as much as a link takes.
+    members = met.join(crowded, F.col("gid") == F.col("g")).select(F.col("gid").alias("h"), "set_key", "n")
     under = stored(
-        postings.select("h", "gid").distinct().join(met.select("gid", "set_key"), "gid").select("h", "set_key")
-        .unionByName(met.join(crowded, F.col("gid") == F.col("g")).select(F.col("gid").alias("h"), "set_key")),
+        postings.select("h", "gid").distinct().join(met.select("gid", "set_key", "n"), "gid")
+        .select("h", "set_key", "n", F.lit(1).alias("w"))
+        .unionByName(members.withColumn("w", F.expr(rule.meets_sql("n")))),
         folder, "under")
     turn, fresh = 1, None
     while True:
         turn += 1
-        label = _named(label)
-        named = under.join(label, "set_key", "left")
-        name = F.coalesce("label", "set_key")
-        per = named.groupBy("h", name.alias("name")).agg(F.count("*").alias("k")).groupBy("h").agg(
+        split = stored(apart(stored(labelled(under, _named(label), rule), folder, f"named-{turn}"), rule), folder, f"apart-{turn}")
+        under = split.drop("name", "band")
+        per = split.groupBy("h", F.xxhash64("name").alias("name")).agg(F.count("*").alias("k")).groupBy("h").agg(
             F.sum("k").alias("rows"), F.sum(F.col("k") * F.col("k")).alias("squares"), F.count("*").alias("labels"))
-        apart = per.filter("labels > 1")
-        left, rows = apart.agg(F.expr("sum((rows * rows - squares) / 2)"), F.sum("rows")).first()
+        left, rows = per.filter("labels > 1").agg(F.expr("sum((rows * rows - squares) / 2)"), F.sum("rows")).first()
         if not rows:
+            label = _named(label)
             break
         # Centres help as long as they find links; what stays apart then is mostly unlike.
         idle = fresh is not None and fresh * LINKS_WORTH < rows
         last = left <= PAIRS_PER_POSTING * rows or idle or turn > MOST_STAR_ROUNDS
-        split = named.join(apart.select("h"), "h", "left_semi")
         if last:
             pairs = still_apart(split, met, rule)
         else:
             centre = split.groupBy("h").agg(
-                F.min_by(F.struct("set_key", name.alias("name")), F.xxhash64("set_key", F.lit(turn))).alias("c"))
-            pairs = split.join(centre, "h").filter(name != F.col("c.name")).select(
+                F.min_by(F.struct("set_key", "name"), F.xxhash64("set_key", F.lit(turn))).alias("c"))
+            pairs = split.join(centre, "h").filter("name != c.name").select(
                 F.col("set_key").alias("a"), F.col("c.set_key").alias("b"))
             pairs = promising(pairs, met, rule)
         found = checked(stored(pairs, folder, f"pairs-{turn}"), turn)

@@ -246,6 +246,28 @@ def test_near_duplicates_by_brute_force(spark, monkeypatch):
     assert empty.columns == ["doc_id", "tie", "n_shingles", "component_id"] and empty.collect() == []
 
 
+def test_links_within_a_group(spark):
+    """Equal prefix and size, but the leader may be the one that is unlike the other two."""
+    tails = {k: [f"{k}{i}" for i in range(200)] for k in "uv"}
+    tails["w"] = [*tails["v"][:100], "other", *tails["v"][101:]]
+    rows = [(3 * turn + i, " ".join([f"r{turn}x{j}" for j in range(100)] + tails[k]))
+            for turn in range(8) for i, k in enumerate("uvw")]
+    found = prefix_join.linked(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in found} == {
+        d: d - 1 if d % 3 == 2 else d for d, _ in rows}
+
+
+def test_wide_signatures_never_exceed_the_difference():
+    rng = np.random.default_rng(6)
+    for n, m in ((1, 1), (40, 64), (64, 65), (500, 620), (3000, 2500)):
+        common = rng.integers(0, 2**63, min(n, m) - 1, dtype=np.uint64)
+        left, right = (np.unique(np.concatenate([common, rng.integers(0, 2**63, k - len(common), dtype=np.uint64)]))
+                       for k in (n, m))
+        apart = prefix_join.bits_apart(prefix_join.wide_signature(left), prefix_join.wide_signature(right))
+        assert apart <= len(np.setxor1d(left, right))
+        assert (apart - len(np.setxor1d(left, right))) % 2 == 0
+
+
 def test_prefixes_of_similar_sets_meet():
     rng, rule = random.Random(4), prefix_join.Similarity()
     for _ in range(2000):
