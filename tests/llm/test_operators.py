@@ -299,6 +299,23 @@ def test_held_out_language(spark):
     assert found.filter("lang_pred = lang").count() >= 0.97 * found.count()
 
 
+def test_language_does_not_depend_on_the_tables_limit(spark, docs, monkeypatch):
+    given = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    texts = [(-1, "gartenhaus zzyzx \u044f\u0449\u0438\u043a" * 3), (-2, None), (None, "qq " * 40), (None, "qq " * 40)]
+    given = given.unionByName(spark.createDataFrame([(*t, None) for t in texts], given.schema)).cache()
+    training = given.filter("doc_id % 3 != 0")
+
+    def found():
+        return counted(language_id.identify(given, language_id.learn(training)), "doc_id", "lang_pred", "score")
+
+    want = found()
+    assert sum(want.values()) == given.count()
+    monkeypatch.setattr(language_id, "HOT_ROWS", 3)
+    for cells in (1, 400, 8000):
+        monkeypatch.setattr(language_id, "TABLE_CELLS", cells)
+        assert found() == want
+
+
 def test_held_out_quality(spark):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     found = queries.op7_quality(spark, SF).filter("held_out").join(labels, "doc_id").collect()
