@@ -203,6 +203,33 @@ def test_quality_rules_by_brute_force(docs, empty):
     assert compression_bands.judge(empty).collect() == []
 
 
+def test_bands_tell_noise_and_templates_from_prose():
+    """All of these pass the base rules; the bands alone decide."""
+    bands, packer, rng = compression_bands.Bands(), zstandard.ZstdCompressor(level=3), random.Random(9)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+    def passes(text):
+        words, *_, repeated = compression_bands.text_counts(text)
+        return words >= 50 and 2 * repeated <= words
+
+    def inside(text):
+        return compression_bands.ratios(text.encode(), packer, bands)[-1]
+
+    def noise(alphabet, size):
+        return " ".join("".join(rng.choices(alphabet, k=12)) for _ in range(size // 13))
+
+    junk = [noise(a, n) for a in (letters, letters + "0123456789+/") for n in (700, 1500, 3000, 7000, 20_000, 50_000)]
+    junk += [noise(letters[:26], n) for n in (3000, 7000, 20_000, 50_000)]
+    junk += ["\n".join(f"Row {i} value {i * 7 % 997}" for i in range(n)) for n in (60, 200, 800)]
+    assert all(map(passes, junk)) and not any(map(inside, junk))
+    clean = duckdb.sql(f"SELECT text FROM '{SF}/documents.parquet' WHERE text IS NOT NULL").fetchall()
+    clean = [t for (t,) in clean if passes(t)]
+    assert len(clean) > 800 and all(map(inside, clean))
+    # A third of noise in a text of three chunks.
+    prose = next(t for t in clean if len(t.encode()) > 5000)[:4000]
+    assert not inside(prose + noise(letters + "0123456789+/", 2000))
+
+
 def components_of(texts: dict[int, str]) -> dict[int, int]:
     sets = {}
     for i, t in texts.items():
