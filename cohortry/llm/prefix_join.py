@@ -419,6 +419,11 @@ def _named(component: DataFrame) -> DataFrame:
 
 def linked(docs: DataFrame, rule: Similarity = Similarity(), text: str = "text") -> DataFrame:
     """``doc_id``, ``tie`` (hash of the text), ``n_shingles`` and ``component_id`` of every document."""
+    return _linked(docs, rule, text).drop("label")
+
+
+def _linked(docs: DataFrame, rule: Similarity, text: str) -> DataFrame:
+    """The same with the component's ``label``, which also tells components of equal or no ids apart."""
     spark = docs.sparkSession
     prepare(spark)
     folder = shared_folder(spark)
@@ -492,20 +497,27 @@ def linked(docs: DataFrame, rule: Similarity = Similarity(), text: str = "text")
     named = classes.select("set_key", "sid").join(label, "set_key", "left").withColumn(
         "label", F.coalesce("label", "set_key"))
     smallest = named.groupBy("label").agg(F.min("sid").alias("component_id"))
-    component = named.join(smallest, "label").select("set_key", "component_id")
+    component = named.join(smallest, "label").select("set_key", "component_id", "label")
     return profile.select("doc_id", "tie", "n", "set_key").join(component, "set_key", "left").select(
         "doc_id", "tie", F.col("n").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+        F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
+        "label")
 
 
 def keep_one(docs: DataFrame, rule: Similarity = Similarity(), text: str = "text") -> DataFrame:
     """One document of each component, the one with the smallest id, with all its columns.
 
-    Rows that share id and text are one document and stay or leave together.
+    Where several texts of a component share that id, or all lack one, the smallest hash of the text
+    decides. Rows that share id and text are one document and stay or leave together.
     """
-    found = linked(docs, rule, text)
-    leaving = found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
-        F.col("doc_id").alias("d"), "tie").distinct()
+    found = _linked(docs, rule, text).filter("n_shingles > 0")
+    found = stored(found, shared_folder(docs.sparkSession), "components")
+    first = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    firsts = found.filter(first).select("label", "doc_id", "tie").distinct()
+    several = firsts.groupBy("label").agg(F.min("tie").alias("low"), F.max("tie").alias("high")).filter("low != high")
+    leaving = found.filter(~first).select("doc_id", "tie").distinct().unionByName(
+        firsts.join(several, "label").filter("tie != low").select("doc_id", "tie")
+    ).withColumnRenamed("doc_id", "d")
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"),
                        F.col("doc_id").alias("own"), F.xxhash64(whole(text)).alias("own_tie"))
     stay = rows.join(leaving, F.col("own").eqNullSafe(F.col("d")) & (F.col("own_tie") == F.col("tie")), "left_anti")

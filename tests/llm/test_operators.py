@@ -273,6 +273,23 @@ def test_near_duplicates_by_brute_force(spark, monkeypatch):
     assert empty.columns == ["doc_id", "tie", "n_shingles", "component_id"] and empty.collect() == []
 
 
+def test_one_of_each_component_stays_whatever_its_ids(spark):
+    rng = random.Random(8)
+    base = {k: [f"{k}{rng.randrange(500)}" for _ in range(90)] for k in "abcde"}
+
+    def near(k, i):
+        return " ".join(base[k][:i] + [f"other{i}"] + base[k][i + 1 :])
+
+    given = [(None, near("a", i)) for i in (0, 1, 88, 89)] + [(None, near("a", 0))]  # the last one a copy
+    given += [(7, near("b", i)) for i in (0, 1, 89)] + [(7, near("c", i)) for i in (0, 89)]
+    given += [(None, near("d", 0)), (3, near("d", 1)), (4, near("d", 2)), (None, near("e", 0)), (None, ""), (None, None)]
+    docs = spark.createDataFrame(given, "doc_id bigint, text string").repartition(3)
+    kept = [(r.doc_id, r.text) for r in prefix_join.keep_one(docs).collect()]
+    families = Counter((i, t.split()[5][0] if t else "") for i, t in set(kept))
+    assert families == {(None, "a"): 1, (7, "b"): 1, (7, "c"): 1, (3, "d"): 1, (None, "e"): 1, (None, ""): 2}
+    assert set(kept) <= set(given) and len(kept) == sum(given.count(k) for k in set(kept))
+
+
 def test_links_within_a_group(spark):
     """Equal prefix and size, but the leader may be the one that is unlike the other two."""
     tails = {k: [f"{k}{i}" for i in range(200)] for k in "uv"}
