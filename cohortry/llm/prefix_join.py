@@ -8,14 +8,16 @@ among the first ``n - ceil(0.8 n) + k`` of each: the prefix. Here k is 4, and 1
    hashed shingles; it orders the shingles.
 2. Documents with equal sets become one class; classes with identical prefix and size one group.
 3. Groups that share a prefix shingle are paired: each with one centre of like size per shingle, not
-   with each other. Group pairs are filtered by size; then they expand to their classes, pairs whose
-   bit signatures already differ too much go, and the rest is verified on whole sets.
+   with each other. Group pairs are filtered by size and stand for their leaders only; members pair
+   with their own leader. Pairs whose bit signatures already differ too much go, and the rest is
+   verified on whole sets.
 4. Links found so far form components. Classes that share a shingle and are still apart are paired
    with further centres, and in the end with each other: all pairs that share k prefix shingles and
    could link by size and signature are verified or lie within one component, so no link between
    components is lost.
 
-A shingle of very many documents is spread over several tasks by a salt known from the counts.
+A shingle of very many documents is spread over several tasks by a salt known from the counts, up to
+the centres of step 3; step 4 joins on the shingle alone.
 
 Words are runs of anything but the six blanks, A-Z in lower case. Fewer than five words make one
 shingle; documents without words or text have an empty set, link with nothing and keep their own id.
