@@ -1,8 +1,8 @@
 """Activity, account and snapshot tables mapped from the sample star schema.
 
 ``events`` and ``customer`` give a dense one-month log, ``orders`` and ``customer`` an 80-month log
-with real ties. Each is a lazy projection; no table is copied. A customer's name follows from the
-key, so the log needs no join to carry it.
+with real ties. Each is a lazy projection; no table is copied. A customer's name and the creation of
+its account follow from the key, so neither table needs a join. Both logs use every label of the vocabulary.
 """
 
 from __future__ import annotations
@@ -18,38 +18,89 @@ COLUMNS = {
     "customer": "c_custkey BIGINT, c_name STRING, c_mktsegment STRING",
 }
 
+# Labels by event, in the casings and spellings that occur; what a shop does at all depends on its key,
+# so every step, plan and milestone is reached by some shops and not by others.
 EVENT_ACTION = """CASE event_type
-    WHEN 'signup' THEN CASE event_id % 4
+    WHEN 'signup' THEN CASE event_id % 7
         WHEN 0 THEN 'fresh_install' WHEN 1 THEN 'Fresh Installs' WHEN 2 THEN 're-Installs'
-        ELSE 'reinstall' END
-    WHEN 'error' THEN CASE event_id % 5
-        WHEN 0 THEN 'Store closed' WHEN 1 THEN 'Paid uninstalled' ELSE 'uninstall' END
+        WHEN 3 THEN 'reinstall' WHEN 4 THEN 'FRESH INSTALL' WHEN 5 THEN 're_install' ELSE 'install' END
+    WHEN 'error' THEN CASE event_id % 7
+        WHEN 0 THEN 'Store closed' WHEN 1 THEN CASE WHEN user_id % 3 = 0 THEN 'Paid uninstalled' ELSE 'crash' END
+        WHEN 2 THEN 'uninstall' WHEN 3 THEN 'UNINSTALL' WHEN 4 THEN 'UNINSTALLED' WHEN 5 THEN 'app_uninstall'
+        ELSE 'error page' END
     WHEN 'view' THEN CASE event_id % 3
-        WHEN 0 THEN 'Free Plan' WHEN 1 THEN 'Free User' ELSE 'During trial' END
-    WHEN 'purchase' THEN CASE event_id % 4
+        WHEN 0 THEN CASE WHEN user_id % 4 = 1 THEN 'Free Plan' ELSE 'free plan' END
+        WHEN 1 THEN CASE user_id % 4 WHEN 0 THEN 'Plan Downgraded' WHEN 1 THEN 'viewed' ELSE 'Free User' END
+        ELSE CASE WHEN user_id % 5 < 3 THEN 'During trial' ELSE 'viewed' END END
+    WHEN 'purchase' THEN CASE event_id % 6
         WHEN 0 THEN 'Charge Approved' WHEN 1 THEN 'Plan Upgraded' WHEN 2 THEN 'pricing_plan_type-2'
-        ELSE 'pricing_plan_type-3' END
-    WHEN 'click' THEN CASE event_id % 8
-        WHEN 0 THEN 'PC-onboarding-step-1' WHEN 1 THEN 'SPLD-onboarding-step-2'
-        WHEN 2 THEN 'PC-onboarding-step-3' WHEN 3 THEN 'Onboarding completed'
-        WHEN 4 THEN 'App enabled-odd' WHEN 5 THEN 'Checkout Widget Enabled' WHEN 6 THEN 'Store Re-opened'
-        ELSE 'Scheduled Order Placed' END
+        WHEN 3 THEN 'Pricing_Plan_Type-3' WHEN 4 THEN 'pricing_plan_type-4' ELSE 'invoice' END
+    WHEN 'click' THEN CASE event_id % 16
+        WHEN 0 THEN CASE WHEN user_id % 5 > 0 THEN 'PC-onboarding-step-1' ELSE 'help' END
+        WHEN 1 THEN CASE WHEN user_id % 5 > 1 THEN 'SPLD-onboarding-step-2' ELSE 'help' END
+        WHEN 2 THEN CASE WHEN user_id % 5 > 2 THEN 'PC-onboarding-step-3' ELSE 'help' END
+        WHEN 3 THEN CASE WHEN user_id % 5 > 3 THEN 'Onboarding completed' ELSE 'help' END
+        WHEN 4 THEN CASE WHEN user_id % 5 > 0 THEN 'SPLD-onboarding-step-1' ELSE 'help' END
+        WHEN 5 THEN 'App enabled-odd' WHEN 6 THEN 'Calendar Placement (Default)'
+        WHEN 7 THEN 'Delivery Method Enabled' WHEN 8 THEN 'Date-picker — Enabled'
+        WHEN 9 THEN 'Time-picker — Enabled' WHEN 10 THEN 'Google Maps API Key Added'
+        WHEN 11 THEN 'Checkout Widget Enabled' WHEN 12 THEN 'Scheduled Order Placed'
+        WHEN 13 THEN 'Store Re-opened' WHEN 14 THEN 'Reopen' ELSE 'App Enabled' END
     END"""
 
 EVENT_PAGE = """CASE
-    WHEN event_id % 89 = 0 THEN NULL WHEN event_id % 97 = 0 THEN 'uninstall' ELSE event_type END"""
+    WHEN event_id % 89 = 0 THEN NULL WHEN event_id % 197 = 0 THEN 'uninstall'
+    WHEN event_id % 211 = 0 THEN 'Uninstall_App'
+    WHEN event_type = 'signup' AND event_id % 2 = 0 THEN 'Fresh Installs page'
+    WHEN event_type = 'signup' AND event_id % 3 = 0 THEN 're-installs'
+    ELSE event_type END"""
 
 ORDER_ACTION = """CASE o_orderpriority
-    WHEN '1-URGENT' THEN 'fresh_install' WHEN '2-HIGH' THEN 're-installs'
-    WHEN '3-MEDIUM' THEN 'uninstall' WHEN '4-NOT SPECIFIED' THEN 'Onboarding completed'
-    ELSE if(o_orderstatus = 'F', 'Free User', 'Plan Upgraded') END"""
+    WHEN '1-URGENT' THEN CASE o_orderkey % 5
+        WHEN 0 THEN 'fresh_install' WHEN 1 THEN 'Fresh Installs' WHEN 2 THEN 'fresh install'
+        WHEN 3 THEN 'reopen' ELSE 'fresh_Install' END
+    WHEN '2-HIGH' THEN CASE o_orderkey % 4
+        WHEN 0 THEN 're-installs' WHEN 1 THEN 'Reinstall' WHEN 2 THEN 'RE_INSTALL' ELSE 're installs' END
+    WHEN '3-MEDIUM' THEN CASE o_orderkey % 6
+        WHEN 0 THEN 'uninstall' WHEN 1 THEN 'UNINSTALL' WHEN 2 THEN 'Uninstall'
+        WHEN 3 THEN 'Paid uninstalled' WHEN 4 THEN 'Store closed' ELSE 'app_uninstall' END
+    WHEN '4-NOT SPECIFIED' THEN CASE o_orderkey % 13
+        WHEN 0 THEN 'PC-onboarding-step-1' WHEN 1 THEN 'SPLD-onboarding-step-2' WHEN 2 THEN 'PC-onboarding-step-3'
+        WHEN 3 THEN 'App enabled-odd' WHEN 4 THEN 'Calendar Placement (Default)'
+        WHEN 5 THEN 'Delivery Method Enabled' WHEN 6 THEN 'Date-picker — Enabled'
+        WHEN 7 THEN 'Time-picker — Enabled' WHEN 8 THEN 'Google Maps API Key Added'
+        WHEN 9 THEN 'Checkout Widget Enabled' WHEN 10 THEN 'Scheduled Order Placed'
+        WHEN 11 THEN 'Onboarding—completed' ELSE 'Onboarding completed' END
+    ELSE CASE WHEN o_orderstatus = 'F' THEN CASE o_orderkey % 3
+            WHEN 0 THEN 'Free User' WHEN 1 THEN 'During trial' ELSE 'Plan Downgraded' END
+        ELSE CASE o_orderkey % 5 WHEN 0 THEN 'Charge Approved' WHEN 1 THEN 'pricing_plan_type-2'
+            WHEN 2 THEN 'Free Plan' ELSE 'Plan Upgraded' END END
+    END"""
 
 ORDER_PAGE = """CASE
-    WHEN o_orderkey % 11 = 0 THEN NULL
+    WHEN o_orderkey % 11 = 0 THEN NULL WHEN o_orderkey % 173 = 0 THEN 'UNINSTALL_APP'
     WHEN o_orderpriority = '1-URGENT' AND o_orderkey % 2 = 0 THEN 'Fresh Installs page'
     WHEN o_orderpriority = '2-HIGH' AND o_orderkey % 3 != 0 THEN 're-installs'
     ELSE 'home' END"""
 
+# Every third shop of the long log lives within one month, several events a day; the others' events lie
+# at midnight, which gives ties.
+ORDER_TIME = """CASE WHEN o_custkey % 3 = 0
+    THEN TIMESTAMP_NTZ'1995-01-01 00:00:00' + make_ym_interval(0, CAST(o_custkey % 79 AS INT))
+        + make_dt_interval(dayofmonth(o_orderdate) - 1, CAST(o_orderkey % 4 * 6 AS INT))
+    ELSE o_orderdate END"""
+
+# Some events of the long log carry an id the shop had before; its name is the same.
+ORDER_ID = "CASE WHEN o_orderkey % 17 = 0 THEN o_custkey + 10000000 ELSE o_custkey END"
+
+CREATED_E = """TIMESTAMP_NTZ'2023-11-25 00:00:00'
+    + make_dt_interval(CAST(c_custkey * 7 % 60 AS INT), CAST(c_custkey % 24 AS INT))"""
+
+CREATED_O = """CASE WHEN c_custkey % 9 = 0 THEN TIMESTAMP_NTZ'1994-05-01 00:00:00' WHEN c_custkey % 3 = 0
+    THEN TIMESTAMP_NTZ'1995-01-01 00:00:00' + make_ym_interval(0, CAST(c_custkey % 79 AS INT))
+        - make_dt_interval(CAST(c_custkey % 2 * 40 AS INT))
+    ELSE TIMESTAMP_NTZ'1994-07-01 00:00:00' + make_dt_interval(CAST(c_custkey * 37 % 1400 AS INT)) END"""
+
 ACCOUNT_EMAIL = """CASE
     WHEN c_custkey % 13 = 0 THEN NULL
     WHEN c_custkey % 7 = 0 THEN concat('u', c_custkey, '@internal.example')
@@ -73,22 +124,19 @@ def activity_e(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def activity_o(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "orders").selectExpr(
-        "o_orderkey AS event_id", "o_custkey AS store_client_id", _named("o_custkey"),
-        f"{ORDER_ACTION} AS action", f"{ORDER_PAGE} AS page", "o_orderdate AS created_at",
+        "o_orderkey AS event_id", f"{ORDER_ID} AS store_client_id", _named("o_custkey"),
+        f"{ORDER_ACTION} AS action", f"{ORDER_PAGE} AS page", f"{ORDER_TIME} AS created_at",
     )
 
 
-def _accounts(spark: SparkSession, sf_dir: str, log: str, owner: str, moment: str) -> DataFrame:
-    """Customers with at least one event; the log is reduced to one row per customer first."""
-    first = _table(spark, sf_dir, log).groupBy(F.col(owner).alias("c_custkey")).agg(
-        F.min(moment).alias("first_at")
-    )
-    return _table(spark, sf_dir, "customer").join(first, "c_custkey").selectExpr(
+def _accounts(spark: SparkSession, sf_dir: str, created_on: str) -> DataFrame:
+    """Every customer is an account, with or without events; all columns follow from its row."""
+    return _table(spark, sf_dir, "customer").selectExpr(
         "c_custkey AS store_client_id",
         "c_name AS store_name",
         "c_mktsegment AS shop_plan",
         "if(c_custkey % 10 = 0, NULL, c_mktsegment) AS plan_display_name",
-        "first_at - make_dt_interval(CAST(c_custkey % 3 * 20 AS INT)) AS created_on",
+        f"{created_on} AS created_on",
         "CAST(c_custkey % 3 AS STRING) AS charge_approve",
         "if(c_custkey % 5 = 0, '0', '1') AS status",
         f"{ACCOUNT_EMAIL} AS email",
@@ -96,11 +144,11 @@ def _accounts(spark: SparkSession, sf_dir: str, log: str, owner: str, moment: st
 
 
 def account_e(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _accounts(spark, sf_dir, "events", "user_id", "ts")
+    return _accounts(spark, sf_dir, CREATED_E)
 
 
 def account_o(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _accounts(spark, sf_dir, "orders", "o_custkey", "o_orderdate")
+    return _accounts(spark, sf_dir, CREATED_O)
 
 
 def snapshot_o(spark: SparkSession, sf_dir: str) -> DataFrame:

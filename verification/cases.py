@@ -48,48 +48,39 @@ LATE = Period.month("2001-01")
 JUNE = Period.month("1997-06")
 RULE_MONTH = date(1997, 3, 1)
 
-_CUSTOMER_LOG = """
+# The mapping of the sample's labels is input, not what is checked: both sides share its CASE texts.
+_ACCOUNT = """
 account AS (
     SELECT c_custkey AS store_client_id, c_name AS store_name, c_mktsegment AS shop_plan,
            CASE WHEN c_custkey % 10 = 0 THEN NULL ELSE c_mktsegment END AS plan_display_name,
-           min({moment}) - INTERVAL 20 DAY * (c_custkey % 3) AS created_on,
+           {created_on} AS created_on,
            CAST(c_custkey % 3 AS VARCHAR) AS charge_approve,
            CASE WHEN c_custkey % 5 = 0 THEN '0' ELSE '1' END AS status,
            CASE WHEN c_custkey % 13 = 0 THEN NULL
                 WHEN c_custkey % 7 = 0 THEN 'u' || c_custkey || '@internal.example'
                 ELSE 'u' || c_custkey || '@shop.example' END AS email
-    FROM customer JOIN {log} ON {owner} = c_custkey GROUP BY c_custkey, c_name, c_mktsegment
+    FROM customer
 )"""
 
-SAMPLE_E = """WITH activity AS (
-    SELECT event_id, user_id AS store_client_id, c_name AS store_name, CASE event_type
-        WHEN 'signup' THEN ['fresh_install', 'Fresh Installs', 're-Installs', 'reinstall'][event_id % 4 + 1]
-        WHEN 'error' THEN ['Store closed', 'Paid uninstalled', 'uninstall', 'uninstall',
-                           'uninstall'][event_id % 5 + 1]
-        WHEN 'view' THEN ['Free Plan', 'Free User', 'During trial'][event_id % 3 + 1]
-        WHEN 'purchase' THEN ['Charge Approved', 'Plan Upgraded', 'pricing_plan_type-2',
-                              'pricing_plan_type-3'][event_id % 4 + 1]
-        WHEN 'click' THEN ['PC-onboarding-step-1', 'SPLD-onboarding-step-2', 'PC-onboarding-step-3',
-                           'Onboarding completed', 'App enabled-odd', 'Checkout Widget Enabled',
-                           'Store Re-opened', 'Scheduled Order Placed'][event_id % 8 + 1] END AS action,
-        CASE WHEN event_id % 89 = 0 THEN NULL WHEN event_id % 97 = 0 THEN 'uninstall'
-             ELSE event_type END AS page,
-        ts AS created_at
+SAMPLE_E = f"""WITH activity AS (
+    SELECT event_id, user_id AS store_client_id, c_name AS store_name, {sample.EVENT_ACTION} AS action,
+           {sample.EVENT_PAGE} AS page, ts AS created_at
     FROM events JOIN customer ON user_id = c_custkey
-),""" + _CUSTOMER_LOG.format(log="events", owner="user_id", moment="ts")
+),""" + _ACCOUNT.format(created_on="""TIMESTAMP '2023-11-25' + INTERVAL 1 DAY * (c_custkey * 7 % 60)
+                + INTERVAL 1 HOUR * (c_custkey % 24)""")
 
-SAMPLE_O = """WITH activity AS (
-    SELECT o_orderkey AS event_id, o_custkey AS store_client_id, c_name AS store_name,
-        CASE o_orderpriority WHEN '1-URGENT' THEN 'fresh_install' WHEN '2-HIGH' THEN 're-installs'
-            WHEN '3-MEDIUM' THEN 'uninstall' WHEN '4-NOT SPECIFIED' THEN 'Onboarding completed'
-            ELSE CASE o_orderstatus WHEN 'F' THEN 'Free User' ELSE 'Plan Upgraded' END END AS action,
-        CASE WHEN o_orderkey % 11 = 0 THEN NULL
-             WHEN o_orderpriority = '1-URGENT' AND o_orderkey % 2 = 0 THEN 'Fresh Installs page'
-             WHEN o_orderpriority = '2-HIGH' AND o_orderkey % 3 <> 0 THEN 're-installs'
-             ELSE 'home' END AS page,
-        o_orderdate AS created_at
+SAMPLE_O = f"""WITH activity AS (
+    SELECT o_orderkey AS event_id, {sample.ORDER_ID} AS store_client_id, c_name AS store_name,
+           {sample.ORDER_ACTION} AS action, {sample.ORDER_PAGE} AS page,
+           CASE WHEN o_custkey % 3 = 0
+                THEN TIMESTAMP '1995-01-01' + INTERVAL 1 MONTH * (o_custkey % 79)
+                     + INTERVAL 1 DAY * (day(o_orderdate) - 1) + INTERVAL 6 HOUR * (o_orderkey % 4)
+                ELSE o_orderdate END AS created_at
     FROM orders JOIN customer ON o_custkey = c_custkey
-),""" + _CUSTOMER_LOG.format(log="orders", owner="o_custkey", moment="o_orderdate") + """, snapshot AS (
+),""" + _ACCOUNT.format(created_on="""CASE WHEN c_custkey % 9 = 0 THEN TIMESTAMP '1994-05-01'
+                WHEN c_custkey % 3 = 0
+                THEN TIMESTAMP '1995-01-01' + INTERVAL 1 MONTH * (c_custkey % 79) - INTERVAL 40 DAY * (c_custkey % 2)
+                ELSE TIMESTAMP '1994-07-01' + INTERVAL 1 DAY * (c_custkey * 37 % 1400) END""") + """, snapshot AS (
     SELECT row_number() OVER (ORDER BY m, o_orderstatus) AS id, count(DISTINCT o_custkey) AS active_users,
            count(DISTINCT o_custkey) - count(DISTINCT o_custkey) FILTER (o_orderpriority = '1-URGENT')
                AS free_users,
@@ -255,6 +246,9 @@ def cases() -> dict[str, Case]:
         "first_paid_by_month": on_e(
             lambda a, c: reports.first_paid_by_month(a, c, JANUARY, rule=B),
             naive.first_paid_by_month(JANUARY, B)),
+        "first_paid_by_month_span": on_o(
+            lambda a, c: reports.first_paid_by_month(a, c, HALF_YEAR, rule=B),
+            naive.first_paid_by_month(HALF_YEAR, B)),
         "latest_snapshot": _snapshot_case(),
         # churn
         "churned_events": on_e(
