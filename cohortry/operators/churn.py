@@ -23,6 +23,7 @@ from cohortry.operators.profile import (
     last,
     times,
 )
+from cohortry.operators.reduction import with_facts
 
 Vocabulary = Mapping[str, EventClass]
 ACCOUNT_ID = "store_client_id"
@@ -212,6 +213,8 @@ def plan_at_churn(
 ) -> DataFrame:
     """Churned stores with their cohort and plan states; the states look at the whole log.
 
+    The stores come from one scan of the period; of the rest of the log only their rows are aggregated.
+
     ``base='new_installs'`` starts from :func:`churned_new_installs`, ``'last_uninstall'`` from
     :func:`last_uninstall`. ``paid_only`` is a paid store that never was on trial.
     """
@@ -222,17 +225,16 @@ def plan_at_churn(
         "had_paid": ever(vocab["paid_uninstall"]),
     }
     if base == "last_uninstall":
-        rows = last_uninstall(
-            activity, accounts, period, rule or SET_F, vocab=vocab,
-            account_zone=account_zone, extra=facts,
-        )
         key = ACCOUNT_ID
+        stores = last_uninstall(
+            activity, accounts, period, rule or SET_F, vocab=vocab, account_zone=account_zone
+        )
     else:
-        stores = _churned_store_months(activity, period, vocab, lifted=facts)
-        kept = cohort_accounts(accounts, rule or SET_C, period, None, account_zone)
-        rows = _one_row_per_store(stores, period).join(kept.drop(ACCOUNT_ID), "store_name")
         key = "store_name"
-    return rows.select(
+        months = _churned_store_months(activity, period, vocab)
+        kept = cohort_accounts(accounts, rule or SET_C, period, None, account_zone)
+        stores = _one_row_per_store(months, period).join(kept.drop(ACCOUNT_ID), key)
+    return with_facts(stores, activity, key, **facts).select(
         key,
         "month",
         "uninstall_at",
@@ -400,7 +402,7 @@ def churned_unfinished(
     """Churned stores created in the period; whether they ever finished onboarding or enabled the app.
 
     The base cohort uses ``rule``, and ``final_rule`` is applied on top, which drops accounts
-    without a display plan again.
+    without a display plan again. The log is read as in :func:`plan_at_churn`.
     """
     facts = {
         "finished": ever(union(vocab["onb_step3"], vocab["onb_done"])),
@@ -408,18 +410,18 @@ def churned_unfinished(
     }
     if base == "last_uninstall":
         key = ACCOUNT_ID
-        rows = last_uninstall(
+        stores = last_uninstall(
             activity, accounts, period, final_rule, cohort="new", uninstalls="uninstall_only",
-            vocab=vocab, account_zone=account_zone, extra=facts,
+            vocab=vocab, account_zone=account_zone,
         )
     else:
         key = "store_name"
-        stores = _churned_store_months(activity, period, vocab, lifted=facts)
+        months = _churned_store_months(activity, period, vocab)
         kept = eligible_accounts(eligible_accounts(accounts, rule or SET_C), final_rule).filter(
             cohort_of(period, account_zone) == "new"
         )
-        rows = _one_row_per_store(stores, period).join(kept.select("store_name"), "store_name")
-    return rows.select(
+        stores = _one_row_per_store(months, period).join(kept.select(key), key)
+    return with_facts(stores, activity, key, **facts).select(
         key,
         "month",
         "uninstall_at",

@@ -29,13 +29,19 @@ class Measure:
     """An aggregate over the events of a class (any event for None) in a scope.
 
     ``template`` is the aggregate with ``{hit}`` for the condition. ``scope`` is a period of the
-    log, None the whole log. ``also`` narrows the class further.
+    log, None the whole log. ``also`` narrows the class further. ``merge`` is the aggregate that makes
+    one value of several of the same key.
     """
 
     template: str
     cls: EventClass | None
     scope: Period | None = None
     also: str | None = None
+    merge: str = "max"
+
+    @property
+    def is_flag(self) -> bool:
+        return self.merge == "bool_or"
 
     def column(self, scoped: bool, lowered: bool) -> Column:
         tests = [self.scope.sql("created_at")] if scoped and self.scope else []
@@ -51,17 +57,17 @@ def last(cls: EventClass | None, scope: Period | None = None, also: str | None =
 
 def first(cls: EventClass | None, scope: Period | None = None, also: str | None = None) -> Measure:
     """Earliest event time."""
-    return Measure("min(CASE WHEN {hit} THEN created_at END)", cls, scope, also)
+    return Measure("min(CASE WHEN {hit} THEN created_at END)", cls, scope, also, "min")
 
 
 def ever(cls: EventClass | None, scope: Period | None = None, also: str | None = None) -> Measure:
     """Whether there is such an event."""
-    return Measure("coalesce(bool_or({hit}), false)", cls, scope, also)
+    return Measure("coalesce(bool_or({hit}), false)", cls, scope, also, "bool_or")
 
 
 def times(cls: EventClass | None, scope: Period | None = None, also: str | None = None) -> Measure:
     """Number of such events."""
-    return Measure("count_if({hit})", cls, scope, also)
+    return Measure("count_if({hit})", cls, scope, also, "sum")
 
 
 def any_of(*conditions: Column) -> Column:
