@@ -69,13 +69,20 @@ def stored_by_day(log: DataFrame, day_column: str) -> DataFrame:
     return log.withMetadata(day_column, {DAY_MARK: EVENT_TIME})
 
 
+# The present moment in UTC without a zone. Spark takes one time for a whole query and folds it to a
+# literal before filters are pushed down, whatever the session's zone.
+NOW = "convert_timezone(current_timezone(), 'UTC', localtimestamp())"
+
+
 @dataclass(frozen=True)
 class Period:
-    """Local range [lo, hi); a missing bound is open."""
+    """Local range [lo, hi); a missing bound is open. With ``to_now`` the range ends at the moment the
+    query runs, that moment included."""
 
     lo: datetime | None
     hi: datetime | None
     zone: str = DEFAULT_ZONE
+    to_now: bool = False
 
     @classmethod
     def days(cls, first: date | str, last: date | str, zone: str = DEFAULT_ZONE) -> Period:
@@ -101,16 +108,12 @@ class Period:
     def until(
         cls, first: date | str, as_of: datetime | None = None, zone: str = DEFAULT_ZONE
     ) -> Period:
-        """From a local day to a local moment, that moment included; now when not given."""
+        """From a local day to a local moment, that moment included. Without ``as_of`` the end is the
+        present, found in each query that uses the period."""
+        start = datetime.combine(_day(first), time())
         if as_of is None:
-            now = datetime.now(timezone.utc).replace(tzinfo=None)
-            shift = _fixed_offset(zone)
-            as_of = (
-                now + shift
-                if shift is not None
-                else datetime.now(ZoneInfo(zone)).replace(tzinfo=None)
-            )
-        return cls(datetime.combine(_day(first), time()), as_of + timedelta(microseconds=1), zone)
+            return cls(start, None, zone, to_now=True)
+        return cls(start, as_of + timedelta(microseconds=1), zone)
 
     def _utc(self, moment: datetime | None) -> datetime | None:
         if moment is None:
@@ -130,7 +133,7 @@ class Period:
 
     def onwards(self) -> Period:
         """From the start, without an end."""
-        return replace(self, hi=None)
+        return replace(self, hi=None, to_now=False)
 
     def so_far(self) -> Period:
         """Everything up to the end."""
@@ -141,6 +144,7 @@ class Period:
         lo, hi = self.utc_bounds()
         tests = [f"{column} >= {ntz(lo)}"] if lo else []
         tests += [f"{column} < {ntz(hi)}"] if hi else []
+        tests += [f"{column} <= {NOW}"] if self.to_now else []
         return f"({' AND '.join(tests) or 'true'})"
 
     def log_sql(self, log: DataFrame) -> str:
@@ -155,6 +159,7 @@ class Period:
             if field.metadata.get(DAY_MARK) == EVENT_TIME:
                 tests += [f"`{field.name}` >= DATE'{lo.date()}'"] if lo else []
                 tests += [f"`{field.name}` <= DATE'{hi.date()}'"] if hi else []
+                tests += [f"`{field.name}` <= CAST({NOW} AS DATE)"] if self.to_now else []
         return " AND ".join([*tests, self.sql(EVENT_TIME)])
 
     def before_sql(self, column: str) -> str:
@@ -185,7 +190,7 @@ class Period:
         return (self.lo.year, self.lo.month) == (self.last_day.year, self.last_day.month)
 
     def whole_months(self) -> Period:
-        """The period widened to full calendar months."""
+        """The period widened to full calendar months; the month of the present has no end yet."""
         lo = self.lo and self.lo.replace(day=1, hour=0, minute=0, second=0, microsecond=0)
         hi = self.hi and datetime.combine(
             self.last_day.replace(
@@ -194,7 +199,7 @@ class Period:
             + timedelta(days=1),
             time(),
         )
-        return replace(self, lo=lo, hi=hi)
+        return replace(self, lo=lo, hi=hi, to_now=False)
 
 
 def month_spine(bounds: DataFrame, first: str = "first", last: str = "last") -> DataFrame:
@@ -204,10 +209,12 @@ def month_spine(bounds: DataFrame, first: str = "first", last: str = "last") ->
 
 
 def period_months(spark: SparkSession, period: Period) -> DataFrame:
-    """The month spine of a closed period; ValueError for an open one."""
-    if period.lo is None or period.hi is None:
+    """The month spine of a closed period, or of one up to the present; ValueError for an open one."""
+    if period.lo is None or period.hi is None and not period.to_now:
         raise ValueError("the months of an open period cannot be listed")
+    today = F.expr(f"CAST({local_time(NOW, period.zone)} AS DATE)")
     bounds = spark.range(1).select(
-        F.lit(period.lo.date()).alias("first"), F.lit(period.last_day).alias("last")
+        F.lit(period.lo.date()).alias("first"),
+        (today if period.to_now else F.lit(period.last_day)).alias("last"),
     )
     return month_spine(bounds)

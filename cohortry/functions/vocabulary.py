@@ -3,7 +3,7 @@
 The log holds free-text labels. An :class:`EventClass` names the spellings of one meaning, on the
 ``action`` channel, the ``page`` channel or both, and turns them into a filter column. Labels are
 matched without regard to case: the column is lower-cased and compared with lower-cased labels.
-``listed()`` gives up that for logs known to be normalised: every spelling is listed in its usual
+``dictionary`` finds the raw spellings of a log once and lists those. ``listed()`` gives up folding for logs known to be normalised: every spelling is listed in its usual
 case variants, the raw column stays bare and the list reaches the Parquet reader, and labels in any
 other casing are not found.
 
@@ -36,22 +36,26 @@ def in_list(expression: str, labels: list[str]) -> str:
 
 @dataclass(frozen=True)
 class EventClass:
+    """``exact`` lists raw labels as they are, without variants (see ``dictionary``)."""
+
     actions: tuple[str, ...] = ()
     pages: tuple[str, ...] = ()
     fold_case: bool = True
+    exact: bool = False
 
     def __or__(self, other: EventClass) -> EventClass:
         return EventClass(
             tuple(dict.fromkeys(self.actions + other.actions)),
             tuple(dict.fromkeys(self.pages + other.pages)),
             self.fold_case or other.fold_case,
+            self.exact and other.exact,
         )
 
     def _listed(self, column: str, spellings: tuple[str, ...], lowered: bool) -> str:
         if self.fold_case:
             value = column if lowered else f"lower({column})"
             return in_list(value, list(dict.fromkeys(s.lower() for s in spellings)))
-        return in_list(column, case_variants(spellings))
+        return in_list(column, list(spellings) if self.exact else case_variants(spellings))
 
     def sql(self, lowered: bool = False) -> str:
         """The test as SQL text: either channel carries a spelling; a NULL page never does.
@@ -60,7 +64,7 @@ class EventClass:
         """
         channels = {"action": self.actions, "page": self.pages}
         tests = [self._listed(column, labels, lowered) for column, labels in channels.items() if labels]
-        return f"({' OR '.join(tests)})"
+        return f"({' OR '.join(tests) or 'false'})"
 
     def hit(self) -> Column:
         return F.expr(self.sql())
@@ -136,7 +140,7 @@ def union(*classes: EventClass) -> EventClass:
 
 def folded(vocab: Mapping[str, EventClass] = VOCABULARY) -> dict[str, EventClass]:
     """The same vocabulary, matched on the lower-cased column, as is the default."""
-    return {name: replace(cls, fold_case=True) for name, cls in vocab.items()}
+    return {name: replace(cls, fold_case=True, exact=False) for name, cls in vocab.items()}
 
 
 def listed(vocab: Mapping[str, EventClass] = VOCABULARY) -> dict[str, EventClass]:

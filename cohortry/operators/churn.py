@@ -13,17 +13,15 @@ from cohortry.functions.vocabulary import MILESTONES, VOCABULARY, EventClass, un
 from cohortry.operators.accounts import cohort_accounts, cohort_of, eligible_accounts
 from cohortry.operators.events import in_period
 from cohortry.operators.profile import (
-    HOT_ROWS,
     Measure,
     any_of,
     ever,
     event_profile,
     holds_after,
-    join_events,
     last,
-    times,
 )
 from cohortry.operators.reduction import with_facts
+from cohortry.operators.survival import surviving_events
 
 Vocabulary = Mapping[str, EventClass]
 ACCOUNT_ID = "store_client_id"
@@ -39,31 +37,13 @@ def churned_events(
     rule: PlanFilter = SET_D,
     vocab: Vocabulary = VOCABULARY,
     account_zone: str | None = None,
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Churn events of the period with no install strictly later in it, of eligible accounts."""
-    churn = vocab["churn"]
-    profile = event_profile(
-        activity,
-        ["store_name"],
-        churned=last(churn, period),
-        installed=last(vocab["install_after_churn"], period),
-        churns=times(churn, period),
-    ).filter(holds_after("churned", "installed")).drop("churned")
-    gate = profile.join(
-        cohort_accounts(accounts, rule, period, None, account_zone), "store_name"
-    ).withColumnRenamed("store_client_id", "account_id")
-    events = in_period(activity, period).filter(churn.hit()).select(
-        "event_id", "store_name", "action", "page", "created_at"
-    )
-    return (
-        join_events(events, gate, ["store_name"], "churns", hot_rows, profile)
-        .filter("installed IS NULL OR created_at >= installed")
-        .select(
-            F.col("account_id").alias("store_client_id"),
-            "store_name", "event_id", "action", "page", "created_at", "cohort",
-        )
-    )
+    stores = cohort_accounts(accounts, rule, period, None, account_zone)
+    return surviving_events(
+        activity, period, vocab["churn"], vocab["install_after_churn"], stores,
+        ["event_id", "action", "page"],
+    ).select("store_client_id", "store_name", "event_id", "action", "page", "created_at", "cohort")
 
 
 def churn_buckets(
@@ -271,20 +251,35 @@ def creation_months(
     )
 
 
+def creation_days(
+    accounts: DataFrame, period: Period, rule: PlanFilter = SET_E, account_zone: str | None = None
+) -> DataFrame:
+    """Eligible accounts created in a month that meets the period: ``month`` and each UTC ``day`` that an
+    event of that local month can have, a day more at both ends."""
+    zone = account_zone or period.zone
+    bounds = period.whole_months().in_zone(zone)
+    months = creation_months(accounts.filter(bounds.contains("created_on")), period, rule, zone)
+    days = F.sequence(F.date_sub("month", 1), F.date_add(F.last_day("month"), 1))
+    return months.withColumn("day", F.explode(days))
+
+
 def creation_month_events(
     activity: DataFrame,
     accounts: DataFrame,
     period: Period,
     rule: PlanFilter = SET_E,
     account_zone: str | None = None,
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Events of the period in the account's own creation month."""
-    rows = in_period(activity, period).withColumn("month", period.month_of("created_at"))
-    keys = [ACCOUNT_ID, "month"]
-    sizes = rows.groupBy(*keys).agg(F.count("*").alias("events"))
-    gate = sizes.join(creation_months(accounts, period, rule, account_zone), keys)
-    return join_events(rows, gate, keys, "events", hot_rows).select(*activity.columns, "month")
+    """Events of the period in the account's own creation month.
+
+    Each account's month is an interval of its own. It is cut into days, so the log meets it in a plain
+    join on account and day, and an account with very many events is spread over the days of its month.
+    """
+    rows = in_period(activity, period).withColumns(
+        {"month": period.month_of("created_at"), "day": F.to_date("created_at")})
+    keys = [ACCOUNT_ID, "month", "day"]
+    days = creation_days(accounts, period, rule, account_zone)
+    return rows.join(days, keys).select(*activity.columns, "month")
 
 
 def milestones_of_churned(

@@ -11,17 +11,8 @@ from cohortry.functions.eligibility import SET_A, PlanFilter
 from cohortry.functions.period import Period
 from cohortry.functions.vocabulary import VOCABULARY, EventClass
 from cohortry.operators.accounts import cohort_accounts
-from cohortry.operators.events import in_period
-from cohortry.operators.profile import (
-    HOT_ROWS,
-    ever,
-    event_profile,
-    holds_after,
-    join_events,
-    last,
-    strictly_after,
-    times,
-)
+from cohortry.operators.profile import ever, event_profile, holds_after, last, strictly_after
+from cohortry.operators.survival import surviving_counts
 
 Vocabulary = Mapping[str, EventClass]
 
@@ -242,41 +233,17 @@ def install_multiplicity(
     rule: PlanFilter = SET_A,
     vocab: Vocabulary = VOCABULARY,
     account_zone: str | None = None,
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Surviving install events per new store, labelled single or multiple.
-
-    Stores without churn take their count from the profile. Only stores that churned and came back
-    look at their events again, to count those at or after the last churn.
-    """
-    install = vocab["install_any"]
-    profile = event_profile(
-        activity,
-        ["store_name"],
-        installed=last(install, period),
-        churned=last(vocab["churn"], period),
-        installs=times(install, period),
-    ).filter(holds_after("installed", "churned"))
-    came_back = profile.filter("churned IS NOT NULL").select("store_name", "churned", "installs")
-    events = in_period(activity, period).filter(install.hit()).select(
-        "event_id", "store_name", "created_at"
-    )
-    after_churn = (
-        join_events(events, came_back, ["store_name"], "installs", hot_rows)
-        .filter("created_at >= churned")
-        .groupBy("store_name")
-        .agg(F.count("*").alias("after_churn"))
-    )
-    count = F.coalesce("after_churn", "installs")
-    return (
-        profile.join(after_churn, "store_name", "left")
-        .join(cohort_accounts(accounts, rule, period, "new", account_zone), "store_name")
-        .select(
-            "store_client_id",
-            "store_name",
-            count.alias("install_count"),
-            F.when(count > 1, "multiple").otherwise("single").alias("install_type"),
-        )
+    """Surviving install events per new store, labelled single or multiple."""
+    counts = surviving_counts(activity, period, vocab["install_any"], vocab["churn"])
+    count = F.col("events")
+    return counts.join(
+        cohort_accounts(accounts, rule, period, "new", account_zone), "store_name"
+    ).select(
+        "store_client_id",
+        "store_name",
+        count.alias("install_count"),
+        F.when(count > 1, "multiple").otherwise("single").alias("install_type"),
     )
 
 

@@ -15,32 +15,51 @@ from cohortry.functions.eligibility import SET_B, PlanFilter
 from cohortry.functions.period import Period
 from cohortry.functions.vocabulary import VOCABULARY, EventClass, union
 from cohortry.operators.accounts import eligible_accounts, excluded_accounts
-from cohortry.operators.profile import Measure, ever, event_profile, holds_after, last
+from cohortry.operators.profile import (
+    Measure,
+    ever,
+    event_profile,
+    holds_after,
+    last,
+    resolved_profile,
+)
 
 Vocabulary = Mapping[str, EventClass]
 ACCOUNT_ID = "store_client_id"
 
 
 def _month_ends(
-    activity: DataFrame, period: Period, vocab: Vocabulary, **extra: Measure
+    activity: DataFrame,
+    period: Period,
+    vocab: Vocabulary,
+    accounts: DataFrame | None = None,
+    **extra: Measure,
 ) -> DataFrame:
-    """Installed (store, month) pairs of the period, with extra measures."""
-    profile = event_profile(
-        activity.withColumn("month", period.month_of("created_at")),
-        [ACCOUNT_ID, "month"],
-        installed=last(union(vocab["fresh"], vocab["reinstall_wide"]), period),
-        removed=last(vocab["uninstall_only"], period),
+    """Installed (store, month) pairs of the period, with extra measures.
+
+    With accounts, events are theirs by store name and the id is the account's; without, stores are
+    told apart by the id in the log.
+    """
+    rows = activity.withColumn("month", period.month_of("created_at"))
+    measures = {
+        "installed": last(union(vocab["fresh"], vocab["reinstall_wide"]), period),
+        "removed": last(vocab["uninstall_only"], period),
         **extra,
-    )
+    }
+    if accounts is None:
+        profile = event_profile(rows, [ACCOUNT_ID, "month"], **measures)
+    else:
+        profile = resolved_profile(rows, accounts, ["month"], **measures)
     return profile.filter(holds_after("installed", "removed"))
 
 
 def _created_before(
-    states: DataFrame, accounts: DataFrame, before: Period, account_zone: str | None
-) -> DataFrame:
-    """States of accounts that exist and were created before a period."""
-    older = accounts.filter(before.in_zone(account_zone).before("created_on"))
-    return states.join(older.select(ACCOUNT_ID), ACCOUNT_ID, "left_semi")
+    accounts: DataFrame | None, before: Period | None, account_zone: str | None
+) -> DataFrame | None:
+    """Accounts created before a period; None when there is no such period."""
+    if before is None:
+        return None
+    return accounts.filter(before.in_zone(account_zone).before("created_on"))
 
 
 def installed_at_month_end(
@@ -53,11 +72,11 @@ def installed_at_month_end(
 ) -> DataFrame:
     """Stores installed at the end of each month of the period, with the time of that install.
 
-    With ``accounts`` and ``before``, only accounts created before the start of ``before``.
+    With ``accounts`` and ``before``, only accounts created before the start of ``before``; their events
+    are found by store name, so the one id throughout is the account's.
     """
-    states = _month_ends(activity, period, vocab)
-    if before is not None:
-        states = _created_before(states, accounts, before, account_zone)
+    older = _created_before(accounts, before, account_zone)
+    states = _month_ends(activity, period, vocab, older)
     return states.select(ACCOUNT_ID, "month", F.col("installed").alias("created_at"))
 
 
@@ -73,16 +92,15 @@ def onboarding_at_month_end(
     """Installed (store, month) pairs outside the excluded plans, with the onboarding state.
 
     ``onboarded`` tells whether onboarding was completed in that calendar month. An unknown plan is
-    not an excluded one.
+    not an excluded one. With ``before``, see :func:`installed_at_month_end`.
     """
     done = ever(vocab["onb_done"], period.whole_months())
-    states = _month_ends(activity, period, vocab, onboarded=done)
+    kept = eligible_accounts(accounts, rule.keeping_null_plan())
+    older = _created_before(kept, before, account_zone)
+    states = _month_ends(activity, period, vocab, older, onboarded=done)
     if before is None:
         excluded = excluded_accounts(accounts, rule).select(ACCOUNT_ID)
         states = states.join(excluded, ACCOUNT_ID, "left_anti")
-    else:
-        kept = eligible_accounts(accounts, rule.keeping_null_plan())
-        states = _created_before(states, kept, before, account_zone)
     return states.select(
         ACCOUNT_ID, "month", F.col("installed").alias("created_at"), "onboarded"
     )

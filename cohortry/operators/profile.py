@@ -18,9 +18,6 @@ from pyspark.sql import functions as F
 from cohortry.functions.period import Period
 from cohortry.functions.vocabulary import EventClass, union
 
-# Keys with more joined rows than this are spread over several tasks. A log of n rows has at most
-# n / HOT_ROWS such keys, which bounds the broadcast list of hot keys.
-HOT_ROWS = 2_000_000
 STORE_KEYS = ("store_client_id", "store_name")
 
 
@@ -114,26 +111,17 @@ def strictly_after(event: str, other: str) -> Column:
     return F.expr(f"({event} IS NOT NULL AND ({other} IS NULL OR {event} > {other}))")
 
 
-def join_events(
-    events: DataFrame,
-    gate: DataFrame,
-    keys: list[str],
-    rows: str,
-    hot_rows: int = HOT_ROWS,
-    counts: DataFrame | None = None,
+def resolved_profile(
+    activity: DataFrame, accounts: DataFrame, keys: list[str], **measures: Measure
 ) -> DataFrame:
-    """Inner join of log rows with a frame of one row per key, safe for hot keys.
+    """One row per account id and ``keys``: an event belongs to the account that has its store name,
+    whatever id it carries itself. Events of unknown names are left out.
 
-    ``rows`` names the gate's count of log rows per key. Keys above ``hot_rows`` are split over
-    ``ceil(rows / hot_rows)`` salts on both sides; all others keep a single salt. ``counts`` may name
-    a cheaper frame with the counts of at least the gate's keys, to find the hot ones in. Spark
-    broadcasts the list of hot keys by its measured size, or shuffles it.
+    The log is aggregated by store name; only those profiles meet the accounts, are re-keyed and merged,
+    since an account can have had several names.
     """
-    fan = F.expr(f"CAST(ceil({rows} / {hot_rows}) AS INT)")
-    hot = (gate if counts is None else counts).filter(F.col(rows) > hot_rows).select(*keys, fan.alias("fan"))
-    spread_hash = f"CAST(pmod(xxhash64({', '.join(events.columns)}), fan) AS INT)"
-    salt = F.expr(f"CASE WHEN fan IS NULL THEN 0 ELSE {spread_hash} END")
-    salted = events.join(hot, keys, "left").withColumn("salt", salt).drop("fan")
-    salts = F.sequence(F.lit(0), F.greatest(fan, F.lit(1)) - 1)
-    spread = gate.withColumn("salt", F.explode(salts)).drop(rows)
-    return salted.join(spread, [*keys, "salt"]).drop("salt")
+    by_name = event_profile(activity, ["store_name", *keys], **measures)
+    named = by_name.join(accounts.select("store_name", "store_client_id"), "store_name")
+    return named.groupBy("store_client_id", *keys).agg(
+        *(F.expr(f"{measure.merge}({name})").alias(name) for name, measure in measures.items())
+    )

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cohortry.functions.period import stored_by_day
+
 ACTIVITY_SCHEMA = T.StructType([
     T.StructField("event_id", T.LongType()),
     T.StructField("store_client_id", T.LongType()),
@@ -36,20 +38,31 @@ SNAPSHOT_SCHEMA = T.StructType([
 ])
 
 
-class BadTable(ValueError):
-    """An input table breaks a rule the operators rely on."""
-
-
 def read_parquet(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """A Parquet table with a fixed schema; nothing is inferred."""
     return spark.read.schema(schema).parquet(path)
 
 
-def read_activity(spark: SparkSession, path: str) -> DataFrame:
-    return read_parquet(spark, path, ACTIVITY_SCHEMA)
+def read_activity(spark: SparkSession, path: str, day_column: str | None = None) -> DataFrame:
+    """The event log. ``day_column`` names the partition column of a log stored by UTC day (see
+    :func:`write_activity`); period filters then prune its directories."""
+    if day_column is None:
+        return read_parquet(spark, path, ACTIVITY_SCHEMA)
+    by_day = T.StructType([*ACTIVITY_SCHEMA.fields, T.StructField(day_column, T.DateType())])
+    return stored_by_day(read_parquet(spark, path, by_day), day_column)
+
+
+def write_activity(activity: DataFrame, path: str, day_column: str = "event_date") -> None:
+    """Stores a log by UTC day, rows of a day in order of time: a day's files and row groups cover
+    short spans, and a day of very many events is written by several tasks."""
+    columns = [field.name for field in ACTIVITY_SCHEMA.fields]
+    days = activity.select(*columns).withColumn(day_column, F.to_date("created_at"))
+    ordered = days.repartitionByRange(day_column, "created_at").sortWithinPartitions(day_column, "created_at")
+    ordered.write.partitionBy(day_column).parquet(path)
 
 
 def read_accounts(spark: SparkSession, path: str, check: bool = True) -> DataFrame:
+    """The account dimension; with ``check`` queries on it fail when a key is NULL or repeated."""
     accounts = read_parquet(spark, path, ACCOUNT_SCHEMA)
     return checked_accounts(accounts) if check else accounts
 
@@ -72,9 +85,13 @@ def account_key_violations(accounts: DataFrame) -> DataFrame:
 
 
 def checked_accounts(accounts: DataFrame) -> DataFrame:
-    """The accounts, or :class:`BadTable` when a key is NULL or repeated (one aggregation job)."""
-    found = account_key_violations(accounts).take(3)
-    if found:
-        shown = ", ".join(f"{r['key']}={r['value']!r} x{r['rows']}" for r in found)
-        raise BadTable(f"account keys must be unique and not NULL: {shown}")
-    return accounts
+    """The accounts, in a plan that fails when a key is NULL or repeated.
+
+    The test is a subquery of every query on them, not a job of its own. It reads the key columns only, and
+    filters and columns of the query still reach the reader of the accounts themselves.
+    """
+    shown = F.concat_ws("=", "key", F.coalesce("value", F.lit("NULL")))
+    found = account_key_violations(accounts).agg(F.min(F.concat(shown, F.lit(" x"), "rows")).alias("found"))
+    message = F.concat(F.lit("account keys must be unique and not NULL: "), found.scalar())
+    sound = F.when(found.scalar().isNull(), F.lit(True)).otherwise(F.raise_error(message).cast("boolean"))
+    return accounts.filter(sound)

@@ -86,12 +86,14 @@ def random_log(seed: int, stores: int = 700) -> tuple[list[dict], list[dict]]:
             at = datetime(2026, 1, 10) + timedelta(days=rng.randint(0, 70), hours=6 * rng.randint(0, 3))
             if rng.random() < 0.15:
                 at = rng.choice(edges) + timedelta(microseconds=rng.choice([-1, 0, 1]))
-            if events and events[-1]["store_client_id"] == store and rng.random() < 0.2:
+            if events and events[-1]["store_name"] == f"shop-{store}" and rng.random() < 0.2:
                 at = events[-1]["created_at"]
             action = rng.choice(frequent) if rng.random() < 0.75 else rng.choice(spellings)
             page = rng.choice(pages) if rng.random() < 0.3 else "home"
             if action.lower() in ("fresh_install", "re-installs") and rng.random() < 0.6:
                 page = {"f": "Fresh Installs page", "r": "re-installs"}[action[0].lower()]
             events.append(event(store, action, at, page))
+            if rng.random() < 0.06:  # an id the store had before
+                events[-1]["store_client_id"] = 10**7 + store
     events.append(event(10**6, "fresh_install", NEW))  # a store without an account
     return events, accounts

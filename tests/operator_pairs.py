@@ -34,7 +34,7 @@ def pairs(log, p: Period) -> dict:
         "to_date": (installs.installs_to_date(a, c, p, window),
                     naive.installs_to_date(p, window, A)),
         "new_only": (installs.new_not_reinstalled(a, c, p), naive.new_not_reinstalled(p, A)),
-        "multiplicity": (installs.install_multiplicity(a, c, p, hot_rows=2),
+        "multiplicity": (installs.install_multiplicity(a, c, p),
                          naive.install_multiplicity(p, A)),
         "free_plan": (installs.free_plan_stores(a, c, p), naive.free_plan_stores(p, A)),
         "paid": (installs.paid_stores(a, c, p), naive.paid_stores(p, A)),
@@ -56,12 +56,12 @@ def pairs(log, p: Period) -> dict:
         "active": (subscriptions.active_accounts(a, c, p), naive.active_accounts(p, B)),
         "first_paid": (subscriptions.first_paid(a, c, p), naive.first_paid(p, B)),
         "first_paid_month": (reports.first_paid_by_month(a, c, p), naive.first_paid_by_month(p, B)),
-        "churned": (churn.churned_events(a, c, p, rule=D, hot_rows=2), naive.churned_events(p, D)),
+        "churned": (churn.churned_events(a, c, p, rule=D), naive.churned_events(p, D)),
         "buckets": (churn.churn_buckets(a, c, p, rule=D), naive.churn_buckets(p, D)),
         "churned_new": (churn.churned_new_installs(a, c, p), naive.churned_new_installs(p, C)),
         "last_uninstall": (churn.last_uninstall(a, c, p).drop("cohort"),
                            naive.last_uninstall(p, F_)),
-        "creation_month": (churn.creation_month_events(a, c, p, hot_rows=2),
+        "creation_month": (churn.creation_month_events(a, c, p),
                            naive.creation_month_events(p, E)),
         "plan_at_churn": (reports.plan_at_churn(a, c, p), naive.plan_at_churn(p, C)),
         "plan_simple": (reports.plan_at_churn(a, c, p, base="last_uninstall"),

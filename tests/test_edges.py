@@ -1,8 +1,10 @@
 """Hand-made rows for ties, bounds, NULLs and order rules."""
 
-from datetime import date, datetime, timedelta
+import re
+from datetime import date, datetime, timedelta, timezone
 
 import pytest
+from pyspark.errors import SparkRuntimeException
 from pyspark.sql import functions as F
 
 from cohortry.functions.eligibility import SET_A, SET_C, SET_D
@@ -10,7 +12,7 @@ from cohortry.functions.period import Period, period_months
 from cohortry.operators import accounts as acc_ops
 from cohortry.operators import churn, events, installs, month_state, subscriptions
 from cohortry.plans import reports
-from cohortry.sources.tables import BadTable, checked_accounts
+from cohortry.sources.tables import checked_accounts
 from tests.logs import NEW, OLD, Log, account, event
 
 FEBRUARY = Period.month("2026-02")
@@ -203,9 +205,12 @@ def test_open_periods_have_no_months(spark):
 
 
 def test_duplicate_account_keys_are_refused(spark, tmp_path):
-    twins = Log(spark, tmp_path / "twins", [event(1, "x", T)], [account(1), account(1)])
-    with pytest.raises(BadTable, match="shop-1"):
-        checked_accounts(twins.accounts)
+    twins = Log(spark, tmp_path / "twins", [event(1, "install", T), event(1, "fresh_install", T)], [account(1), account(1)])
+    checked = checked_accounts(twins.accounts)
+    with pytest.raises(SparkRuntimeException, match="store_client_id=1 x2"):
+        installs.surviving_installs(twins.activity.withColumn("created_at", F.lit(T)), checked, FEBRUARY).collect()
+    with pytest.raises(SparkRuntimeException, match="not NULL"):
+        checked.count()
     single = Log(spark, tmp_path / "single", [event(1, "x", T)], [account(1), account(2)])
     assert checked_accounts(single.accounts).count() == 2
 
@@ -239,3 +244,59 @@ def test_named_zone_months_follow_daylight_saving(log):
     spring = Period.days("2026-02-01", "2026-04-30", zone="Europe/Paris")
     rows = reports.fresh_by_month(one.activity, one.accounts, spring).collect()
     assert [tuple(r) for r in rows] == [("2026-02", 1), ("2026-04", 1)]
+
+
+def test_events_belong_to_the_account_of_their_name(spark, tmp_path):
+    """Account 1 has an id its events never carry; 2 has two ids in the log, of which one uninstalled."""
+    moved = [event(1, "fresh_install", T) | {"store_client_id": 77},
+             event(2, "fresh_install", T), event(2, "uninstall", LATER) | {"store_client_id": 78},
+             event(3, "reinstall", T) | {"store_client_id": 2},
+             event(3, "Onboarding completed", LATER) | {"store_client_id": 79},
+             event(4, "fresh_install", T) | {"store_name": "nobody"}]
+    one = Log(spark, tmp_path, moved, [account(s, created_on=OLD) for s in (1, 2, 3, 4)])
+    found = month_state.installed_at_month_end(one.activity, FEBRUARY.so_far(), one.accounts, FEBRUARY)
+    assert stores(found) == [1, 3]
+    states = month_state.onboarding_at_month_end(one.activity, one.accounts, FEBRUARY, before=FEBRUARY)
+    assert sorted((r.store_client_id, r.onboarded) for r in states.collect()) == [(1, False), (3, True)]
+
+
+def test_several_names_of_one_account_are_merged(log):
+    events_of_both = [event(1, "fresh_install", T), event(2, "uninstall", LATER), event(2, "Onboarding completed", T),
+                      event(3, "fresh_install", LATER), event(4, "uninstall", T)]
+    one = log(events_of_both)
+    names = one.accounts.withColumn("store_client_id", F.expr("if(store_client_id < 3, 12, 34)"))
+    names = names.withColumn("created_on", F.lit(OLD).cast("timestamp_ntz"))
+    states = month_state.onboarding_at_month_end(one.activity, names, FEBRUARY, before=FEBRUARY)
+    assert [(r.store_client_id, r.created_at, r.onboarded) for r in states.collect()] == [(34, LATER, False)]
+
+
+def test_creation_month_events_over_month_and_zone_edges(log):
+    """Creation at the edge of a local month; events a tick inside and outside of it."""
+    events_at = [event(s, "x", at) for s in (1, 2) for at in (START - TICK, START, END - TICK, END)]
+    one = log(events_at, [account(1, created_on=START), account(2, created_on=START - TICK)])
+    spring = Period.days("2026-01-01", "2026-03-31")
+    rows = churn.creation_month_events(one.activity, one.accounts, spring).collect()
+    assert sorted((r.store_client_id, r.created_at) for r in rows) == [
+        (1, START), (1, END - TICK), (2, START - TICK)]
+    western = Period.days("2026-01-01", "2026-03-31", zone="America/Los_Angeles")
+    rows = churn.creation_month_events(one.activity, one.accounts, western).collect()
+    assert sorted((r.store_client_id, r.created_at) for r in rows) == [
+        (s, at) for s in (1, 2) for at in (START - TICK, START)]
+
+
+def test_period_to_the_present(spark, log):
+    now = datetime.now(timezone.utc).replace(tzinfo=None)
+    one = log([event(1, "x", now - timedelta(minutes=1)), event(2, "x", now + timedelta(days=1)),
+               event(3, "x", datetime(2025, 12, 31, 18, 30)), event(4, "x", datetime(2025, 12, 31, 18, 29))])
+    until = Period.until("2026-01-01")
+    assert not until.one_month and until.whole_months().hi is None
+    for zone in ("UTC", "America/New_York", "Asia/Tokyo"):
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        assert stores(events.in_period(one.activity, until)) == [1, 3], zone
+        plan = events.in_period(one.activity, until)._jdf.queryExecution().executedPlan().toString()
+        assert re.search(r"LessThanOrEqual\(created_at,20\d\d-", plan), plan
+        months = [r["month"] for r in period_months(spark, until).collect()]
+        assert months[0] == date(2026, 1, 1) and months[-1] == (now + timedelta(minutes=330)).date().replace(day=1)
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    with pytest.raises(ValueError, match="open"):
+        period_months(spark, until.onwards())

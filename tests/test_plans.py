@@ -13,7 +13,7 @@ from tests.operator_pairs import pairs
 PERIODS = {"month": Period.month("2026-02"), "quarter": Period.days("2026-01-20", "2026-03-10")}
 FEBRUARY = PERIODS["month"]
 
-# Operators that return or count single events read the log once more, for those events.
+# Operators that return or count single events; their windows over events are keyed by store and hour.
 EVENT_LEVEL = {"multiplicity", "churned", "creation_month"}
 # Facts over the whole log of the stores that the period selects.
 REDUCED = {"plan_at_churn", "plan_simple", "unfinished", "unfinished_simple"}
@@ -51,7 +51,7 @@ def log_scans(plan: str) -> list[str]:
 @pytest.mark.parametrize("label", PERIODS)
 def test_one_scan_and_no_pairwise_join(plans, label):
     for name, plan in plans[label].items():
-        assert len(log_scans(plan)) <= (2 if name in EVENT_LEVEL | REDUCED else 1), f"{name}\n{plan}"
+        assert len(log_scans(plan)) <= (2 if name in REDUCED else 1), f"{name}\n{plan}"
         assert "NestedLoop" not in plan and "Cartesian" not in plan, f"{name}\n{plan}"
 
 
@@ -84,7 +84,7 @@ def test_windows_run_over_aggregated_rows_only(plans, label):
     for name, plan in plans[label].items():
         lines = plan.splitlines()
         for i, line in enumerate(lines):
-            if re.search(r"\bWindow \[", line):
+            if re.search(r"\bWindow \[", line) and not re.search(r"\[store_name#\d+, cell#\d+\]$", line):
                 below = lines[i:]
                 upper = next(j for j, x in enumerate(below) if "HashAggregate" in x or "ReusedExchange" in x)
                 assert not any("FileScan" in x for x in below[:upper]), name
@@ -92,7 +92,7 @@ def test_windows_run_over_aggregated_rows_only(plans, label):
 
 def test_one_month_reports_need_no_window(plans):
     for name, plan in plans["month"].items():
-        if not name.startswith("stayed_free"):
+        if not name.startswith("stayed_free") and name not in {"multiplicity", "churned"}:
             assert "Window" not in plan, name
 
 

@@ -1,12 +1,15 @@
 """A store that holds most of the log."""
 
+import re
 from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
+from cohortry.functions.eligibility import SET_E
 from cohortry.functions.period import Period
-from cohortry.operators.profile import join_events
+from cohortry.functions.vocabulary import VOCABULARY
+from cohortry.operators import churn, events, survival
 from tests.compare import assert_same
 from tests.logs import NEW, OLD, Log, account, event
 from tests.operator_pairs import pairs
@@ -27,24 +30,32 @@ def log(spark, tmp_path_factory):
 
 
 @pytest.mark.parametrize("name", [
-    "surviving", "status", "multiplicity", "churned", "buckets", "creation_month", "churned_new"])
+    "surviving", "status", "multiplicity", "churned", "buckets", "creation_month", "churned_new",
+    "month_end_older", "plan_at_churn"])
 def test_results_hold(log, name):
     frame, sql = pairs(log, FEBRUARY)[name]
     assert assert_same(frame, log.duck, sql) > 0
 
 
-def test_hot_key_is_spread_over_salts(spark):
-    events = spark.range(10_000).select(
-        F.col("id").alias("event_id"), F.when(F.col("id") < 9_000, 0).otherwise(F.col("id")).alias("k"))
-    gate = events.groupBy("k").agg(F.count("*").alias("n"))
-    joined = join_events(events, gate, ["k"], "n", hot_rows=1_000)
-    assert joined.count() == 10_000
-    plan = joined._jdf.queryExecution().optimizedPlan().toString()
-    assert "xxhash64" in plan
-    salts = events.filter("k = 0").select(
-        F.pmod(F.xxhash64("event_id", "k"), F.lit(9)).alias("salt")).groupBy("salt").count()
-    sizes = [r["count"] for r in salts.collect()]
-    assert len(sizes) == 9 and max(sizes) < 1_300
+def test_events_of_a_hot_store_are_dealt_out_by_hour(spark, log):
+    """Seven tenths of all events in one store: no partition of the one event shuffle holds most of them."""
+    churn_or_install = VOCABULARY["churn"] | VOCABULARY["install_any"]
+    rows = survival._celled(events.in_period(log.activity, FEBRUARY).filter(churn_or_install.hit()))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    sizes = [r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()]
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    hot = rows.filter("store_name = 'shop-0'").count()
+    assert hot > 0.7 * rows.count() and max(sizes) < hot / 2
+    assert rows.groupBy("store_name", "cell").count().agg(F.max("count")).first()[0] <= 60
+
+
+def test_hot_account_is_spread_over_the_days_of_its_month(log):
+    frame = pairs(log, FEBRUARY)["creation_month"][0]
+    plan = frame._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"Join Inner, .*store_client_id.* = store_client_id.*day#\d+ = day#\d+", plan), plan
+    days = churn.creation_days(log.accounts, FEBRUARY, SET_E)
+    assert days.groupBy("store_client_id").count().agg(F.max("count")).first()[0] == 30
+    assert days.filter("store_client_id % 2 = 1").isEmpty()  # created in another month
 
 
 def test_hot_store_leaves_each_map_task_as_one_row(log):

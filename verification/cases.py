@@ -9,6 +9,7 @@ from datetime import date, datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cohortry.functions.dictionary import LabelDictionary
 from cohortry.functions.eligibility import (
     SET_A,
     SET_B,
@@ -22,7 +23,8 @@ from cohortry.functions.period import Period, local_month, month_spine
 from cohortry.operators import accounts as acc_ops
 from cohortry.operators import churn, events, installs, month_state, subscriptions
 from cohortry.plans import reports
-from cohortry.sources import sample
+from cohortry.sources import sample, tables
+from cohortry.sources.scratch import scratch_folder
 from verification import naive
 
 # The sample has its own market segments; one of them plays an excluded plan.
@@ -40,6 +42,7 @@ WEEK = Period.days("2024-01-08", "2024-01-14")
 TO_DATE = Period.days("2024-01-20", "2024-01-31")
 WINDOW = Period.days("2024-01-24", "2024-01-29")
 UNTIL = Period.until("2024-01-20", datetime(2024, 1, 30, 17, 45))
+TO_NOW = Period.until("2024-01-20")
 HALF_YEAR = Period.days("1996-03-01", "1996-08-31")
 YEARS = Period.through("1999-12-31")
 SPAN = Period.days("1995-02-01", "2001-07-31")
@@ -137,6 +140,46 @@ def _snapshot_case() -> Case:
     return Case(run, f"{SAMPLE_O} SELECT * FROM ({naive.latest_snapshot('1997-03')})")
 
 
+def _on_stored(build: Callable[..., DataFrame], sql: str) -> Case:
+    """A query on the one-month log stored by day and its stored accounts, opened by the readers."""
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        folder = scratch_folder(spark)
+        tables.write_activity(sample.activity_e(spark, sf_dir), f"{folder}/activity")
+        sample.account_e(spark, sf_dir).write.parquet(f"{folder}/account")
+        return build(
+            tables.read_activity(spark, f"{folder}/activity", "event_date"),
+            tables.read_accounts(spark, f"{folder}/account"))
+
+    return Case(run, f"{SAMPLE_E} SELECT * FROM ({sql})")
+
+
+def _snapshot_scan_case() -> Case:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        path = f"{scratch_folder(spark)}/snapshot"
+        sample.snapshot_o(spark, sf_dir).write.parquet(path)
+        return reports.snapshot(tables.read_snapshots(spark, path), RULE_MONTH)
+
+    return Case(run, f"{SAMPLE_O} SELECT * FROM ({naive.latest_snapshot('1997-03')})")
+
+
+def _violations_case() -> Case:
+    """The key check on accounts whose keys are made to clash."""
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        path = f"{scratch_folder(spark)}/account"
+        sample.account_e(spark, sf_dir).withColumns({
+            "store_client_id": F.expr("if(store_client_id % 50 = 0, store_client_id % 100, store_client_id)"),
+            "store_name": F.expr(
+                "CASE WHEN store_client_id % 61 = 0 THEN NULL WHEN store_client_id % 40 = 1 THEN 'twin' "
+                "ELSE store_name END")}).write.parquet(path)
+        return tables.account_key_violations(tables.read_accounts(spark, path, check=False))
+
+    clashing = """clashing AS (
+        SELECT CASE WHEN store_client_id % 50 = 0 THEN store_client_id % 100 ELSE store_client_id END AS store_client_id,
+               CASE WHEN store_client_id % 61 = 0 THEN NULL WHEN store_client_id % 40 = 1 THEN 'twin'
+                    ELSE store_name END AS store_name FROM account)"""
+    return Case(run, f"{SAMPLE_E}, {clashing} SELECT * FROM ({naive.key_violations()})")
+
+
 def cases() -> dict[str, Case]:
     on_e, on_o = _on_events, _on_orders
     found = {
@@ -311,6 +354,26 @@ def cases() -> dict[str, Case]:
             lambda a, c: reports.unfinished_churn(
                 a, c, JANUARY, base="last_uninstall", final_rule=G),
             naive.churned_unfinished(JANUARY, C, G, "last_uninstall")),
+        # readers, the stored log and the label dictionary
+        "scan_stored_log": _on_stored(
+            lambda a, c: events.in_period(a, WEEK).select("event_id", "store_name", "created_at"),
+            naive.period_slice(WEEK)),
+        "scan_stored_accounts": _on_stored(
+            lambda a, c: acc_ops.cohort_accounts(c, A, WEEK), naive.account_cohort(WEEK, A)),
+        "scan_stored_snapshots": _snapshot_scan_case(),
+        "stored_surviving_installs": _on_stored(
+            lambda a, c: installs.surviving_installs(a, c, JANUARY, rule=A),
+            naive.surviving_installs(JANUARY, A)),
+        "account_key_violations": _violations_case(),
+        "classify_by_dictionary": on_e(
+            lambda a, c: LabelDictionary.of(a).classify(a).drop(*a.columns[1:]), naive.classify_events()),
+        "stored_churned_events_by_dictionary": _on_stored(
+            lambda a, c: churn.churned_events(a, c, JANUARY, rule=D, vocab=LabelDictionary.of(a).vocabulary()),
+            naive.churned_events(JANUARY, D)),
+        "installs_to_now": on_e(
+            lambda a, c: installs.installs_to_date(
+                a, c, TO_NOW, WINDOW, cohort="previous", installs="reinstall", rule=A),
+            naive.installs_to_date(TO_NOW, WINDOW, A, "previous", "reinstall")),
         # finished reports not covered above
         "report_install_status_rows": on_e(
             lambda a, c: reports.install_status_rows(a, c, JANUARY, "reinstall", rule=A),

@@ -133,6 +133,13 @@ SELECT c.store_client_id, c.store_name, CASE
 FROM account c WHERE {accepted(rule)}"""
 
 
+def key_violations() -> str:
+    """NULL and repeated keys of the relation ``clashing``."""
+    return " UNION ALL ".join(
+        f"SELECT '{key}' AS key, CAST({key} AS VARCHAR) AS value, count(*) AS rows FROM clashing "
+        f"GROUP BY {key} HAVING count(*) > 1 OR {key} IS NULL" for key in ("store_name", "store_client_id"))
+
+
 # ---- installs ------------------------------------------------------------------------------------
 
 
@@ -269,13 +276,15 @@ SELECT (SELECT count(*) FROM ({free_plan_stores(p, rule)})) AS free_plan_users,
 
 
 def installed_at_month_end(p, before=None) -> str:
-    older = "true" if before is None else f"""EXISTS (SELECT 1 FROM account c
-        WHERE c.store_client_id = e.store_client_id AND {ahead_of('c.created_on', before)})"""
+    """Without ``before`` on the log's own ids; with it on the ids of the accounts, found by name."""
+    source = "activity e" if before is None else f"""(
+        SELECT a.* REPLACE (c.store_client_id AS store_client_id) FROM activity a
+        JOIN account c ON c.store_name = a.store_name WHERE {ahead_of('c.created_on', before)}) e"""
     return f"""
 WITH steps AS (
     SELECT e.store_client_id, {month('e.created_at', p)} AS month, e.created_at,
            {is_('uninstall_only', 'e')} AS removal
-    FROM activity e WHERE {is_('lifecycle', 'e')} AND {during('e.created_at', p)} AND {older}
+    FROM {source} WHERE {is_('lifecycle', 'e')} AND {during('e.created_at', p)}
 )
 SELECT DISTINCT s.store_client_id, s.month, s.created_at FROM steps s
 WHERE NOT s.removal AND s.created_at = (SELECT max(t.created_at) FROM steps t
@@ -286,9 +295,12 @@ def onboarding_by_month(p, rule, state, before=None) -> str:
     name = {"completed": "completed_same_month", "pending": "pending_in_month"}[state]
     sign = "" if state == "completed" else "NOT"
     banned = f"lower(c.shop_plan) IN ({_quoted(rule.plans)})"
+    own = "d.store_client_id = b.store_client_id"
+    if before is not None:
+        own = "d.store_name = (SELECT k.store_name FROM account k WHERE k.store_client_id = b.store_client_id)"
     return f"""
 WITH base AS ({installed_at_month_end(p, before)}), judged AS (
-    SELECT b.*, EXISTS (SELECT 1 FROM activity d WHERE d.store_client_id = b.store_client_id
+    SELECT b.*, EXISTS (SELECT 1 FROM activity d WHERE {own}
                         AND {is_('onb_done', 'd')} AND {month('d.created_at', p)} = b.month) AS done
     FROM base b WHERE NOT EXISTS (SELECT 1 FROM account c WHERE c.store_client_id = b.store_client_id AND {banned})
 )
