@@ -251,18 +251,6 @@ def creation_months(
     )
 
 
-def creation_days(
-    accounts: DataFrame, period: Period, rule: PlanFilter = SET_E, account_zone: str | None = None
-) -> DataFrame:
-    """Eligible accounts created in a month that meets the period: ``month`` and each UTC ``day`` that an
-    event of that local month can have, a day more at both ends."""
-    zone = account_zone or period.zone
-    bounds = period.whole_months().in_zone(zone)
-    months = creation_months(accounts.filter(bounds.contains("created_on")), period, rule, zone)
-    days = F.sequence(F.date_sub("month", 1), F.date_add(F.last_day("month"), 1))
-    return months.withColumn("day", F.explode(days))
-
-
 def creation_month_events(
     activity: DataFrame,
     accounts: DataFrame,
@@ -272,14 +260,15 @@ def creation_month_events(
 ) -> DataFrame:
     """Events of the period in the account's own creation month.
 
-    Each account's month is an interval of its own. It is cut into days, so the log meets it in a plain
-    join on account and day, and an account with very many events is spread over the days of its month.
+    Only eligible accounts created in a month of the period meet the log, on account and month, in one
+    join. Spark broadcasts them if few; otherwise adaptive execution splits an account of very many
+    events over several tasks.
     """
-    rows = in_period(activity, period).withColumns(
-        {"month": period.month_of("created_at"), "day": F.to_date("created_at")})
-    keys = [ACCOUNT_ID, "month", "day"]
-    days = creation_days(accounts, period, rule, account_zone)
-    return rows.join(days, keys).select(*activity.columns, "month")
+    zone = account_zone or period.zone
+    created = accounts.filter(period.whole_months().in_zone(zone).contains("created_on"))
+    rows = in_period(activity, period).withColumn("month", period.month_of("created_at"))
+    months = creation_months(created, period, rule, zone)
+    return rows.join(months, [ACCOUNT_ID, "month"]).select(*activity.columns, "month")
 
 
 def milestones_of_churned(

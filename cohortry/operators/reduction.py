@@ -25,23 +25,26 @@ def _slot(key: str) -> str:
 
 
 def key_bits(keys: DataFrame, key: str) -> DataFrame:
-    """``word`` and ``bits``: the bitmap of a column's values, without its empty words."""
-    slots = keys.filter(F.col(key).isNotNull()).select(F.expr(_slot(key)).alias("slot"))
-    return slots.groupBy(F.expr("shiftright(slot, 6)").alias("word")).agg(
-        F.expr("bit_or(shiftleft(1L, CAST(slot & 63 AS INT)))").alias("bits"))
+    """``word`` and ``bits``: the bitmap of a column's values, NULL left out, without its empty words."""
+    slot = _slot(key)
+    rows = keys.selectExpr(
+        f"shiftright({slot}, 6) AS word",
+        f"CASE WHEN {key} IS NOT NULL THEN shiftleft(1L, CAST({slot} & 63 AS INT)) END AS bit")
+    return rows.groupBy("word").agg(F.expr("bit_or(bit) AS bits"))
 
 
 def rows_of(log: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     """The rows of the log whose key is, or shares a bit with, one of ``keys``; all its columns."""
-    slotted = log.withColumn("slot", F.expr(_slot(key))).withColumn("word", F.expr("shiftright(slot, 6)"))
+    slot = _slot(key)
+    slotted = log.selectExpr("*", f"shiftright({slot}, 6) AS word", f"CAST({slot} & 63 AS INT) AS place")
     marked = slotted.join(F.broadcast(key_bits(keys, key)), "word")
-    return marked.filter("shiftright(bits, CAST(slot & 63 AS INT)) & 1L = 1L").select(*log.columns)
+    return marked.filter("shiftright(bits, place) & 1L = 1L").select(*log.columns)
 
 
 def with_facts(stores: DataFrame, activity: DataFrame, key: str, **facts: Measure) -> DataFrame:
     """The stores, one row each, with measures over the whole log. Flags of stores without such events
     are false."""
     found = event_profile(rows_of(activity, stores, key), [key], **facts)
-    joined = stores.join(found, key, "left")
-    flags = [name for name, measure in facts.items() if measure.is_flag]
-    return joined.withColumns({name: F.coalesce(name, F.lit(False)) for name in flags})
+    values = [
+        f"coalesce({name}, false) AS {name}" if measure.is_flag else name for name, measure in facts.items()]
+    return stores.join(found, key, "left").selectExpr(*stores.columns, *values)

@@ -7,6 +7,8 @@ its account follow from the key, so neither table needs a join. Both logs use ev
 
 from __future__ import annotations
 
+from math import lcm
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,35 +20,62 @@ COLUMNS = {
     "customer": "c_custkey BIGINT, c_name STRING, c_mktsegment STRING",
 }
 
-# Labels by event, in the casings and spellings that occur; what a shop does at all depends on its key,
-# so every step, plan and milestone is reached by some shops and not by others.
-EVENT_ACTION = """CASE event_type
-    WHEN 'signup' THEN CASE event_id % 7
-        WHEN 0 THEN 'fresh_install' WHEN 1 THEN 'Fresh Installs' WHEN 2 THEN 're-Installs'
-        WHEN 3 THEN 'reinstall' WHEN 4 THEN 'FRESH INSTALL' WHEN 5 THEN 're_install' ELSE 'install' END
-    WHEN 'error' THEN CASE event_id % 7
-        WHEN 0 THEN 'Store closed' WHEN 1 THEN CASE WHEN user_id % 3 = 0 THEN 'Paid uninstalled' ELSE 'crash' END
-        WHEN 2 THEN 'uninstall' WHEN 3 THEN 'UNINSTALL' WHEN 4 THEN 'UNINSTALLED' WHEN 5 THEN 'app_uninstall'
-        ELSE 'error page' END
-    WHEN 'view' THEN CASE event_id % 3
-        WHEN 0 THEN CASE WHEN user_id % 4 = 1 THEN 'Free Plan' ELSE 'free plan' END
-        WHEN 1 THEN CASE user_id % 4 WHEN 0 THEN 'Plan Downgraded' WHEN 1 THEN 'viewed' ELSE 'Free User' END
-        ELSE CASE WHEN user_id % 5 < 3 THEN 'During trial' ELSE 'viewed' END END
-    WHEN 'purchase' THEN CASE event_id % 6
-        WHEN 0 THEN 'Charge Approved' WHEN 1 THEN 'Plan Upgraded' WHEN 2 THEN 'pricing_plan_type-2'
-        WHEN 3 THEN 'Pricing_Plan_Type-3' WHEN 4 THEN 'pricing_plan_type-4' ELSE 'invoice' END
-    WHEN 'click' THEN CASE event_id % 16
-        WHEN 0 THEN CASE WHEN user_id % 5 > 0 THEN 'PC-onboarding-step-1' ELSE 'help' END
-        WHEN 1 THEN CASE WHEN user_id % 5 > 1 THEN 'SPLD-onboarding-step-2' ELSE 'help' END
-        WHEN 2 THEN CASE WHEN user_id % 5 > 2 THEN 'PC-onboarding-step-3' ELSE 'help' END
-        WHEN 3 THEN CASE WHEN user_id % 5 > 3 THEN 'Onboarding completed' ELSE 'help' END
-        WHEN 4 THEN CASE WHEN user_id % 5 > 0 THEN 'SPLD-onboarding-step-1' ELSE 'help' END
-        WHEN 5 THEN 'App enabled-odd' WHEN 6 THEN 'Calendar Placement (Default)'
-        WHEN 7 THEN 'Delivery Method Enabled' WHEN 8 THEN 'Date-picker — Enabled'
-        WHEN 9 THEN 'Time-picker — Enabled' WHEN 10 THEN 'Google Maps API Key Added'
-        WHEN 11 THEN 'Checkout Widget Enabled' WHEN 12 THEN 'Scheduled Order Placed'
-        WHEN 13 THEN 'Store Re-opened' WHEN 14 THEN 'Reopen' ELSE 'App Enabled' END
-    END"""
+# Labels of an event, a row a remainder of its id, in a row by the remainder of the shop's key: in the
+# casings and spellings that occur, and every step, plan and milestone reached by some shops only.
+EVENT_LABELS = {
+    "signup": (
+        ("fresh_install",), ("Fresh Installs",), ("re-Installs",), ("reinstall",), ("FRESH INSTALL",),
+        ("re_install",), ("install",)),
+    "error": (
+        ("Store closed",), ("Paid uninstalled", "crash", "crash"), ("uninstall",), ("UNINSTALL",),
+        ("UNINSTALLED",), ("app_uninstall",), ("error page",)),
+    "view": (
+        ("free plan", "Free Plan", "free plan", "free plan"),
+        ("Plan Downgraded", "viewed", "Free User", "Free User"),
+        ("During trial", "During trial", "During trial", "viewed", "viewed")),
+    "purchase": (
+        ("Charge Approved",), ("Plan Upgraded",), ("pricing_plan_type-2",), ("Pricing_Plan_Type-3",),
+        ("pricing_plan_type-4",), ("invoice",)),
+    "click": (
+        ("help", *["PC-onboarding-step-1"] * 4), ("help", "help", *["SPLD-onboarding-step-2"] * 3),
+        ("help", "help", "help", *["PC-onboarding-step-3"] * 2), (*["help"] * 4, "Onboarding completed"),
+        ("help", *["SPLD-onboarding-step-1"] * 4), ("App enabled-odd",), ("Calendar Placement (Default)",),
+        ("Delivery Method Enabled",), ("Date-picker — Enabled",), ("Time-picker — Enabled",),
+        ("Google Maps API Key Added",), ("Checkout Widget Enabled",), ("Scheduled Order Placed",),
+        ("Store Re-opened",), ("Reopen",), ("App Enabled",)),
+}
+ORDER_LABELS = {
+    "1-URGENT": (("fresh_install",), ("Fresh Installs",), ("fresh install",), ("reopen",), ("fresh_Install",)),
+    "2-HIGH": (("re-installs",), ("Reinstall",), ("RE_INSTALL",), ("re installs",)),
+    "3-MEDIUM": (
+        ("uninstall",), ("UNINSTALL",), ("Uninstall",), ("Paid uninstalled",), ("Store closed",),
+        ("app_uninstall",)),
+    "4-NOT SPECIFIED": (
+        ("PC-onboarding-step-1",), ("SPLD-onboarding-step-2",), ("PC-onboarding-step-3",),
+        ("App enabled-odd",), ("Calendar Placement (Default)",), ("Delivery Method Enabled",),
+        ("Date-picker — Enabled",), ("Time-picker — Enabled",), ("Google Maps API Key Added",),
+        ("Checkout Widget Enabled",), ("Scheduled Order Placed",), ("Onboarding—completed",),
+        ("Onboarding completed",)),
+    "5-LOW": (
+        ("Free User",), ("During trial",), ("Plan Downgraded",), ("Charge Approved",),
+        ("pricing_plan_type-2",), ("Free Plan",), ("Plan Upgraded",), ("plan upgraded",)),
+}
+
+
+def label_sql(labels: dict[str, tuple], kind: str, event: str, shop: str, literal: str, first: int) -> str:
+    """SQL text that looks an event's label up in a literal list, whose dialect ``literal`` and the number
+    ``first`` of its first place describe."""
+    cases = []
+    for value, rows in labels.items():
+        width = lcm(*map(len, rows))
+        flat = ", ".join(f"'{row[i % len(row)]}'" for row in rows for i in range(width))
+        at = f"CAST({event} % {len(rows)} * {width} + {shop} % {width} + {first} AS INT)"
+        cases.append(f"WHEN '{value}' THEN {literal.format(flat)}[{at}]")
+    return f"CASE {kind} {' '.join(cases)} END"
+
+
+EVENT_ACTION = label_sql(EVENT_LABELS, "event_type", "event_id", "user_id", "array({})", 0)
+ORDER_ACTION = label_sql(ORDER_LABELS, "o_orderpriority", "o_orderkey", "o_custkey", "array({})", 0)
 
 EVENT_PAGE = """CASE
     WHEN event_id % 89 = 0 THEN NULL WHEN event_id % 197 = 0 THEN 'uninstall'
@@ -55,28 +84,6 @@ EVENT_PAGE = """CASE
     WHEN event_type = 'signup' AND event_id % 3 = 0 THEN 're-installs'
     ELSE event_type END"""
 
-ORDER_ACTION = """CASE o_orderpriority
-    WHEN '1-URGENT' THEN CASE o_orderkey % 5
-        WHEN 0 THEN 'fresh_install' WHEN 1 THEN 'Fresh Installs' WHEN 2 THEN 'fresh install'
-        WHEN 3 THEN 'reopen' ELSE 'fresh_Install' END
-    WHEN '2-HIGH' THEN CASE o_orderkey % 4
-        WHEN 0 THEN 're-installs' WHEN 1 THEN 'Reinstall' WHEN 2 THEN 'RE_INSTALL' ELSE 're installs' END
-    WHEN '3-MEDIUM' THEN CASE o_orderkey % 6
-        WHEN 0 THEN 'uninstall' WHEN 1 THEN 'UNINSTALL' WHEN 2 THEN 'Uninstall'
-        WHEN 3 THEN 'Paid uninstalled' WHEN 4 THEN 'Store closed' ELSE 'app_uninstall' END
-    WHEN '4-NOT SPECIFIED' THEN CASE o_orderkey % 13
-        WHEN 0 THEN 'PC-onboarding-step-1' WHEN 1 THEN 'SPLD-onboarding-step-2' WHEN 2 THEN 'PC-onboarding-step-3'
-        WHEN 3 THEN 'App enabled-odd' WHEN 4 THEN 'Calendar Placement (Default)'
-        WHEN 5 THEN 'Delivery Method Enabled' WHEN 6 THEN 'Date-picker — Enabled'
-        WHEN 7 THEN 'Time-picker — Enabled' WHEN 8 THEN 'Google Maps API Key Added'
-        WHEN 9 THEN 'Checkout Widget Enabled' WHEN 10 THEN 'Scheduled Order Placed'
-        WHEN 11 THEN 'Onboarding—completed' ELSE 'Onboarding completed' END
-    ELSE CASE WHEN o_orderstatus = 'F' THEN CASE o_orderkey % 3
-            WHEN 0 THEN 'Free User' WHEN 1 THEN 'During trial' ELSE 'Plan Downgraded' END
-        ELSE CASE o_orderkey % 5 WHEN 0 THEN 'Charge Approved' WHEN 1 THEN 'pricing_plan_type-2'
-            WHEN 2 THEN 'Free Plan' ELSE 'Plan Upgraded' END END
-    END"""
-
 ORDER_PAGE = """CASE
     WHEN o_orderkey % 11 = 0 THEN NULL WHEN o_orderkey % 173 = 0 THEN 'UNINSTALL_APP'
     WHEN o_orderpriority = '1-URGENT' AND o_orderkey % 2 = 0 THEN 'Fresh Installs page'

@@ -1,12 +1,10 @@
 """A store that holds most of the log."""
 
-import re
 from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
-from cohortry.functions.eligibility import SET_E
 from cohortry.functions.period import Period
 from cohortry.functions.vocabulary import VOCABULARY
 from cohortry.operators import churn, events, survival
@@ -49,13 +47,27 @@ def test_events_of_a_hot_store_are_dealt_out_by_hour(spark, log):
     assert rows.groupBy("store_name", "cell").count().agg(F.max("count")).first()[0] <= 60
 
 
-def test_hot_account_is_spread_over_the_days_of_its_month(log):
-    frame = pairs(log, FEBRUARY)["creation_month"][0]
-    plan = frame._jdf.queryExecution().optimizedPlan().toString()
-    assert re.search(r"Join Inner, .*store_client_id.* = store_client_id.*day#\d+ = day#\d+", plan), plan
-    days = churn.creation_days(log.accounts, FEBRUARY, SET_E)
-    assert days.groupBy("store_client_id").count().agg(F.max("count")).first()[0] == 30
-    assert days.filter("store_client_id % 2 = 1").isEmpty()  # created in another month
+def test_hot_account_is_split_by_the_join(spark, log):
+    """Most events in one account: the join deals them to several tasks, with thresholds to match."""
+    low = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "2k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "2k",
+    }
+    for name, value in low.items():
+        spark.conf.set(name, value)
+    try:
+        wide = log.activity.repartition(8)
+        frame = churn.creation_month_events(wide, log.accounts, FEBRUARY)
+        hot = frame.collect()
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for name in low:
+            spark.conf.unset(name)
+    assert "skew=true" in plan, plan
+    expected = pairs(log, FEBRUARY)["creation_month"][0].count()
+    assert len(hot) == expected > 3000
 
 
 def test_hot_store_leaves_each_map_task_as_one_row(log):

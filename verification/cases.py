@@ -51,7 +51,9 @@ LATE = Period.month("2001-01")
 JUNE = Period.month("1997-06")
 RULE_MONTH = date(1997, 3, 1)
 
-# The mapping of the sample's labels is input, not what is checked: both sides share its CASE texts.
+# The sample's labels are input, not what is checked: both sides share the lists.
+EVENT_ACTION = sample.label_sql(sample.EVENT_LABELS, "event_type", "event_id", "user_id", "[{}]", 1)
+ORDER_ACTION = sample.label_sql(sample.ORDER_LABELS, "o_orderpriority", "o_orderkey", "o_custkey", "[{}]", 1)
 _ACCOUNT = """
 account AS (
     SELECT c_custkey AS store_client_id, c_name AS store_name, c_mktsegment AS shop_plan,
@@ -66,7 +68,7 @@ account AS (
 )"""
 
 SAMPLE_E = f"""WITH activity AS (
-    SELECT event_id, user_id AS store_client_id, c_name AS store_name, {sample.EVENT_ACTION} AS action,
+    SELECT event_id, user_id AS store_client_id, c_name AS store_name, {EVENT_ACTION} AS action,
            {sample.EVENT_PAGE} AS page, ts AS created_at
     FROM events JOIN customer ON user_id = c_custkey
 ),""" + _ACCOUNT.format(created_on="""TIMESTAMP '2023-11-25' + INTERVAL 1 DAY * (c_custkey * 7 % 60)
@@ -74,7 +76,7 @@ SAMPLE_E = f"""WITH activity AS (
 
 SAMPLE_O = f"""WITH activity AS (
     SELECT o_orderkey AS event_id, {sample.ORDER_ID} AS store_client_id, c_name AS store_name,
-           {sample.ORDER_ACTION} AS action, {sample.ORDER_PAGE} AS page,
+           {ORDER_ACTION} AS action, {sample.ORDER_PAGE} AS page,
            CASE WHEN o_custkey % 3 = 0
                 THEN TIMESTAMP '1995-01-01' + INTERVAL 1 MONTH * (o_custkey % 79)
                      + INTERVAL 1 DAY * (day(o_orderdate) - 1) + INTERVAL 6 HOUR * (o_orderkey % 4)
