@@ -93,7 +93,7 @@ def random_log(seed: int, stores: int = 700) -> tuple[list[dict], list[dict]]:
             if action.lower() in ("fresh_install", "re-installs") and rng.random() < 0.6:
                 page = {"f": "Fresh Installs page", "r": "re-installs"}[action[0].lower()]
             events.append(event(store, action, at, page))
-            if rng.random() < 0.06:  # an id the store had before
+            if len(events) % 17 == 0:  # an id the store had before
                 events[-1]["store_client_id"] = 10**7 + store
     events.append(event(10**6, "fresh_install", NEW))  # a store without an account
     return events, accounts
