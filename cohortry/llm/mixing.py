@@ -148,32 +148,19 @@ def mix(docs: DataFrame, plan: Curriculum = Curriculum()) -> DataFrame:
     return found.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id")
 
 
-def training_order(docs: DataFrame, plan: Curriculum = Curriculum(), text: str = "text") -> DataFrame:
+def training_order(docs: DataFrame, plan: Curriculum = Curriculum()) -> DataFrame:
     """The mixed corpus: each document once for every pass that takes it, in training order.
 
-    The columns are those of ``docs``. The one document of a source that the last pass takes in part
-    is cut behind the last word taken; its ``n_chars``, if there is such a column, follows.
-    Documents without words come once.
+    Rows are those of ``docs``, whole and unchanged. The one document of a source that the last pass takes
+    in part comes if that pass takes half of its words or more, so a source's words differ from its target
+    by half a document at most. Documents without words come once.
     """
     uses = placed(sizes(docs, carry=True), plan).withColumn(
         "pass", F.explode(F.expr("sequence(0, CAST(passes AS INT))")))
     words = F.expr("if(pass < passes, size, least(size, greatest(0, rest - start)))")
-    used = uses.withColumn("words", words).filter("words > 0 OR (size = 0 AND pass = 0)")
+    comes = "words > 0 AND 2 * words >= size OR size = 0 AND pass = 0"
+    used = uses.withColumn("words", words).filter(comes)
     at = F.expr(f"if(words > 0, {demand_time('(pass * source_size + start)')}, 0D)")
-    ordered = used.select("row", "doc_id", "words", "size", "pass", at.alias("position")).repartitionByRange(
+    ordered = used.select("row", "doc_id", "pass", at.alias("position")).repartitionByRange(
         "position", "doc_id").sortWithinPartitions("position", "doc_id", "pass")
-    body = F.col("row").getField(text)
-    pieces = F.regexp_extract_all(body, F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
-    cut = F.array_join(F.slice(pieces, F.lit(1), F.col("words").cast("int")), "")
-    partial = F.col("words") < F.col("size")
-    ordered = ordered.withColumn("body", F.when(partial, cut).otherwise(body))
-
-    def column(name: str) -> Column:
-        if name == text:
-            return F.col("body").alias(name)
-        value = F.col("row").getField(name)
-        if name == "n_chars":
-            value = F.when(partial, F.char_length("body")).otherwise(value).cast(docs.schema[name].dataType)
-        return value.alias(name)
-
-    return ordered.select(*map(column, docs.columns))
+    return ordered.select(*(F.col("row").getField(name).alias(name) for name in docs.columns))

@@ -155,14 +155,32 @@ def test_mixing_equals_sql(docs, empty):
     assert mixing.mix(empty).collect() == [] and mixing.training_order(empty).collect() == []
 
 
-def test_training_order_takes_what_the_mix_takes(docs):
-    taken = sum(r.taken for r in mixing.mix(docs).collect())
+def test_training_order_holds_whole_documents_near_the_targets(docs):
+    """Also of NULL and repeated ids, with clashing column names; no text is cut."""
     ordered = mixing.training_order(docs)
     assert ordered.columns == docs.columns
-    texts = [r.text or "" for r in ordered.collect()]
-    assert sum(len(t.encode().split()) for t in texts) == taken
-    whole = {t or "" for _, t, *_ in rows()}
-    assert all(any(w.startswith(t) for w in whole) for t in texts)
+    got = Counter(tuple(r) for r in ordered.collect())
+    assert set(got) <= {tuple(r) for r in rows()}
+    words, most, target = Counter(), Counter(), {}
+    for row, times in got.items():
+        words[row[3]] += times * len((row[1] or "").encode().split())
+    for r in docs.collect():
+        most[r.source] = max(most[r.source], len((r.text or "").encode().split()))
+    for r in mixing.mix(docs).collect():
+        source = next(x[3] for x in rows() if x[0] == r.doc_id and len((x[1] or "").encode().split()) == r.size)
+        target[source] = r.target
+    assert len(target) > 1
+    for source, wanted in target.items():
+        assert abs(words[source] - wanted) <= most[source] / 2 + 1
+    empty_texts = sum(times for row, times in got.items() if not (row[1] or "").split())
+    assert empty_texts == sum(not (x[1] or "").split() for x in rows())
+
+
+def test_mix_of_documents_without_words(spark):
+    blank = spark.createDataFrame([(i, t, "a") for i, t in enumerate(["", None, " ", "\n"])], "doc_id long, text string, source string")
+    found = mixing.mix(blank).collect()
+    assert [(r.size, r.source_size, r.target, r.taken) for r in found] == [(0, 0, 0.0, 0)] * 4
+    assert mixing.training_order(blank).count() == 4
 
 
 def test_chat_keeps_maximal_conversations(spark):

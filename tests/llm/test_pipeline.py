@@ -35,6 +35,7 @@ def test_stages_by_brute_force(spark):
     assert {r.doc_id: r.text for r in found.collect()} == wanted
 
     mixed = mixing.training_order(found).collect()
+    assert {(r.doc_id, r.text) for r in mixed} <= set(wanted.items())
     library = sentencepiece.SentencePieceProcessor(model_file=queries.tokenizer_path("piece_bpe_32k.model"))
     want = Counter()
     for r in mixed:
@@ -42,3 +43,31 @@ def test_stages_by_brute_force(spark):
         want[r.doc_id, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()] += 1
     got = corpus_pipeline.run(spark, SF)
     assert Counter((r.doc_id, r.n_tokens, r.ids_sha256) for r in got.collect()) == want
+
+
+COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, row string, position double"
+CLEAN = [
+    " ".join(f"{w}{i}" for i, w in enumerate("the old miller counted sacks of grain before a river rose".split() * 6, k))
+    for k in range(0, 400, 100)]
+
+
+def _run(spark, folder, rows):
+    spark.createDataFrame(rows, COLUMNS).repartition(3).write.parquet(f"{folder}/documents.parquet")
+    return corpus_pipeline.run(spark, str(folder)).collect()
+
+
+def test_edge_rows_through_the_whole_pipeline(spark, tmp_path):
+    """NULL and repeated ids, NULL and empty texts, exact copies, a very long text, clashing names."""
+    long = "\n".join(f"{CLEAN[0]} {i} {i * 7}" for i in range(300))
+    rows = [(i, t, "en", "ab"[i % 2], 1, "r", 0.5) for i, t in enumerate(CLEAN)]
+    rows += [(7, CLEAN[0].upper(), None, None, None, None, None), (1, CLEAN[1], "en", "b", 1, "r", 0.5)]
+    rows += [(None, None, None, None, None, None, None), (8, "", "en", "a", 0, "r", 0.0), (9, "too short", "en", "a", 9, "r", 0.0)]
+    rows += [(None, CLEAN[2] + " tail", "en", "a", 1, "r", 0.5), (10, long, "en", "a", len(long), "r", 0.5)]
+    library = sentencepiece.SentencePieceProcessor(model_file=queries.tokenizer_path("piece_bpe_32k.model"))
+    known = {hashlib.sha256(",".join(map(str, library.encode(t))).encode()).hexdigest(): t for _, t, *_ in rows if t}
+    texts = {known[r.ids_sha256] for r in _run(spark, tmp_path, rows)}
+    assert texts and "too short" not in texts and texts <= {t for _, t, *_ in rows}
+
+
+def test_empty_table_through_the_whole_pipeline(spark, tmp_path):
+    assert _run(spark, tmp_path, []) == []
