@@ -1,7 +1,12 @@
 """A training-corpus pipeline of five stages over the documents table.
 
 Each stage works on what its predecessor kept, written as Parquet and read again in between. All but
-the last return the columns of ``documents``.
+the last return the columns of ``documents``, unchanged and whatever their names; no text is cut, very long
+ones included.
+
+NULL and empty texts have too few words and leave in the first stage. Of repeated rows and of rows that lack
+an id one stays where their texts are equal or similar; a NULL id is kept as it is. A NULL source is a
+source of its own. An empty table gives an empty result.
 """
 
 from __future__ import annotations
