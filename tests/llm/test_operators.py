@@ -396,6 +396,6 @@ def test_discriminant_edges(docs, empty):
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_queries_equal_sql(spark, name):
     con = duckdb.connect()
-    for table in ("documents", "conversations"):
+    for table in ("benchmark", "conversations", "documents"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     assert assert_same(queries.queries()[name](spark, SF), con, queries.oracle_sql()[name]) > 0
