@@ -32,8 +32,9 @@ from cohortry.llm.common import prepare, shared_folder, stored, whole
 MAGIC = b"BITIDS01"
 TRAILER = struct.Struct("<8sIIQQQ")  # magic, bits, ids in a block, ids, documents, offset of the index
 BLOCK_IDS = 1 << 16
-# Pre-tokens that a worker process remembers; the tables start anew beyond that.
+# What follows a space, and pre-tokens, that a worker process remembers; the tables start anew beyond that.
 REMEMBERED = 1_000_000
+REMEMBERED_PARTS = 600_000
 
 _loaded: dict[str, object] = {}
 
@@ -172,17 +173,19 @@ def documents(file, index: Index) -> Iterator[np.ndarray]:
 
 # --- encoding ----------------------------------------------------------------------------------
 
-_BLANKS = [c for c in map(chr, range(0x110000)) if c.isspace()]
-_ASCII_PAIRS = [" " + c for c in _BLANKS if c.isascii()]
-_OTHER_PAIRS = [" " + c for c in _BLANKS if not c.isascii()]
+# A Latin word, marks after it, and the same once more on the next line. Letters, marks of ASCII and a
+# single line feed between other characters always are pre-tokens of their own.
+_MARKS = r"([!-/:-@\[-`{-~]*)"
+_LATIN = r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u017F]+)"
+_PARTS = re.compile(f"{_LATIN}{_MARKS}(?:(\n){_LATIN}{_MARKS})?")
 
 
 class Encoder:
-    """Byte-level encoding by the tokenizers library, one call per new pre-token group.
+    """Byte-level encoding by the tokenizers library, one call per new pre-token or group of them.
 
     The library's pattern starts a new pre-token at every space that has a non-blank on either side,
-    so a text cut there encodes piece by piece as it does whole. Texts that hold one of the
-    vocabulary's special strings go to the library whole.
+    so a text cut there encodes piece by piece as it does whole. Pieces of Latin words and marks are
+    cut further. Texts that hold one of the vocabulary's special strings go to the library whole.
     """
 
     def __init__(self, path: str):
@@ -203,15 +206,11 @@ class Encoder:
         self.tokenizer.no_padding()
         self.bits = max(1, (self.tokenizer.get_vocab_size() - 1).bit_length())
         self.spaced: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
 
     def library(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
-
-    def _plain(self, text: str) -> bool:
-        """Whether every space may be cut: none has blanks, or the text's ends, on both sides."""
-        pairs = _ASCII_PAIRS if text.isascii() else _ASCII_PAIRS + _OTHER_PAIRS
-        return not (text.endswith(" ") or any(p in text for p in pairs))
+        return [struct.pack(f"<{len(e)}I", *e.ids) for e in found]
 
     @staticmethod
     def _joined(text: str) -> list[str]:
@@ -225,6 +224,26 @@ class Encoder:
                 out.append(" " + piece)
         return out
 
+    def _learn(self, pieces: list[str]) -> None:
+        """Encodes new pieces, each after a space, from their pre-tokens."""
+        made = []
+        for piece in pieces:
+            form = _PARTS.fullmatch(piece)
+            if form is None:
+                made.append((" " + piece,))
+            else:
+                word, *others = form.groups()
+                made.append((" " + word, *filter(None, others)))
+        if len(self.parts) > REMEMBERED_PARTS:
+            self.parts.clear()
+        new = list({part for parts in made for part in parts} - self.parts.keys())
+        for i in range(0, len(new), 20_000):
+            some = new[i : i + 20_000]
+            self.parts.update(zip(some, self.library(some), strict=True))
+        get = self.parts.__getitem__
+        for piece, parts in zip(pieces, made, strict=True):
+            self.spaced[piece] = get(parts[0]) if len(parts) == 1 else b"".join(map(get, parts))
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         cut: list[list[str] | None] = []
         alone: list[list[str]] = []
@@ -232,20 +251,21 @@ class Encoder:
             if any(s in text for s in self.special):
                 alone.append([text])
                 cut.append(None)
-            elif self._plain(text):
+            else:
                 first, *others = text.split(" ")
                 alone.append([first])
                 cut.append(others)
-            else:
-                alone.append(self._joined(text))
-                cut.append(None)
-        missing = list(set().union(*(c for c in cut if c)) - self.spaced.keys())
+        missing = set().union(*filter(None, cut)) - self.spaced.keys()
+        # Before an empty piece or one that starts with a blank the space may not be safe.
+        unsafe = {p for p in missing if not p or p[0].isspace()}
+        if unsafe:
+            for i, others in enumerate(cut):
+                if others and not unsafe.isdisjoint(others):
+                    alone[i], cut[i] = self._joined(texts[i]), None
         if len(self.spaced) + len(missing) > REMEMBERED:
             self.spaced.clear()
-            missing = list(set().union(*(c for c in cut if c)))
-        for i in range(0, len(missing), 20_000):
-            part = missing[i : i + 20_000]
-            self.spaced.update(zip(part, self.library([" " + p for p in part]), strict=True))
+            missing = set().union(*filter(None, cut))
+        self._learn(list(missing - unsafe))
         firsts = list({p for pieces in alone for p in pieces})
         raw = dict(zip(firsts, self.library(firsts), strict=True))
         get = self.spaced.__getitem__
