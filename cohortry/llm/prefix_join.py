@@ -11,13 +11,15 @@ among the first ``n - ceil(0.8 n) + k`` of each: the prefix. Here k is 4, and 1
    with each other. Group pairs are filtered by size and stand for their leaders only; members pair
    with their own leader. Pairs whose bit signatures already differ too much go, and the rest is
    verified on whole sets.
-4. Links found so far form components. Classes that share a shingle and are still apart are paired
-   with further centres, and in the end with each other: all pairs that share k prefix shingles and
-   could link by size and signature are verified or lie within one component, so no link between
-   components is lost.
+4. Links found so far form components. Classes that share a crowded shingle and are still apart are
+   paired with further centres.
+5. Groups still apart, cut by component, are paired on all shingles they share and filtered by size,
+   by the number of shared shingles, and by signature where they hold one class; group pairs that stay
+   expand to their members, which are verified. So all pairs that share k prefix shingles and could
+   link are verified or lie within one component, and no link between components is lost.
 
-A shingle of very many documents is spread over several tasks by a salt known from the counts, up to
-the centres of step 3; step 4 joins on the shingle alone.
+A shingle of very many documents is spread over several tasks by a salt, from the counts up to the
+centres of step 3, from its own rows in step 5.
 
 Words are runs of anything but the six blanks, A-Z in lower case. Fewer than five words make one
 shingle; documents without words or text have an empty set, link with nothing and keep their own id.
@@ -48,12 +50,13 @@ SIGNATURE = 512
 FILTER_BITS = 24
 # Words and groups that a task remembers.
 REMEMBERED = 200_000
-# Pairing everything that is still apart is in order up to so many pairs per posting: a pair costs a
-# look at two signatures where the postings meet, a round of centres two more shuffles of the postings.
-PAIRS_PER_POSTING = 64
-# A round of centres is worth another one if it finds a link for so many postings still apart.
+# A shingle with more rows than this is crowded: its classes meet centres before they meet each other.
+CROWD = 8
+# A round of centres is worth another one if it finds a link for so many crowded rows.
 LINKS_WORTH = 50
 MOST_STAR_ROUNDS = 6
+# Units of one shingle that a task pairs with all others of it.
+PAIRED_ROWS = 1_000
 
 
 @dataclass(frozen=True)
@@ -403,16 +406,60 @@ def apart(named: DataFrame, rule: Similarity) -> DataFrame:
     return likely_members(known, "spot", mixed, "spot").drop("spot")
 
 
-def still_apart(split: DataFrame, classes: DataFrame, rule: Similarity) -> DataFrame:
-    """All pairs (a, b) of classes of different names that share enough shingles and could link."""
-    light = classes.select("set_key", *BIT_COLUMNS)
-    full = split.select("h", "w", "n", "set_key", "name").join(light, "set_key")
-    one, two = full.alias("l"), full.alias("r")
-    met = one.join(two, (F.col("l.h") == F.col("r.h")) & (F.col("l.set_key") < F.col("r.set_key"))
-                   & (F.col("l.name") != F.col("r.name")) & could_link(rule))
-    return met.groupBy(F.col("l.set_key").alias("a"), F.col("r.set_key").alias("b")).agg(
+def crowded_rows(split: DataFrame) -> DataFrame:
+    """The rows under shingles that more than ``CROWD`` rows share."""
+    crowds = split.groupBy("h").agg(F.count("*").alias("rows")).filter(F.col("rows") > CROWD)
+    return split.join(crowds.select("h"), "h", "left_semi")
+
+
+def centred(crowd: DataFrame, turn: int) -> DataFrame:
+    """Pairs (a, b): each class under a crowded shingle with the shingle's centre, another one each turn."""
+    centre = crowd.groupBy("h").agg(
+        F.min_by(F.struct("set_key", "name"), F.xxhash64("set_key", F.lit(turn))).alias("c"))
+    return crowd.join(centre, "h").filter("name != c.name").select(
+        F.col("set_key").alias("a"), F.col("c.set_key").alias("b"))
+
+
+def still_apart(split: DataFrame, classes: DataFrame, label: DataFrame, rule: Similarity) -> DataFrame:
+    """All pairs (a, b) of classes of different names that share enough shingles and could link.
+
+    Units pair: the classes of one group that have one name, with identical prefix and size. A unit's
+    smallest class stands for it, with its signature where it is alone. Unit pairs that share enough
+    shingles expand to their classes, filtered by signature.
+
+    Under a shingle of many units, those of the most frequent name do not look for partners among
+    themselves: the join looks at no more than twice the pairs of different names. The others are
+    salted, so that a task holds at most ``PAIRED_ROWS`` of them.
+    """
+    named = classes.join(label, "set_key", "left").withColumn("name", F.coalesce("label", "set_key"))
+    by_unit = Window.partitionBy("gid", "name")
+    member = named.select(
+        "set_key", "n", *BIT_COLUMNS, F.min("set_key").over(by_unit).alias("unit"),
+        F.count("*").over(by_unit).alias("members"))
+    unit = member.filter("set_key = unit").select(
+        "set_key", *(F.when(F.col("members") == 1, F.col(b)).alias(b) for b in BIT_COLUMNS))
+    rows = split.select("h", "w", "n", "set_key", "name").join(unit, "set_key")
+
+    names = split.groupBy("h", "name").agg(F.count("*").alias("k"))
+    many = names.groupBy("h").agg(
+        F.sum("k").alias("rows"), F.max_by("name", F.struct("k", "name")).alias("top")
+    ).filter(F.col("rows") > PAIRED_ROWS // 8)
+    rows = rows.join(many, "h", "left").withColumn(
+        "fan", F.coalesce(F.ceil(F.col("rows") / PAIRED_ROWS), F.lit(1)).cast("int"))
+    one = rows.filter("top IS NULL OR name != top").withColumn(
+        "salt", F.expr("CAST(pmod(xxhash64(set_key), fan) AS INT)")).alias("l")
+    two = rows.withColumn("salt", F.explode(F.expr("sequence(0, fan - 1)"))).alias("r")
+    once = (F.col("l.set_key") < F.col("r.set_key")) | F.coalesce(F.col("r.name") == F.col("r.top"), F.lit(False))
+    met = one.join(two, (F.col("l.h") == F.col("r.h")) & (F.col("l.salt") == F.col("r.salt"))
+                   & (F.col("l.name") != F.col("r.name")) & once & F.coalesce(could_link(rule), F.lit(True))
+                   & (100 * F.least("l.n", "r.n") >= rule.percent * F.greatest("l.n", "r.n")))
+    low, high = F.least("l.set_key", "r.set_key"), F.greatest("l.set_key", "r.set_key")
+    units = met.groupBy(low.alias("a"), high.alias("b")).agg(
         F.sum("l.w").alias("k"), F.min(F.least("l.n", "r.n")).alias("n")
     ).filter(f"k >= {rule.meets_sql('n')}").select("a", "b")
+    return units.join(member.alias("l"), F.col("a") == F.col("l.unit")).join(
+        member.alias("r"), F.col("b") == F.col("r.unit")).filter(could_link(rule)).select(
+        F.least("l.set_key", "r.set_key").alias("a"), F.greatest("l.set_key", "r.set_key").alias("b"))
 
 
 def _named(component: DataFrame) -> DataFrame:
@@ -466,35 +513,29 @@ def _linked(docs: DataFrame, rule: Similarity, text: str) -> DataFrame:
         .select("h", "set_key", "n", F.lit(1).alias("w"))
         .unionByName(members.withColumn("w", F.expr(rule.meets_sql("n")))),
         folder, "under")
-    turn, fresh = 1, None
-    while True:
+    named = stored(labelled(under, _named(label), rule), folder, "named")
+    split = stored(apart(named, rule), folder, "apart")
+    crowd, turn = stored(crowded_rows(split), folder, "crowd-1"), 1
+    # Centres help as long as they find links; what stays apart then is mostly unlike.
+    while (rows := crowd.count()) and turn <= MOST_STAR_ROUNDS:
         turn += 1
-        split = stored(apart(stored(labelled(under, _named(label), rule), folder, f"named-{turn}"), rule), folder, f"apart-{turn}")
-        under = split.drop("name", "band")
-        per = split.groupBy("h", F.xxhash64("name").alias("name")).agg(F.count("*").alias("k")).groupBy("h").agg(
-            F.sum("k").alias("rows"), F.sum(F.col("k") * F.col("k")).alias("squares"), F.count("*").alias("labels"))
-        left, rows = per.filter("labels > 1").agg(F.expr("sum((rows * rows - squares) / 2)"), F.sum("rows")).first()
-        if not rows:
-            label = _named(label)
-            break
-        # Centres help as long as they find links; what stays apart then is mostly unlike.
-        idle = fresh is not None and fresh * LINKS_WORTH < rows
-        last = left <= PAIRS_PER_POSTING * rows or idle or turn > MOST_STAR_ROUNDS
-        if last:
-            pairs = still_apart(split, met, rule)
-        else:
-            centre = split.groupBy("h").agg(
-                F.min_by(F.struct("set_key", "name"), F.xxhash64("set_key", F.lit(turn))).alias("c"))
-            pairs = split.join(centre, "h").filter("name != c.name").select(
-                F.col("set_key").alias("a"), F.col("c.set_key").alias("b"))
-            pairs = promising(pairs, met, rule)
-        found = checked(stored(pairs, folder, f"pairs-{turn}"), turn)
-        fresh = found.count()
+        found = checked(stored(promising(centred(crowd, turn), met, rule), folder, f"pairs-{turn}"), turn)
         links = links.unionByName(found)
-        label = components(links, folder, f"labels-{turn}")
-        if last:
-            label = _named(label)
+        fresh = found.count()
+        if fresh:
+            label = components(links, folder, f"labels-{turn}")
+        if fresh * LINKS_WORTH < rows:
             break
+        renamed = labelled(crowd.drop("name", "band"), _named(label), rule)
+        crowd = stored(crowded_rows(apart(renamed, rule)), folder, f"crowd-{turn}")
+    if turn > 1:
+        renamed = labelled(split.drop("name", "band"), _named(label), rule)
+        split = stored(apart(renamed, rule), folder, "last")
+    if not split.isEmpty():
+        pairs = stored(still_apart(split, met, _named(label), rule), folder, "pairs-last")
+        links = links.unionByName(checked(pairs, turn + 1))
+        label = components(links, folder, "labels-last")
+    label = _named(label)
 
     named = classes.select("set_key", "sid").join(label, "set_key", "left").withColumn(
         "label", F.coalesce("label", "set_key"))

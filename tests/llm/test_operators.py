@@ -270,9 +270,11 @@ def components_of(texts: dict[int, str]) -> dict[int, int]:
     return {i: top(i) for i in sets}
 
 
-def test_near_duplicates_by_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("crowd, paired", [(1, 8), (10**6, 8), (2, 1_000)])
+def test_near_duplicates_by_brute_force(spark, monkeypatch, crowd, paired):
     monkeypatch.setattr(prefix_join, "HOT_ROWS", 5)
-    monkeypatch.setattr(prefix_join, "PAIRS_PER_POSTING", 0)
+    monkeypatch.setattr(prefix_join, "CROWD", crowd)
+    monkeypatch.setattr(prefix_join, "PAIRED_ROWS", paired)
     rng = random.Random(7)
     texts = {}
     for family in range(8):
