@@ -52,9 +52,11 @@ FILTER_BITS = 24
 REMEMBERED = 200_000
 # A shingle with more rows than this is crowded: its classes meet centres before they meet each other.
 CROWD = 8
-# A round of centres is worth another one if it finds a link for so many crowded rows.
-LINKS_WORTH = 50
-MOST_STAR_ROUNDS = 6
+# Centres that a crowded shingle has in a round.
+CENTRES = 4
+# A round of centres is worth another one if it finds a link for so many of its pairs.
+LINKS_WORTH = 20
+MOST_STAR_ROUNDS = 2
 # Units of one shingle that a task pairs with all others of it.
 PAIRED_ROWS = 1_000
 
@@ -413,11 +415,12 @@ def crowded_rows(split: DataFrame) -> DataFrame:
 
 
 def centred(crowd: DataFrame, turn: int) -> DataFrame:
-    """Pairs (a, b): each class under a crowded shingle with the shingle's centre, another one each turn."""
-    centre = crowd.groupBy("h").agg(
-        F.min_by(F.struct("set_key", "name"), F.xxhash64("set_key", F.lit(turn))).alias("c"))
-    return crowd.join(centre, "h").filter("name != c.name").select(
-        F.col("set_key").alias("a"), F.col("c.set_key").alias("b"))
+    """Pairs (a, b): each class under a crowded shingle with the shingle's centres, others each turn."""
+    drawn = F.xxhash64("set_key", F.lit(turn))
+    centre = crowd.groupBy("h", F.pmod(drawn, F.lit(CENTRES)).alias("part")).agg(
+        F.min_by(F.struct("set_key", "name"), drawn).alias("c"))
+    return crowd.join(centre.select("h", "c"), "h").filter("name != c.name").select(
+        F.col("set_key").alias("a"), F.col("c.set_key").alias("b")).distinct()
 
 
 def still_apart(split: DataFrame, classes: DataFrame, label: DataFrame, rule: Similarity) -> DataFrame:
@@ -517,14 +520,15 @@ def _linked(docs: DataFrame, rule: Similarity, text: str) -> DataFrame:
     split = stored(apart(named, rule), folder, "apart")
     crowd, turn = stored(crowded_rows(split), folder, "crowd-1"), 1
     # Centres help as long as they find links; what stays apart then is mostly unlike.
-    while (rows := crowd.count()) and turn <= MOST_STAR_ROUNDS:
+    while not crowd.isEmpty() and turn <= MOST_STAR_ROUNDS:
         turn += 1
-        found = checked(stored(promising(centred(crowd, turn), met, rule), folder, f"pairs-{turn}"), turn)
+        pairs = stored(promising(centred(crowd, turn), met, rule), folder, f"pairs-{turn}")
+        found = checked(pairs, turn)
         links = links.unionByName(found)
         fresh = found.count()
         if fresh:
             label = components(links, folder, f"labels-{turn}")
-        if fresh * LINKS_WORTH < rows:
+        if fresh * LINKS_WORTH < pairs.count():
             break
         renamed = labelled(crowd.drop("name", "band"), _named(label), rule)
         crowd = stored(crowded_rows(apart(renamed, rule)), folder, f"crowd-{turn}")
