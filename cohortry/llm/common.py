@@ -37,15 +37,14 @@ def crc_remainder(doc_id: str, divisor: int) -> Column:
 def prepare(spark: SparkSession) -> None:
     """Makes this package importable on executors and bounds the batches that Python workers get.
 
-    The batch limits hold for the session; they are not results, and a lower limit that the user
-    has set stays.
+    The batch limits hold for the session; they are not results, and a limit that the user has set
+    stays.
     """
     limits = {"maxRecordsPerBatch": BATCH_ROWS, "maxBytesPerBatch": BATCH_BYTES}
     for key, most in limits.items():
         name = f"spark.sql.execution.arrow.{key}"
-        if not spark.conf.get(f"cohortry.{key}", None):
+        if spark.conf.get(name, None) is None:
             spark.conf.set(name, most)
-            spark.conf.set(f"cohortry.{key}", "set")
     context = spark.sparkContext
     if getattr(context, "_cohortry_shipped", False):
         return
