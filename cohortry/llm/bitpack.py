@@ -20,7 +20,8 @@ import struct
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import pairwise
+from itertools import chain, islice, pairwise
+from string import punctuation
 
 import numpy as np
 import pyarrow as pa
@@ -178,6 +179,55 @@ def documents(file, index: Index) -> Iterator[np.ndarray]:
 _MARKS = r"([!-/:-@\[-`{-~]*)"
 _LATIN = r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u017F]+)"
 _PARTS = re.compile(f"{_LATIN}{_MARKS}(?:(\n){_LATIN}{_MARKS})?")
+# The character that stands for each byte in a byte-level vocabulary: its own if that is printable.
+_OWN = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+_CHARACTERS = {b: 0x100 + k for k, b in enumerate(b for b in range(0x100) if b not in _OWN)}
+_SPACE = chr(_CHARACTERS[0x20])
+
+
+def byte_characters(text: str) -> str:
+    """The bytes of a text as a byte-level vocabulary spells them."""
+    return text.encode().decode("latin-1").translate(_CHARACTERS)
+
+
+class _Numbers(dict):
+    """Numbers strings in the order of their first use, from 0."""
+
+    def __missing__(self, text: str) -> int:
+        value = self[text] = len(self)
+        return value
+
+
+class _Known:
+    """Ids of numbered strings, side by side."""
+
+    def __init__(self):
+        self.numbers = _Numbers()
+        self.ids = np.array([], dtype="<u4")
+        self.starts = np.array([], dtype=np.int64)
+        self.lengths = np.array([], dtype=np.int64)
+
+    def new(self) -> list[str]:
+        """The strings that have a number but no ids yet."""
+        return list(islice(reversed(self.numbers), len(self.numbers) - len(self.starts)))[::-1]
+
+    def add(self, ids: np.ndarray, lengths: np.ndarray) -> None:
+        """Ids of the new strings."""
+        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(lengths) - lengths])
+        self.lengths = np.concatenate([self.lengths, lengths])
+        self.ids = np.concatenate([self.ids, ids])
+
+    def of(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of these strings one after another, and how many each string has."""
+        lengths = self.lengths[numbers]
+        ends = np.cumsum(lengths)
+        total = int(ends[-1]) if len(ends) else 0
+        return self.ids[np.repeat(self.starts[numbers] - ends + lengths, lengths) + np.arange(total)], lengths
+
+
+def _side_by_side(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    lengths = np.fromiter(map(len, lists), np.int64, len(lists))
+    return np.fromiter(chain.from_iterable(lists), "<u4", int(lengths.sum())), lengths
 
 
 class Encoder:
@@ -185,7 +235,8 @@ class Encoder:
 
     The library's pattern starts a new pre-token at every space that has a non-blank on either side,
     so a text cut there encodes piece by piece as it does whole. Pieces of Latin words and marks are
-    cut further. Texts that hold one of the vocabulary's special strings go to the library whole.
+    cut further, into single pre-tokens, which the library's model merges directly. Texts that hold one of the vocabulary's special strings go to the library whole.
+    Pieces are numbered once, and numpy gathers the ids of all texts of a batch by these numbers.
     """
 
     def __init__(self, path: str):
@@ -204,13 +255,25 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.merge = self.tokenizer.model.tokenize
         self.bits = max(1, (self.tokenizer.get_vocab_size() - 1).bit_length())
-        self.spaced: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.spaced = _Known()
+        self.parts = _Known()
 
-    def library(self, texts: list[str]) -> list[bytes]:
+    def library(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts one after another, and how many each text has."""
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [struct.pack(f"<{len(e)}I", *e.ids) for e in found]
+        return _side_by_side([e.ids for e in found])
+
+    def _merged(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for single pre-tokens in byte characters, and for other texts, which start with a space."""
+        merge = self.merge
+        ids = [[] if part[0] == " " else [token.id for token in merge(part)] for part in parts]
+        mixed = [k for k, part in enumerate(parts) if part[0] == " "]
+        found = self.tokenizer.encode_batch_fast([parts[k] for k in mixed], add_special_tokens=False)
+        for k, encoding in zip(mixed, found, strict=True):
+            ids[k] = encoding.ids
+        return _side_by_side(ids)
 
     @staticmethod
     def _joined(text: str) -> list[str]:
@@ -224,54 +287,68 @@ class Encoder:
                 out.append(" " + piece)
         return out
 
-    def _learn(self, pieces: list[str]) -> None:
-        """Encodes new pieces, each after a space, from their pre-tokens."""
-        made = []
-        for piece in pieces:
-            form = _PARTS.fullmatch(piece)
-            if form is None:
-                made.append((" " + piece,))
-            else:
+    def _learn(self) -> None:
+        """Encodes new pieces, each after a space, from their pre-tokens; unsafe ones get no ids."""
+        if len(self.parts.numbers) > REMEMBERED_PARTS:
+            self.parts = _Known()
+        number, made, counts = self.parts.numbers.__getitem__, [], []
+        for piece in self.spaced.new():
+            word = piece.rstrip(punctuation)
+            if word.isascii() and word.isalpha():
+                made.append(number(_SPACE + word))
+                if len(word) < len(piece):
+                    made.append(number(piece[len(word) :]))
+                    counts.append(2)
+                else:
+                    counts.append(1)
+            elif not piece or piece[0].isspace():
+                counts.append(0)
+            elif form := _PARTS.fullmatch(piece):
                 word, *others = form.groups()
-                made.append((" " + word, *filter(None, others)))
-        if len(self.parts) > REMEMBERED_PARTS:
-            self.parts.clear()
-        new = list({part for parts in made for part in parts} - self.parts.keys())
-        for i in range(0, len(new), 20_000):
-            some = new[i : i + 20_000]
-            self.parts.update(zip(some, self.library(some), strict=True))
-        get = self.parts.__getitem__
-        for piece, parts in zip(pieces, made, strict=True):
-            self.spaced[piece] = get(parts[0]) if len(parts) == 1 else b"".join(map(get, parts))
+                own = [" " + word, *filter(None, others)]
+                made.extend(number(byte_characters(part)) for part in own)
+                counts.append(len(own))
+            else:
+                made.append(number(" " + piece))
+                counts.append(1)
+        new = self.parts.new()
+        found = [self._merged(new[i : i + 20_000]) for i in range(0, len(new), 20_000)]
+        if found:
+            self.parts.add(*map(np.concatenate, zip(*found, strict=True)))
+        if counts:
+            ids, lengths = self.parts.of(np.array(made, dtype=np.int64))
+            part_ends, ends = np.r_[0, np.cumsum(lengths)], np.cumsum(counts)
+            self.spaced.add(ids, np.diff(part_ends[np.r_[0, ends]]))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        cut: list[list[str] | None] = []
+        if len(self.spaced.numbers) > REMEMBERED:
+            self.spaced = _Known()
+        number = self.spaced.numbers.__getitem__
         alone: list[list[str]] = []
+        numbers: list[int] = []
+        counts = []
         for text in texts:
             if any(s in text for s in self.special):
                 alone.append([text])
-                cut.append(None)
+                counts.append(0)
             else:
                 first, *others = text.split(" ")
                 alone.append([first])
-                cut.append(others)
-        missing = set().union(*filter(None, cut)) - self.spaced.keys()
+                numbers.extend(map(number, others))
+                counts.append(len(others))
+        self._learn()
+        ids, lengths = self.spaced.of(np.array(numbers, dtype=np.int64))
+        ends = np.r_[0, np.cumsum(lengths)][np.r_[0, np.cumsum(counts)].astype(np.int64)]
         # Before an empty piece or one that starts with a blank the space may not be safe.
-        unsafe = {p for p in missing if not p or p[0].isspace()}
-        if unsafe:
-            for i, others in enumerate(cut):
-                if others and not unsafe.isdisjoint(others):
-                    alone[i], cut[i] = self._joined(texts[i]), None
-        if len(self.spaced) + len(missing) > REMEMBERED:
-            self.spaced.clear()
-            missing = set().union(*filter(None, cut))
-        self._learn(list(missing - unsafe))
+        for i in np.unique(np.searchsorted(np.cumsum(counts), np.flatnonzero(lengths == 0), side="right")).tolist():
+            alone[i] = self._joined(texts[i])
+            counts[i] = 0
         firsts = list({p for pieces in alone for p in pieces})
-        raw = dict(zip(firsts, self.library(firsts), strict=True))
-        get = self.spaced.__getitem__
+        found, sizes = self.library(firsts)
+        raw = {p: found[end - size : end] for p, size, end in zip(firsts, sizes, np.cumsum(sizes), strict=True)}
         return [
-            np.frombuffer(b"".join([*map(raw.__getitem__, own), *map(get, others or ())]), dtype="<u4")
-            for own, others in zip(alone, cut, strict=True)
+            np.concatenate([*map(raw.__getitem__, own), ids[start:end] if count else ids[:0]])
+            for own, count, (start, end) in zip(alone, counts, pairwise(ends.tolist()), strict=True)
         ]
 
 

@@ -127,6 +127,28 @@ def test_token_files(docs, empty):
     assert bitpack.packed_documents(empty, BYTES).collect() == []
 
 
+def test_encoder_takes_single_pre_tokens_to_the_model(monkeypatch):
+    texts = [" ".join(f"{w}{x}{m}" for m in ("", ",", '..."')) for w in ("plain", "Émile", "ſt") for x in ("er", "éa\nno")]
+    coder, asked = bitpack.Encoder(BYTES), []
+    whole_call = coder.library
+    monkeypatch.setattr(coder, "library", lambda some: (asked.extend(some), whole_call(some))[1])
+    want = [e.ids for e in coder.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    assert [ids.tolist() for ids in coder.encode(texts)] == want
+    assert set(asked) == {t.split(" ")[0] for t in texts}
+
+
+def test_encoder_equals_the_library_when_it_forgets(monkeypatch):
+    monkeypatch.setattr(bitpack, "REMEMBERED", 40)
+    monkeypatch.setattr(bitpack, "REMEMBERED_PARTS", 20)
+    rng, coder = random.Random(4), bitpack.Encoder(BYTES)
+    bits = ["the", "Hello", " ", "  ", "\n", "\t", "don't", "a.", "--", "1", "12x", "é", "日本", "<|endoftext|>", "",
+            "word,\nnext", "\r\n", "'s", " \n", "\n\ny", "\u00a0", "\u3000x", "\x1f", "×", "Ā!"]
+    for _ in range(100):
+        texts = ["".join(rng.choice(bits) + rng.choice(["", " "]) for _ in range(rng.randrange(12))) for _ in range(8)]
+        want = [e.ids for e in coder.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        assert [ids.tolist() for ids in coder.encode(texts)] == want
+
+
 @pytest.mark.parametrize(("keep", "copies"), [("smallest", 1000), ("largest", 1000), ("largest", 1)])
 def test_exact_groups(docs, empty, monkeypatch, keep, copies):
     monkeypatch.setattr(content_sort, "HOT_COPIES", copies)
