@@ -13,8 +13,9 @@ among the first ``n - ceil(0.8 n) + k`` of each: the prefix. Here k is 4, and 1
    verified on whole sets.
 4. Links found so far form components. Classes that share a crowded shingle and are still apart are
    paired with further centres.
-5. Groups still apart, cut by component, are paired on all shingles they share and filtered by size,
-   by the number of shared shingles, and by signature where they hold one class; group pairs that stay
+5. Groups still apart, cut by component, are paired on the shingles they share that lie in the pair's
+   own prefixes, which are shorter the closer the two sizes are, and filtered by size, by the number of
+   such shingles, and by signature where they hold one class; group pairs that stay
    expand to their members, which are verified. So all pairs that share k prefix shingles and could
    link are verified or lie within one component, and no link between components is lost.
 
@@ -79,6 +80,24 @@ class Similarity:
     def meets_sql(self, n: str) -> str:
         return f"if({n} >= 20, 4, 1)"
 
+    def overlap_sql(self, left: str, right: str) -> str:
+        """Shingles that sets of these sizes share, at least, if they link."""
+        whole_part = 100 + self.percent
+        return f"(({self.percent} * ({left} + {right}) + {whole_part - 1}) div {whole_part})"
+
+    def in_prefix_sql(self, left: str = "l", right: str = "r") -> str:
+        """The shingle of two postings lies in the prefixes that the two sizes need.
+
+        Sets that share o shingles share k among the first ``n - o + k`` of each; the prefix of a set
+        serves the smallest o, that of a pair the o of its sizes.
+        """
+        most = f"{self.meets_sql(f'least({left}.n, {right}.n)')} - {self.overlap_sql(f'{left}.n', f'{right}.n')}"
+        return f"{left}.pos < {left}.n + {most} AND {right}.pos < {right}.n + {most}"
+
+    def tells_apart_sql(self, n: str) -> str:
+        """Unlike sets of n seldom pass as alike by their signatures, which differ in half of the bits."""
+        return f"{2 * (100 - self.percent)} * {n} < {(100 + self.percent) * (SIGNATURE // 2 + SIGNATURE // 16)}"
+
     def band_sql(self, n: str) -> str:
         """Number of the size band; sets that link lie in the same or in neighbouring bands."""
         return f"CAST(floor(ln({n}) / ln({100 / self.percent})) AS INT)"
@@ -159,9 +178,9 @@ def frequencies(docs: DataFrame, rule: Similarity, text: str | Column = "text")
                 [pa.array(part.astype(np.int32)), pa.array(table[part])], names=["slot", "n"])
 
     rows = docs.select(whole(text).alias("t")).mapInArrow(count, "slot int, n bigint")
-    found = rows.groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    found = rows.groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # no row objects in the driver
     table = np.zeros(1 << TABLE_BITS, dtype=np.int64)
-    table[found["slot"].to_numpy(dtype=np.int64)] = found["n"].to_numpy(dtype=np.int64)
+    table[found["slot"].to_numpy()] = found["n"].to_numpy()
     return table
 
 
@@ -232,13 +251,14 @@ def profiles(docs: DataFrame, rule: Similarity, text: str | Column = "text") ->
 
 
 def shared_postings(profile: DataFrame, rule: Similarity) -> DataFrame:
-    """(shingle ``h``, group ``gid``, centre ``c``, ``fan``) of prefix shingles that several groups may share.
+    """(shingle ``h``, group ``gid``, centre ``c``, ``fan``, place ``pos``) of prefix shingles that several
+    groups may share.
 
     The centre is the smallest group of like size with the shingle, or with its salt.
     """
     postings = profile.filter("prefix IS NOT NULL").select(
-        "gid", "n", F.explode(F.arrays_zip("prefix", "fan")).alias("p")).select(
-        F.col("p.prefix").alias("h"), "gid", "n", F.col("p.fan").alias("fan"),
+        "gid", "n", F.posexplode(F.arrays_zip("prefix", "fan")).alias("pos", "p")).select(
+        F.col("p.prefix").alias("h"), "gid", "n", "pos", F.col("p.fan").alias("fan"),
         F.when(F.col("p.fan") > 1, F.pmod("gid", F.col("p.fan"))).otherwise(F.lit(0)).alias("salt"))
     # A partner of like size exists only if the next smaller or larger set is one.
     by_size = Window.partitionBy("h", "salt").orderBy("n")
@@ -246,7 +266,7 @@ def shared_postings(profile: DataFrame, rule: Similarity) -> DataFrame:
     near = near.filter(f"100 * below >= {rule.percent} * n OR 100 * n >= {rule.percent} * above OR fan > 1")
     alike = Window.partitionBy("h", "salt", "band")
     return near.withColumn("band", F.expr(rule.band_sql("n"))).select(
-        "h", "gid", "n", "fan", F.min("gid").over(alike).alias("c"))
+        "h", "gid", "n", "pos", "fan", F.min("gid").over(alike).alias("c"))
 
 
 def enough(postings: DataFrame, rule: Similarity) -> DataFrame:
@@ -427,7 +447,8 @@ def still_apart(split: DataFrame, classes: DataFrame, label: DataFrame, rule: Si
     """All pairs (a, b) of classes of different names that share enough shingles and could link.
 
     Units pair: the classes of one group that have one name, with identical prefix and size. A unit's
-    smallest class stands for it, with its signature where it is alone. Unit pairs that share enough
+    smallest class stands for it, with its signature where it is alone and not too long to tell by it.
+    Shingles beyond the prefixes that a pair's sizes need don't count. Unit pairs that share enough
     shingles expand to their classes, filtered by signature.
 
     Under a shingle of many units, those of the most frequent name do not look for partners among
@@ -440,8 +461,9 @@ def still_apart(split: DataFrame, classes: DataFrame, label: DataFrame, rule: Si
         "set_key", "n", *BIT_COLUMNS, F.min("set_key").over(by_unit).alias("unit"),
         F.count("*").over(by_unit).alias("members"))
     unit = member.filter("set_key = unit").select(
-        "set_key", *(F.when(F.col("members") == 1, F.col(b)).alias(b) for b in BIT_COLUMNS))
-    rows = split.select("h", "w", "n", "set_key", "name").join(unit, "set_key")
+        "set_key", *(F.when(F.expr(f"members = 1 AND {rule.tells_apart_sql('n')}"), F.col(b)).alias(b)
+                     for b in BIT_COLUMNS))
+    rows = split.select("h", "w", "n", "pos", "set_key", "name").join(unit, "set_key")
 
     names = split.groupBy("h", "name").agg(F.count("*").alias("k"))
     many = names.groupBy("h").agg(
@@ -454,7 +476,7 @@ def still_apart(split: DataFrame, classes: DataFrame, label: DataFrame, rule: Si
     two = rows.withColumn("salt", F.explode(F.expr("sequence(0, fan - 1)"))).alias("r")
     once = (F.col("l.set_key") < F.col("r.set_key")) | F.coalesce(F.col("r.name") == F.col("r.top"), F.lit(False))
     met = one.join(two, (F.col("l.h") == F.col("r.h")) & (F.col("l.salt") == F.col("r.salt"))
-                   & (F.col("l.name") != F.col("r.name")) & once & F.coalesce(could_link(rule), F.lit(True))
+                   & (F.col("l.name") != F.col("r.name")) & once & F.expr(rule.in_prefix_sql()) & F.coalesce(could_link(rule), F.lit(True))
                    & (100 * F.least("l.n", "r.n") >= rule.percent * F.greatest("l.n", "r.n")))
     low, high = F.least("l.set_key", "r.set_key"), F.greatest("l.set_key", "r.set_key")
     units = met.groupBy(low.alias("a"), high.alias("b")).agg(
@@ -510,10 +532,11 @@ def _linked(docs: DataFrame, rule: Similarity, text: str) -> DataFrame:
 
     # Every class under each of its shingles, and under its group if that holds others: those share
     # their whole prefix, which weighs as much as a link takes.
-    members = met.join(crowded, F.col("gid") == F.col("g")).select(F.col("gid").alias("h"), "set_key", "n")
+    members = met.join(crowded, F.col("gid") == F.col("g")).select(
+        F.col("gid").alias("h"), "set_key", "n", F.lit(0).alias("pos"))
     under = stored(
-        postings.select("h", "gid").distinct().join(met.select("gid", "set_key", "n"), "gid")
-        .select("h", "set_key", "n", F.lit(1).alias("w"))
+        postings.select("h", "gid", "pos").distinct().join(met.select("gid", "set_key", "n"), "gid")
+        .select("h", "set_key", "n", "pos", F.lit(1).alias("w"))
         .unionByName(members.withColumn("w", F.expr(rule.meets_sql("n")))),
         folder, "under")
     named = stored(labelled(under, _named(label), rule), folder, "named")

@@ -343,6 +343,40 @@ def test_links_within_a_group(spark):
         d: d - 1 if d % 3 == 2 else d for d, _ in rows}
 
 
+def test_last_join_pairs_within_the_prefixes_of_both_sizes(spark):
+    rule = prefix_join.Similarity()
+    # Equal sizes: 36 of 40 shingles must be shared, so 4 of the first 8 of the 12 in a prefix.
+    places = {b"a": range(4), b"b": range(2, 6), b"c": range(8, 12), b"d": range(8, 12)}
+    split = [(h, name, 40, pos, 1, name) for name, at in places.items() for h, pos in enumerate(at)]
+    split += [(h + 100, name, 40, pos, 1, name) for name in (b"c", b"d") for h, pos in enumerate(range(4, 8))]
+    split = spark.createDataFrame(split, "h long, set_key binary, n long, pos int, w int, name binary")
+    bits = [0] * len(prefix_join.BIT_COLUMNS)
+    classes = spark.createDataFrame(
+        [(name, 40, k, *bits) for k, name in enumerate(places)],
+        "set_key binary, n long, gid long, " + ", ".join(f"{b} long" for b in prefix_join.BIT_COLUMNS))
+    label = spark.createDataFrame([], "set_key binary, label binary")
+    found = prefix_join.still_apart(split, classes, label, rule).collect()
+    assert sorted((bytes(r.a), bytes(r.b)) for r in found) == [(b"a", b"b"), (b"c", b"d")]
+
+
+def test_sets_that_link_meet_in_the_prefixes_of_both_sizes(spark):
+    rule, rng, seen = prefix_join.Similarity(), random.Random(6), []
+    for case in range(400):
+        n = rng.randrange(1, 120)
+        one = set(rng.sample(range(300), n))
+        two = {x if rng.random() > 0.1 else x + 1000 for x in one} | set(rng.sample(range(300), n // 12))
+        if 100 * len(one & two) >= 80 * len(one | two):
+            for k, both in enumerate((one, two)):
+                seen += [(case, k, x, len(both), pos) for pos, x in enumerate(sorted(both))]
+    spark.createDataFrame(seen, "pair int, side int, x int, n long, pos int").createOrReplaceTempView("placed")
+    met = spark.sql(f"""
+        SELECT l.pair, min(least(l.n, r.n)) AS n, count_if({rule.in_prefix_sql()}) AS k
+        FROM placed l JOIN placed r ON l.pair = r.pair AND l.x = r.x AND l.side = 0 AND r.side = 1
+        GROUP BY l.pair""").collect()
+    assert len(met) > 100
+    assert all(r.k >= rule.meets(r.n) for r in met)
+
+
 def test_wide_signatures_never_exceed_the_difference():
     rng = np.random.default_rng(6)
     for n, m in ((1, 1), (40, 64), (64, 65), (500, 620), (3000, 2500)):
