@@ -283,12 +283,12 @@ def set_classes(profile: DataFrame) -> DataFrame:
         F.min("doc_id").alias("sid"), *(F.min(b).alias(b) for b in BIT_COLUMNS))
 
 
-def likely_members(rows: DataFrame, key: str, ids: DataFrame, column: str) -> DataFrame:
-    """The rows whose ``key`` is among the ids, and few others.
+def marked(rows: DataFrame, key: str, ids: DataFrame, column: str) -> DataFrame:
+    """The rows with ``marked``: their ``key`` is among the ids, or one of few others.
 
     The ids fill a bit table of fixed size, kept as words of 64 bits: at most 2^18 rows of two
-    numbers, which is what is broadcast. When more ids come than the table can tell apart it lets
-    more rows through; it never loses one.
+    numbers, which is what is broadcast. When more ids come than the table can tell apart it marks
+    more rows; it never misses one.
     """
     def slot(name: str) -> Column:
         return F.pmod(F.xxhash64(name), F.lit(1 << FILTER_BITS))
@@ -296,9 +296,14 @@ def likely_members(rows: DataFrame, key: str, ids: DataFrame, column: str) -> Da
     words = ids.select(slot(column).alias("slot")).selectExpr(
         "shiftright(slot, 6) AS word", "shiftleft(1L, CAST(slot % 64 AS INT)) AS bit"
     ).groupBy("word").agg(F.bit_or("bit").alias("bits"))
-    marked = rows.withColumn("slot", slot(key)).withColumn("word", F.expr("shiftright(slot, 6)"))
-    return marked.join(F.broadcast(words), "word").filter(
-        "(shiftright(bits, CAST(slot % 64 AS INT)) & 1L) = 1L").drop("slot", "word", "bits")
+    placed = rows.withColumn("slot", slot(key)).withColumn("word", F.expr("shiftright(slot, 6)"))
+    bit = "(shiftright(coalesce(bits, 0L), CAST(slot % 64 AS INT)) & 1L) = 1L"
+    return placed.join(F.broadcast(words), "word", "left").withColumn("marked", F.expr(bit)).drop("slot", "word", "bits")
+
+
+def likely_members(rows: DataFrame, key: str, ids: DataFrame, column: str) -> DataFrame:
+    """The rows whose ``key`` is among the ids, and few others."""
+    return marked(rows, key, ids, column).filter("marked").drop("marked")
 
 
 def sets_of(docs: DataFrame, classes: DataFrame, rule: Similarity, text: str | Column = "text") -> DataFrame:
@@ -408,8 +413,14 @@ def star_of_groups(postings: DataFrame, groups: DataFrame, rule: Similarity) ->
 
 
 def labelled(under: DataFrame, label: DataFrame, rule: Similarity) -> DataFrame:
-    """``under`` with each class's label as ``name``, its own key where it has none, and its size band."""
-    return under.join(label, "set_key", "left").select(
+    """The rows with each class's label as ``name``, its own key where it has none, and its size band.
+
+    Few classes have a label; the rows of the others are not shuffled for one.
+    """
+    told = marked(under, "set_key", label, "set_key")
+    some = told.filter("marked").drop("marked").join(label, "set_key", "left")
+    others = told.filter("NOT marked").drop("marked").withColumn("label", F.lit(None).cast("binary"))
+    return some.unionByName(others).select(
         *under.columns, F.coalesce("label", "set_key").alias("name"), F.expr(rule.band_sql("n")).alias("band"))
 
 
@@ -428,10 +439,10 @@ def apart(named: DataFrame, rule: Similarity) -> DataFrame:
     return likely_members(known, "spot", mixed, "spot").drop("spot")
 
 
-def crowded_rows(split: DataFrame) -> DataFrame:
-    """The rows under shingles that more than ``CROWD`` rows share."""
-    crowds = split.groupBy("h").agg(F.count("*").alias("rows")).filter(F.col("rows") > CROWD)
-    return split.join(crowds.select("h"), "h", "left_semi")
+def crowded_rows(split: DataFrame, most: int = CROWD) -> DataFrame:
+    """The rows under shingles that more than ``most`` rows share, and few others."""
+    crowds = split.groupBy("h").agg(F.count("*").alias("rows")).filter(F.col("rows") > most)
+    return likely_members(split, "h", crowds, "h")
 
 
 def centred(crowd: DataFrame, turn: int) -> DataFrame:
@@ -443,7 +454,8 @@ def centred(crowd: DataFrame, turn: int) -> DataFrame:
         F.col("set_key").alias("a"), F.col("c.set_key").alias("b")).distinct()
 
 
-def still_apart(split: DataFrame, classes: DataFrame, label: DataFrame, rule: Similarity) -> DataFrame:
+def still_apart(split: DataFrame, classes: DataFrame, label: DataFrame, rule: Similarity,
+                folder: str | None = None) -> DataFrame:
     """All pairs (a, b) of classes of different names that share enough shingles and could link.
 
     Units pair: the classes of one group that have one name, with identical prefix and size. A unit's
@@ -451,10 +463,12 @@ def still_apart(split: DataFrame, classes: DataFrame, label: DataFrame, rule: Si
     Shingles beyond the prefixes that a pair's sizes need don't count. Unit pairs that share enough
     shingles expand to their classes, filtered by signature.
 
-    Under a shingle of many units, those of the most frequent name do not look for partners among
+    Under a shingle of few units, all of them meet: both sides of that join are the same rows, shuffled
+    once. Under a shingle of many units, those of the most frequent name do not look for partners among
     themselves: the join looks at no more than twice the pairs of different names. The others are
     salted, so that a task holds at most ``PAIRED_ROWS`` of them.
     """
+    folder = folder or shared_folder(split.sparkSession)
     named = classes.join(label, "set_key", "left").withColumn("name", F.coalesce("label", "set_key"))
     by_unit = Window.partitionBy("gid", "name")
     member = named.select(
@@ -463,25 +477,31 @@ def still_apart(split: DataFrame, classes: DataFrame, label: DataFrame, rule: Si
     unit = member.filter("set_key = unit").select(
         "set_key", *(F.when(F.expr(f"members = 1 AND {rule.tells_apart_sql('n')}"), F.col(b)).alias(b)
                      for b in BIT_COLUMNS))
-    rows = split.select("h", "w", "n", "pos", "set_key", "name").join(unit, "set_key")
+    rows = stored(split.select("h", "w", "n", "pos", "set_key", "name").join(unit, "set_key"), folder, "units")
 
-    names = split.groupBy("h", "name").agg(F.count("*").alias("k"))
+    names = crowded_rows(rows.select("h", "name"), PAIRED_ROWS // 8).groupBy("h", "name").agg(F.count("*").alias("k"))
     many = names.groupBy("h").agg(
         F.sum("k").alias("rows"), F.max_by("name", F.struct("k", "name")).alias("top")
     ).filter(F.col("rows") > PAIRED_ROWS // 8)
-    rows = rows.join(many, "h", "left").withColumn(
-        "fan", F.coalesce(F.ceil(F.col("rows") / PAIRED_ROWS), F.lit(1)).cast("int"))
-    one = rows.filter("top IS NULL OR name != top").withColumn(
+    many = stored(many, folder, "many")
+    hot = likely_members(rows, "h", many, "h").join(many, "h").withColumn(
+        "fan", F.ceil(F.col("rows") / PAIRED_ROWS).cast("int"))
+    one = hot.filter("name != top").withColumn(
         "salt", F.expr("CAST(pmod(xxhash64(set_key), fan) AS INT)")).alias("l")
-    two = rows.withColumn("salt", F.explode(F.expr("sequence(0, fan - 1)"))).alias("r")
-    once = (F.col("l.set_key") < F.col("r.set_key")) | F.coalesce(F.col("r.name") == F.col("r.top"), F.lit(False))
-    met = one.join(two, (F.col("l.h") == F.col("r.h")) & (F.col("l.salt") == F.col("r.salt"))
-                   & (F.col("l.name") != F.col("r.name")) & once & F.expr(rule.in_prefix_sql()) & F.coalesce(could_link(rule), F.lit(True))
-                   & (100 * F.least("l.n", "r.n") >= rule.percent * F.greatest("l.n", "r.n")))
-    low, high = F.least("l.set_key", "r.set_key"), F.greatest("l.set_key", "r.set_key")
-    units = met.groupBy(low.alias("a"), high.alias("b")).agg(
-        F.sum("l.w").alias("k"), F.min(F.least("l.n", "r.n")).alias("n")
-    ).filter(f"k >= {rule.meets_sql('n')}").select("a", "b")
+    two = hot.withColumn("salt", F.explode(F.expr("sequence(0, fan - 1)"))).alias("r")
+    other = (F.col("l.h") == F.col("r.h")) & (F.col("l.name") != F.col("r.name")) & F.expr(
+        rule.in_prefix_sql()) & F.coalesce(could_link(rule), F.lit(True)) & (
+        100 * F.least("l.n", "r.n") >= rule.percent * F.greatest("l.n", "r.n"))
+    ordered = F.col("l.set_key") < F.col("r.set_key")
+    cold = rows.join(many.select("h"), "h", "left_anti")
+    # The smaller weight, which is either's: with the same columns, the sides share one shuffle.
+    found = (F.least("l.set_key", "r.set_key").alias("a"), F.greatest("l.set_key", "r.set_key").alias("b"),
+             F.least("l.w", "r.w").alias("w"), F.least("l.n", "r.n").alias("n"))
+    met = cold.alias("l").join(cold.alias("r"), other & ordered).select(*found).unionByName(
+        one.join(two, other & (F.col("l.salt") == F.col("r.salt")) & (
+            ordered | (F.col("r.name") == F.col("r.top")))).select(*found))
+    units = met.groupBy("a", "b").agg(F.sum("w").alias("k"), F.min("n").alias("n")).filter(
+        f"k >= {rule.meets_sql('n')}").select("a", "b")
     return units.join(member.alias("l"), F.col("a") == F.col("l.unit")).join(
         member.alias("r"), F.col("b") == F.col("r.unit")).filter(could_link(rule)).select(
         F.least("l.set_key", "r.set_key").alias("a"), F.greatest("l.set_key", "r.set_key").alias("b"))
@@ -532,15 +552,18 @@ def _linked(docs: DataFrame, rule: Similarity, text: str) -> DataFrame:
 
     # Every class under each of its shingles, and under its group if that holds others: those share
     # their whole prefix, which weighs as much as a link takes.
-    members = met.join(crowded, F.col("gid") == F.col("g")).select(
-        F.col("gid").alias("h"), "set_key", "n", F.lit(0).alias("pos"))
+    # They get their names before that: there are fewer classes than shingles of them.
+    named = stored(labelled(met.select("gid", "set_key", "n"), _named(label), rule), folder, "named")
+    members = named.join(crowded, F.col("gid") == F.col("g")).select(
+        F.col("gid").alias("h"), "set_key", "n", F.lit(0).alias("pos"), "name", "band")
+    # One shuffle by group serves both.
+    distinct = postings.select("h", "gid", "pos").repartition("gid").distinct()
     under = stored(
-        postings.select("h", "gid", "pos").distinct().join(met.select("gid", "set_key", "n"), "gid")
-        .select("h", "set_key", "n", "pos", F.lit(1).alias("w"))
+        distinct.join(named, "gid")
+        .select("h", "set_key", "n", "pos", F.lit(1).alias("w"), "name", "band")
         .unionByName(members.withColumn("w", F.expr(rule.meets_sql("n")))),
         folder, "under")
-    named = stored(labelled(under, _named(label), rule), folder, "named")
-    split = stored(apart(named, rule), folder, "apart")
+    split = stored(apart(under, rule), folder, "apart")
     crowd, turn = stored(crowded_rows(split), folder, "crowd-1"), 1
     # Centres help as long as they find links; what stays apart then is mostly unlike.
     while not crowd.isEmpty() and turn <= MOST_STAR_ROUNDS:
@@ -559,7 +582,7 @@ def _linked(docs: DataFrame, rule: Similarity, text: str) -> DataFrame:
         renamed = labelled(split.drop("name", "band"), _named(label), rule)
         split = stored(apart(renamed, rule), folder, "last")
     if not split.isEmpty():
-        pairs = stored(still_apart(split, met, _named(label), rule), folder, "pairs-last")
+        pairs = stored(still_apart(split, met, _named(label), rule, folder), folder, "pairs-last")
         links = links.unionByName(checked(pairs, turn + 1))
         label = components(links, folder, "labels-last")
     label = _named(label)

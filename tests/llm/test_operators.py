@@ -457,3 +457,36 @@ def test_queries_equal_sql(spark, name):
     for table in ("benchmark", "conversations", "documents"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     assert assert_same(queries.queries()[name](spark, SF), con, queries.oracle_sql()[name]) > 0
+
+
+def test_few_rows_are_shuffled_for_names_and_crowds(spark):
+    rule = prefix_join.Similarity()
+    rows = [(h, bytes([k]), 40, 0, 1) for k in range(60) for h in (k % 3, 100 + k)]
+    rows = spark.createDataFrame(rows, "h long, set_key binary, n long, pos int, w int")
+    label = spark.createDataFrame([(bytes([k]), b"x") for k in (3, 4)], "set_key binary, label binary")
+    named = prefix_join.labelled(rows, label, rule)
+    assert named.columns == [*rows.columns, "name", "band"]
+    assert {bytes(r.set_key): bytes(r.name) for r in named.collect()} == {
+        bytes([k]): b"x" if k in (3, 4) else bytes([k]) for k in range(60)}
+    assert prefix_join.marked(rows, "set_key", label, "set_key").filter("marked").count() == 4
+    crowd = prefix_join.crowded_rows(named)
+    assert Counter(r.h for r in crowd.collect()) == {0: 20, 1: 20, 2: 20}
+    plan = crowd._jdf.queryExecution().toString()
+    assert "LeftSemi" not in plan
+
+
+def test_hot_and_cold_shingles_meet_alike(spark, monkeypatch):
+    monkeypatch.setattr(prefix_join, "PAIRED_ROWS", 16)
+    rng, rule = random.Random(9), prefix_join.Similarity()
+    # The first shingles are under 30 classes each, the others under two; sizes below 20 need one in common.
+    sets = {bytes([k]): [k % 2, 10 + k // 2, 90 + k % 29] for k in range(60)}
+    split = [(h, key, 10, 0, 1, bytes([key[0] % 7])) for key, held in sets.items() for h in held]
+    rng.shuffle(split)
+    split = spark.createDataFrame(split, "h long, set_key binary, n long, pos int, w int, name binary")
+    classes = spark.createDataFrame(
+        [(key, 10, key[0], *[0] * len(prefix_join.BIT_COLUMNS)) for key in sets],
+        "set_key binary, n long, gid long, " + ", ".join(f"{b} long" for b in prefix_join.BIT_COLUMNS))
+    label = spark.createDataFrame([(key, bytes([key[0] % 7])) for key in sets], "set_key binary, label binary")
+    found = [(bytes(r.a), bytes(r.b)) for r in prefix_join.still_apart(split, classes, label, rule).collect()]
+    want = {(a, b) for a in sets for b in sets if a < b and a[0] % 7 != b[0] % 7 and set(sets[a]) & set(sets[b])}
+    assert set(found) == want and len(found) == len(want)
