@@ -25,10 +25,11 @@ from string import punctuation
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortry.llm.common import prepare, shared_folder, stored, whole
+from cohortry.llm.common import no_collection, prepare, shared_folder, stored, whole
 
 MAGIC = b"BITIDS01"
 TRAILER = struct.Struct("<8sIIQQQ")  # magic, bits, ids in a block, ids, documents, offset of the index
@@ -182,7 +183,7 @@ _PARTS = re.compile(f"{_LATIN}{_MARKS}(?:(\n){_LATIN}{_MARKS})?")
 # The character that stands for each byte in a byte-level vocabulary: its own if that is printable.
 _OWN = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
 _CHARACTERS = {b: 0x100 + k for k, b in enumerate(b for b in range(0x100) if b not in _OWN)}
-_SPACE = chr(_CHARACTERS[0x20])
+_ZERO = chr(_CHARACTERS[0])
 
 
 def byte_characters(text: str) -> str:
@@ -266,13 +267,18 @@ class Encoder:
         return _side_by_side([e.ids for e in found])
 
     def _merged(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The same for single pre-tokens in byte characters, and for other texts, which start with a space."""
-        merge = self.merge
-        ids = [[] if part[0] == " " else [token.id for token in merge(part)] for part in parts]
-        mixed = [k for k, part in enumerate(parts) if part[0] == " "]
-        found = self.tokenizer.encode_batch_fast([parts[k] for k in mixed], add_special_tokens=False)
+        """The same for single pre-tokens, and for other texts, which start with two spaces for one."""
+        merge, ids = self.merge, [[]] * len(parts)
+        mixed = [k for k, part in enumerate(parts) if part[:2] == "  "]
+        found = self.tokenizer.encode_batch_fast([parts[k][1:] for k in mixed], add_special_tokens=False)
         for k, encoding in zip(mixed, found, strict=True):
             ids[k] = encoding.ids
+        plain = [k for k, part in enumerate(parts) if part[:2] != "  "]
+        if plain:
+            # Spelled in one go: no pre-token here holds the character between them.
+            spelled = byte_characters("\0".join([parts[k] for k in plain])).split(_ZERO)
+            for k, part in zip(plain, spelled, strict=True):
+                ids[k] = [token.id for token in merge(part)]
         return _side_by_side(ids)
 
     @staticmethod
@@ -295,7 +301,7 @@ class Encoder:
         for piece in self.spaced.new():
             word = piece.rstrip(punctuation)
             if word.isascii() and word.isalpha():
-                made.append(number(_SPACE + word))
+                made.append(number(" " + word))
                 if len(word) < len(piece):
                     made.append(number(piece[len(word) :]))
                     counts.append(2)
@@ -306,10 +312,10 @@ class Encoder:
             elif form := _PARTS.fullmatch(piece):
                 word, *others = form.groups()
                 own = [" " + word, *filter(None, others)]
-                made.extend(number(byte_characters(part)) for part in own)
+                made += map(number, own)
                 counts.append(len(own))
             else:
-                made.append(number(" " + piece))
+                made.append(number("  " + piece))
                 counts.append(1)
         new = self.parts.new()
         found = [self._merged(new[i : i + 20_000]) for i in range(0, len(new), 20_000)]
@@ -321,23 +327,30 @@ class Encoder:
             self.spaced.add(ids, np.diff(part_ends[np.r_[0, ends]]))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text."""
+        with no_collection():
+            return self._encode(texts)
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.spaced.numbers) > REMEMBERED:
             self.spaced = _Known()
-        number = self.spaced.numbers.__getitem__
-        alone: list[list[str]] = []
-        numbers: list[int] = []
-        counts = []
-        for text in texts:
-            if any(s in text for s in self.special):
-                alone.append([text])
-                counts.append(0)
-            else:
-                first, *others = text.split(" ")
-                alone.append([first])
-                numbers.extend(map(number, others))
-                counts.append(len(others))
+        plain = [not any(s in text for s in self.special) for text in texts]
+        alone = [[text.split(" ", 1)[0] if cut else text] for text, cut in zip(texts, plain, strict=True)]
+        # Arrow cuts the texts and finds each piece once; only these become Python strings.
+        cut_texts = pa.array([text if cut else "" for text, cut in zip(texts, plain, strict=True)], pa.string())
+        cuts = pc.split_pattern(cut_texts, " ")
+        starts = cuts.offsets.to_numpy()
+        after_space = np.ones(int(starts[-1]), dtype=bool)
+        after_space[starts[:-1]] = False
+        pieces = cuts.values.filter(pa.array(after_space)).dictionary_encode()
+        n = len(pieces.dictionary)
+        # No piece holds a space.
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), pieces.dictionary), " ")[0].as_py()
+        distinct = joined.split(" ") if n else []
+        numbers = np.fromiter(map(self.spaced.numbers.__getitem__, distinct), np.int64, n)[pieces.indices.to_numpy()]
+        counts = np.diff(starts).astype(np.int64) - 1
         self._learn()
-        ids, lengths = self.spaced.of(np.array(numbers, dtype=np.int64))
+        ids, lengths = self.spaced.of(numbers)
         ends = np.r_[0, np.cumsum(lengths)][np.r_[0, np.cumsum(counts)].astype(np.int64)]
         # Before an empty piece or one that starts with a blank the space may not be safe.
         for i in np.unique(np.searchsorted(np.cumsum(counts), np.flatnonzero(lengths == 0), side="right")).tolist():

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -77,6 +80,18 @@ def stored(frame: DataFrame, folder: str, name: str) -> DataFrame:
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
+@contextmanager
+def no_collection() -> Iterator[None]:
+    """Python's search for cycles stops meanwhile: it would walk all remembered strings, again and again."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
 def release(spark: SparkSession) -> None:
     """Lets go of finished steps: once the driver's JVM has collected its garbage, Spark deletes
     their shuffle files on all executors. For operators of several large steps."""

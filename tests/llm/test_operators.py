@@ -459,6 +459,20 @@ def test_queries_equal_sql(spark, name):
     assert assert_same(queries.queries()[name](spark, SF), con, queries.oracle_sql()[name]) > 0
 
 
+def test_encoder_does_not_search_its_strings_for_cycles():
+    import gc
+
+    seen = []
+    gc.callbacks.append(lambda phase, info: seen.append(phase))
+    try:
+        coder = bitpack.Encoder(BYTES)
+        seen.clear()
+        coder.encode([" ".join(f"w{k}x{i}." for i in range(5_000)) for k in range(4)])
+        assert seen.count("start") <= 1 and gc.isenabled()  # one may be due when it is on again
+    finally:
+        gc.callbacks.pop()
+
+
 def test_few_rows_are_shuffled_for_names_and_crowds(spark):
     rule = prefix_join.Similarity()
     rows = [(h, bytes([k]), 40, 0, 1) for k in range(60) for h in (k % 3, 100 + k)]
