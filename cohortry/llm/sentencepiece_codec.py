@@ -18,13 +18,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortry.llm.common import prepare, whole
+from cohortry.llm.common import no_collection, prepare, whole
 from cohortry.llm.merges import Vocabulary, vocabulary
 
-# Chunks that a worker process remembers; the table starts anew beyond that.
-REMEMBERED = 700_000
+# A worker process remembers the chunks of its latest texts, and those of the texts before; the former take
+# the place of the latter when there are more than this.
+REMEMBERED = 350_000
+# Texts of a batch that are cut into chunks at a time.
+TEXTS = 250
 
-_known: dict[str, dict[str, bytes]] = {}
+_known: dict[str, tuple[dict[str, bytes], dict[str, bytes]]] = {}
 _library: dict[str, object] = {}
 
 
@@ -54,27 +57,38 @@ def _checked(vocab: Vocabulary, processor, chunks: list[str]) -> list[tuple[int,
     return ours
 
 
-def encode_texts(texts: list[str], path: str) -> list[np.ndarray]:
+def encode_texts(texts: list[str], path: str, remembered: int = REMEMBERED) -> list[np.ndarray]:
     """Token ids of each text, as the library gives them without begin and end ids."""
-    vocab, processor, known = vocabulary(path), library(path), _known.setdefault(path, {})
-    cut = [vocab.chunks(t) for t in texts]
-    missing = list(set().union(*cut) - known.keys())
-    if len(known) + len(missing) > REMEMBERED:
-        known.clear()
-        missing = list(set().union(*cut))
-    for ids, chunk in zip(_checked(vocab, processor, missing), missing, strict=True):
-        known[chunk] = np.array(ids, dtype="<i4").tobytes()
-    return [np.frombuffer(b"".join(map(known.__getitem__, chunks)), dtype="<i4") for chunks in cut]
-
-
-def codec(path: str):
+    with no_collection():
+        return _encode_texts(texts, path, remembered)
+
+
+def _encode_texts(texts: list[str], path: str, remembered: int) -> list[np.ndarray]:
+    vocab, processor = vocabulary(path), library(path)
+    found = []
+    for at in range(0, len(texts), TEXTS):
+        latest, before = _known.get(path, ({}, {}))
+        if len(latest) > remembered:
+            latest, before = {}, latest
+        _known[path] = latest, before
+        cut = [vocab.chunks(t) for t in texts[at : at + TEXTS]]
+        new = set().union(*cut) - latest.keys()
+        missing = [chunk for chunk in new if chunk not in before]
+        latest.update((chunk, before[chunk]) for chunk in new if chunk in before)
+        for ids, chunk in zip(_checked(vocab, processor, missing), missing, strict=True):
+            latest[chunk] = np.array(ids, dtype="<i4").tobytes()
+        found += [np.frombuffer(b"".join(map(latest.__getitem__, chunks)), dtype="<i4") for chunks in cut]
+    return found
+
+
+def codec(path: str, remembered: int = REMEMBERED):
     """A column function text -> struct(ids, decoded)."""
 
     @F.arrow_udf("ids array<int>, decoded string")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         processor = library(path)
         for texts in batches:
-            ids = encode_texts(texts.to_pylist(), path)
+            ids = encode_texts(texts.to_pylist(), path, remembered)
             decoded = processor.decode([i.tolist() for i in ids], num_threads=1) if ids else []
             ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
             flat = np.concatenate(ids) if ids else np.array([], dtype=np.int32)
@@ -85,13 +99,14 @@ def codec(path: str):
     return run
 
 
-def encode_decode(docs: DataFrame, path: str, text: str | Column = "text") -> DataFrame:
+def encode_decode(docs: DataFrame, path: str, text: str | Column = "text", remembered: int = REMEMBERED) -> DataFrame:
     """``doc_id``, ``ids`` and ``decoded`` of every document.
 
-    ``path`` names a merge-type model file that every executor can open.
+    ``path`` names a merge-type model file that every executor can open. ``remembered`` bounds a worker's
+    memory, not the result.
     """
     prepare(docs.sparkSession)
-    both = codec(path)(whole(text))
+    both = codec(path, remembered)(whole(text))
     return docs.select("doc_id", both.alias("both")).select("doc_id", "both.ids", "both.decoded")
 
 

@@ -19,6 +19,9 @@ from cohortry.llm import compression_bands, content_sort, mixing, prefix_join, s
 from cohortry.llm.common import shared_folder, stored
 from cohortry.llm.queries import tokenizer_path
 
+# Chunks that a worker remembers here: executors also hold what the stages before have left.
+REMEMBERED = 80_000
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
@@ -44,7 +47,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Digests of the ids and the decoded text of every document."""
-    coded = sentencepiece_codec.encode_decode(docs, tokenizer_path("piece_bpe_32k.model"))
+    coded = sentencepiece_codec.encode_decode(docs, tokenizer_path("piece_bpe_32k.model"), remembered=REMEMBERED)
     return sentencepiece_codec.digests(coded)
 
 

@@ -473,6 +473,19 @@ def test_encoder_does_not_search_its_strings_for_cycles():
         gc.callbacks.pop()
 
 
+def test_codec_remembers_a_bounded_number_of_chunks(monkeypatch):
+    monkeypatch.setattr(sentencepiece_codec, "TEXTS", 2)
+    monkeypatch.setattr(sentencepiece_codec, "_known", {})
+    library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    rng = random.Random(5)
+    for _ in range(20):
+        texts = [" ".join(f"w{rng.randrange(400)}" for _ in range(20)) for _ in range(7)]
+        found = sentencepiece_codec.encode_texts(texts, PIECES, remembered=50)
+        assert [ids.tolist() for ids in found] == library.encode(texts)
+        # Two tables of as many chunks, and what a cut of two texts may add to each.
+        assert sum(map(len, sentencepiece_codec._known[PIECES])) <= 2 * (50 + 2 * 20)
+
+
 def test_few_rows_are_shuffled_for_names_and_crowds(spark):
     rule = prefix_join.Similarity()
     rows = [(h, bytes([k]), 40, 0, 1) for k in range(60) for h in (k % 3, 100 + k)]
