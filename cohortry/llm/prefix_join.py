@@ -547,8 +547,7 @@ def _linked(docs: DataFrame, rule: Similarity, text: str) -> DataFrame:
         release(spark)
         return found
 
-    links = checked(pairs, 1)
-    label = components(links, folder, "labels-1")
+    label = components(checked(pairs, 1), folder, "labels-1")
 
     # Every class under each of its shingles, and under its group if that holds others: those share
     # their whole prefix, which weighs as much as a link takes.
@@ -570,10 +569,9 @@ def _linked(docs: DataFrame, rule: Similarity, text: str) -> DataFrame:
         turn += 1
         pairs = stored(promising(centred(crowd, turn), met, rule), folder, f"pairs-{turn}")
         found = checked(pairs, turn)
-        links = links.unionByName(found)
         fresh = found.count()
-        if fresh:
-            label = components(links, folder, f"labels-{turn}")
+        if fresh:  # the labels so far stand for the links that made them
+            label = components(label.unionByName(found), folder, f"labels-{turn}")
         if fresh * LINKS_WORTH < pairs.count():
             break
         renamed = labelled(crowd.drop("name", "band"), _named(label), rule)
@@ -583,8 +581,7 @@ def _linked(docs: DataFrame, rule: Similarity, text: str) -> DataFrame:
         split = stored(apart(renamed, rule), folder, "last")
     if not split.isEmpty():
         pairs = stored(still_apart(split, met, _named(label), rule, folder), folder, "pairs-last")
-        links = links.unionByName(checked(pairs, turn + 1))
-        label = components(links, folder, "labels-last")
+        label = components(label.unionByName(checked(pairs, turn + 1)), folder, "labels-last")
     label = _named(label)
 
     named = classes.select("set_key", "sid").join(label, "set_key", "left").withColumn(
