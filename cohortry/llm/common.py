@@ -11,6 +11,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -92,6 +93,16 @@ def no_collection() -> Iterator[None]:
             gc.enable()
 
 
+def lean(batches: Iterator) -> Iterator:
+    """The same batches; after each one Arrow's memory pool gives back what it has no use for. Else a worker keeps
+    it for its whole life, through the stages of others."""
+    pool = pa.default_memory_pool()
+    for batch in batches:
+        yield batch
+        del batch
+        pool.release_unused()
+
+
 def release(spark: SparkSession) -> None:
     """Lets go of finished steps: once the driver's JVM has collected its garbage, Spark deletes
     their shuffle files on all executors. For operators of several large steps."""

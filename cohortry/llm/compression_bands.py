@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortry.llm.common import prepare, whole
+from cohortry.llm.common import lean, prepare, whole
 
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\v\f\r"
@@ -116,7 +116,7 @@ def measures(bands: Bands = Bands()):
         import zstandard
 
         packer = zstandard.ZstdCompressor(level=bands.level)
-        for texts in batches:
+        for texts in lean(batches):
             rows = []
             for scalar in texts:
                 text = scalar.as_py()

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortry.llm.common import prepare, release, shared_folder, stored, whole
+from cohortry.llm.common import lean, prepare, release, shared_folder, stored, whole
 from cohortry.llm.components import components
 
 # Frequency table: 2^18 counters, a fixed 2 MB.
@@ -114,6 +114,13 @@ class _Hashes(dict):
 
 
 _words = _Hashes()
+
+
+def forget_words() -> None:
+    """Lets go of the words of a worker, which lives on for other stages."""
+    _words.clear()
+
+
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -168,7 +175,7 @@ def frequencies(docs: DataFrame, rule: Similarity, text: str | Column = "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(1 << TABLE_BITS, dtype=np.int64)
-        for batch in batches:
+        for batch in lean(batches):
             for t in batch.column(0).to_pylist():
                 np.add.at(table, _slot(shingle_set(t, rule.words)), 1)
         used = np.flatnonzero(table)
@@ -212,7 +219,7 @@ def profiles(docs: DataFrame, rule: Similarity, text: str | Column = "text") ->
 
         level, fans = order.value
         given: set[int] = set()
-        for batch in batches:
+        for batch in lean(batches):
             sizes, keys, groups, prefixes, salts, bits = [], [], [], [], [], []
             for t in batch.column(2).to_pylist():
                 found = shingle_set(t, rule.words)
@@ -314,7 +321,7 @@ def sets_of(docs: DataFrame, classes: DataFrame, rule: Similarity, text: str | C
         import xxhash
 
         given: set[bytes] = set()  # repeated rows: a task sends a set once
-        for batch in batches:
+        for batch in lean(batches):
             sets, keys, sizes, wide = [], [], [], []
             for t in batch.column(0).to_pylist():
                 shingles = shingle_set(t, rule.words)
@@ -331,6 +338,7 @@ def sets_of(docs: DataFrame, classes: DataFrame, rule: Similarity, text: str | C
             yield pa.RecordBatch.from_arrays(
                 [pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(wide, pa.binary()),
                  pa.array(sets, pa.binary())], names=["set_key", "n", "wide", "shingles"])
+        forget_words()  # these are the last tasks that read texts
 
     rows = likely_members(docs.select("doc_id", whole(text).alias("t")), "doc_id", classes, "sid")
     return rows.select("t").mapInArrow(

@@ -18,14 +18,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortry.llm.common import no_collection, prepare, whole
+from cohortry.llm.common import lean, no_collection, prepare, whole
 from cohortry.llm.merges import Vocabulary, vocabulary
 
 # A worker process remembers the chunks of its latest texts, and those of the texts before; the former take
 # the place of the latter when there are more than this.
 REMEMBERED = 350_000
-# Texts of a batch that are cut into chunks at a time.
-TEXTS = 250
+# Texts of a batch that are encoded and decoded at a time, and new chunks whose agendas run side by side.
+TEXTS = 100
+CHUNKS = 8_192
 
 _known: dict[str, tuple[dict[str, bytes], dict[str, bytes]]] = {}
 _library: dict[str, object] = {}
@@ -75,8 +76,10 @@ def _encode_texts(texts: list[str], path: str, remembered: int) -> list[np.ndarr
         new = set().union(*cut) - latest.keys()
         missing = [chunk for chunk in new if chunk not in before]
         latest.update((chunk, before[chunk]) for chunk in new if chunk in before)
-        for ids, chunk in zip(_checked(vocab, processor, missing), missing, strict=True):
-            latest[chunk] = np.array(ids, dtype="<i4").tobytes()
+        for first in range(0, len(missing), CHUNKS):
+            some = missing[first : first + CHUNKS]
+            for ids, chunk in zip(_checked(vocab, processor, some), some, strict=True):
+                latest[chunk] = np.array(ids, dtype="<i4").tobytes()
         found += [np.frombuffer(b"".join(map(latest.__getitem__, chunks)), dtype="<i4") for chunks in cut]
     return found
 
@@ -87,14 +90,17 @@ def codec(path: str, remembered: int = REMEMBERED):
     @F.arrow_udf("ids array<int>, decoded string")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         processor = library(path)
-        for texts in batches:
-            ids = encode_texts(texts.to_pylist(), path, remembered)
-            decoded = processor.decode([i.tolist() for i in ids], num_threads=1) if ids else []
+        for texts in lean(batches):
+            ids, decoded = [], [pa.array([], pa.string())]
+            for at in range(0, len(texts), TEXTS):
+                found = encode_texts(texts[at : at + TEXTS].to_pylist(), path, remembered)
+                decoded.append(pa.array(processor.decode([i.tolist() for i in found], num_threads=1), pa.string()))
+                ids += found
             ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
             flat = np.concatenate(ids) if ids else np.array([], dtype=np.int32)
             yield pa.StructArray.from_arrays(
                 [pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int32())),
-                 pa.array(decoded, pa.string())], names=["ids", "decoded"])
+                 pa.concat_arrays(decoded)], names=["ids", "decoded"])
 
     return run
 

@@ -20,7 +20,7 @@ from cohortry.llm.common import shared_folder, stored
 from cohortry.llm.queries import tokenizer_path
 
 # Chunks that a worker remembers here: executors also hold what the stages before have left.
-REMEMBERED = 80_000
+REMEMBERED = 40_000
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 

@@ -17,6 +17,7 @@ from tokenizers import Tokenizer
 from cohortry.llm import (
     bitpack,
     chat,
+    common,
     compression_bands,
     content_sort,
     language_id,
@@ -517,3 +518,58 @@ def test_hot_and_cold_shingles_meet_alike(spark, monkeypatch):
     found = [(bytes(r.a), bytes(r.b)) for r in prefix_join.still_apart(split, classes, label, rule).collect()]
     want = {(a, b) for a in sets for b in sets if a < b and a[0] % 7 != b[0] % 7 and set(sets[a]) & set(sets[b])}
     assert set(found) == want and len(found) == len(want)
+
+
+def test_codec_encodes_and_decodes_few_texts_at_a_time(spark, monkeypatch):
+    class Watched:
+        def __init__(self, processor):
+            self.processor, self.encoded, self.decoded = processor, [], []
+
+        def encode(self, texts, **options):
+            if isinstance(texts, list):
+                self.encoded.append(len(texts))
+            return self.processor.encode(texts, **options)
+
+        def decode(self, ids, **options):
+            self.decoded.append(len(ids))
+            return self.processor.decode(ids, **options)
+
+    library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    watched = Watched(library)
+    monkeypatch.setattr(sentencepiece_codec, "TEXTS", 3)
+    monkeypatch.setattr(sentencepiece_codec, "CHUNKS", 8, raising=False)
+    monkeypatch.setattr(sentencepiece_codec, "_known", {})
+    monkeypatch.setattr(sentencepiece_codec, "library", lambda path: watched)
+    texts = [" ".join(f"w{i}x{k}" for k in range(30)) for i in range(10)] + ["", "é\n\n 日本"]
+    run = sentencepiece_codec.codec(PIECES).func
+    found = [pa.RecordBatch.from_struct_array(a) for a in run(iter([pa.array(texts), pa.array([], pa.string())]))]
+    assert [len(b) for b in found] == [12, 0]
+    assert found[0].column("ids").to_pylist() == library.encode(texts)
+    assert found[0].column("decoded").to_pylist() == library.decode(library.encode(texts))
+    assert max(watched.decoded) <= 3 and max(watched.encoded) <= 8
+
+
+def test_arrow_gives_memory_back_between_batches(monkeypatch):
+    given = []
+
+    class Pool:
+        def release_unused(self):
+            given.append(True)
+
+    monkeypatch.setattr(common.pa, "default_memory_pool", Pool)
+    assert [(k, len(given)) for k in common.lean(range(3))] == [(0, 0), (1, 1), (2, 2)] and len(given) == 3
+
+
+def test_workers_forget_words_after_the_last_pass_over_texts(spark):
+    word = "unheardofquux"
+    docs = spark.createDataFrame([(1, f"{word} b c d e f")], "doc_id long, text string").repartition(1)
+    classes = spark.createDataFrame([(1,)], "sid long")
+    assert len(prefix_join.sets_of(docs, classes, prefix_join.Similarity()).collect()) == 1
+
+    def held(batches):
+        from cohortry.llm import prefix_join as loaded
+
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": [int(word.encode() in loaded._words)] * len(batch)})
+
+    assert spark.range(0, 800, 1, 16).mapInArrow(held, "n long").agg({"n": "sum"}).first()[0] == 0
